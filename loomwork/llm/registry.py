@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm.bpe import count_report, encoding_report
 from loomwork.llm.quality import quality_report
 from loomwork.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe": lambda spark, sf: encoding_report(table(spark, sf, "documents")),
         "op5_quality_rules": lambda spark, sf: quality_report(table(spark, sf, "documents")),
+        "op8_token_counts": lambda spark, sf: count_report(table(spark, sf, "documents")),
     }
 
 
