@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.bpe import count_report, encoding_report
 from loomwork.llm.quality import quality_report
+from loomwork.llm.recompress import repeat_report
+from loomwork.llm.simhash import fingerprint_report
 from loomwork.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": lambda spark, sf: fingerprint_report(table(spark, sf, "documents")),
         "op3_bpe": lambda spark, sf: encoding_report(table(spark, sf, "documents")),
         "op5_quality_rules": lambda spark, sf: quality_report(table(spark, sf, "documents")),
+        "op6_substring_dedup": lambda spark, sf: repeat_report(table(spark, sf, "documents")),
         "op8_token_counts": lambda spark, sf: count_report(table(spark, sf, "documents")),
     }
 
