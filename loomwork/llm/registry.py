@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from loomwork.llm.bpe import count_report, encoding_report
 from loomwork.llm.language import language_report
 from loomwork.llm.licenses import license_report
+from loomwork.llm.mixing import mixing_report
 from loomwork.llm.quality import quality_report
 from loomwork.llm.recompress import repeat_report
 from loomwork.llm.simhash import fingerprint_report
 from loomwork.llm.topk import top_k
+from loomwork.llm.warc import archive_report
 from loomwork.session import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": lambda spark, sf: fingerprint_report(table(spark, sf, "documents")),
+        "op2_warc": lambda spark, sf: archive_report(table(spark, sf, "pages")),
         "op3_bpe": lambda spark, sf: encoding_report(table(spark, sf, "documents")),
         "op4_topk": lambda spark, sf: top_k(table(spark, sf, "embeddings")),
         "op5_quality_rules": lambda spark, sf: quality_report(table(spark, sf, "documents")),
@@ -26,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_licenses": lambda spark, sf: license_report(table(spark, sf, "documents")),
         "op8_token_counts": lambda spark, sf: count_report(table(spark, sf, "documents")),
         "op9_language": lambda spark, sf: language_report(table(spark, sf, "documents")),
+        "op10_mixing": lambda spark, sf: mixing_report(table(spark, sf, "documents")),
     }
 
 
