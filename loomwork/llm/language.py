@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE_DOCS, PIECES, EPOCHS, BATCH, RATE, SEED = 2_000, 4, 6, 32, 0.01, 11
+#: Hash values that the sample is cut from; languages whose counts are broadcast, at most.
+SPAN, BROADCAST_LANGUAGES = 1 << 40, 10_000
 #: Windows evaluated at once in a task.
 CHUNK = 2_048
 
@@ -128,18 +130,24 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> ByteNet | None:
     """A network fitted on a sample of labelled documents that aren't held out; None if there are none.
 
-    The sample takes the documents of least hash for each language, found by a window with a rank limit, so
-    no task gets more than the limit of any language from another.
+    The sample takes the documents of least hash for each language. Counts by language give a bound on the hash
+    that few more pass, so what is shuffled and ranked is about twice the sample, whatever the input.
     """
     doc = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
-    languages = doc.agg(F.countDistinct("lang")).first()[0]
+    counts = doc.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
     if not languages:
         return None
+    most = max(1, sample_docs // languages)
+    # About twice the wanted documents of each language have a hash this low; the rank then makes it exact.
+    counts = counts.select("lang", (F.lit(2.0 * most + 20) / F.col("n") * SPAN).cast("long").alias("bound"))
+    counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
     length = F.greatest(F.length("text"), F.lit(1))
     pieces = [F.substring("text", (F.floor(length * k / PIECES) + 1).cast("int"), F.lit(WINDOW)) for k in range(PIECES)]
-    doc = doc.select("lang", F.xxhash64("doc_id").alias("h"), F.array(*pieces).alias("pieces"))
+    hashed = doc.select("lang", F.xxhash64("doc_id").alias("h"), "text").join(counts, "lang").where(F.pmod("h", F.lit(SPAN)) < F.col("bound"))
+    low = hashed.select("lang", F.pmod("h", F.lit(SPAN)).alias("h"), F.array(*pieces).alias("pieces"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "pieces"))
-    rows = doc.withColumn("rank", rank).where(F.col("rank") <= max(1, sample_docs // languages)).orderBy("lang", "rank").collect()
+    rows = low.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
     names = sorted({r.lang for r in rows})
     texts, wanted = zip(*((p.encode()[:WINDOW], names.index(r.lang)) for r in rows for p in r.pieces if p))
     return ByteNet(names).fit(windows_of(list(texts))[0], np.array(wanted))
