@@ -38,5 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores; as they are, unless the input has fewer partitions than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
