@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,11 @@ def term_counts(text: str | None) -> np.ndarray:
     return np.bincount(np.array(found, np.int64), minlength=BUCKETS)
 
 
+def term_matrix(texts: Iterable[str | None]) -> np.ndarray:
+    """(texts, BUCKETS) term counts."""
+    return np.array([term_counts(t) for t in texts], float).reshape(-1, BUCKETS)
+
+
 def term_counts_column(text: Column) -> Column:
     @F.pandas_udf("array<int>")
     def counts(texts: pd.Series) -> pd.Series:

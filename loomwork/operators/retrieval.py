@@ -7,7 +7,7 @@ digits before they are ranked, and ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -31,17 +31,22 @@ def squared_distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return np.stack([((rows - q) ** 2).sum(1) for q in queries], 1) if len(queries) else np.zeros((len(rows), 0))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, distance=squared_distances, id_type: str = "long") -> DataFrame:
+def stacked(vectors: Sequence) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in vectors])
+
+
+def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, distance=squared_distances, encode=stacked, id_type: str = "long") -> DataFrame:
     """(query_id, rank, id, dist) of the k nearest rows(id, vector) of each of queries(query_id, vector).
 
+    encode makes a matrix of a sequence of vectors, which may be texts if it can embed them where it runs.
     Null vectors take no part; all vectors have one length. Repeated ids are rows of their own.
     """
     spark = rows.sparkSession
     rows = rows.select("id", "vector").where("id is not null and vector is not null")
     found, stream = None, queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
     while block := list(islice(stream, QUERY_BLOCK)):
-        sent = spark.sparkContext.broadcast(([r.query_id for r in block], np.array([r.vector for r in block], float)))
-        part = rows.mapInPandas(_search(sent, k, distance), f"query_id long, id {id_type}, dist double")
+        sent = spark.sparkContext.broadcast(([r.query_id for r in block], encode([r.vector for r in block])))
+        part = rows.mapInPandas(_search(sent, k, distance, encode), f"query_id long, id {id_type}, dist double")
         found = part if found is None else found.union(part)
     if found is None:
         return spark.createDataFrame([], f"query_id long, rank int, id {id_type}, dist double")
@@ -49,7 +54,7 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, distance=squared
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
 
-def _search(sent, k: int, distance):
+def _search(sent, k: int, distance, encode):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, queries = sent.value
         held: list[pd.DataFrame] = []
@@ -58,7 +63,7 @@ def _search(sent, k: int, distance):
                 part = batch.iloc[at : at + ROW_BLOCK]
                 ids = part["id"].to_numpy()
                 order = np.argsort(ids, kind="stable")
-                near = np.round(distance(np.stack(part["vector"].to_numpy()).astype(float)[order], queries), 6)
+                near = np.round(distance(encode(part["vector"].to_numpy()[order]), queries), 6)
                 top = np.argsort(near, axis=0, kind="stable")[:k]  # ids ascend, so ties keep the smaller
                 held.append(pd.DataFrame({"query_id": np.tile(query_ids, len(top)), "id": ids[order][top].ravel(), "dist": np.take_along_axis(near, top, 0).ravel()}))
             best = pd.concat(held).sort_values(["query_id", "dist", "id"], kind="stable").groupby("query_id").head(k)

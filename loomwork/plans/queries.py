@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.models import ExtractiveGenerator, generate_column
-from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, verdict
+from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict
 from loomwork.operators import answers, chunking, retrieval
 from loomwork.session import table
 from loomwork.sources.pdf import text_pages
@@ -68,9 +68,9 @@ def embed_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_top5(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _chunks(spark, sf).select("id", term_counts_column(F.col("text")).alias("vector"))
-    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), term_counts_column(F.col("text")).alias("vector"))
-    return retrieval.nearest(rows, asked, distance=retrieval.unit_distances, id_type="string")
+    rows = _chunks(spark, sf).select("id", F.col("text").alias("vector"))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("vector"))
+    return retrieval.nearest(rows, asked, distance=retrieval.unit_distances, encode=term_matrix, id_type="string")
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
