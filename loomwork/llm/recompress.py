@@ -11,10 +11,13 @@ highest symbols with support in the window, the one with the least hash (a windo
 own landmark). Landmarks are several times fewer than windows. The steps are:
 
 1. count documents per landmark; keep landmarks that two documents share;
-2. for windows with such a landmark only, find the smallest document that has the window;
-3. join that back: a window is a repeat in every document with a larger id; drop the words it covers.
+2. among windows with such a landmark only, a task settles those it has seen in a smaller document itself, so it
+   sends on one document for each window and buffer, however many documents have it;
+3. what is left is sorted by window and document and read in that order: a window is a repeat in every document
+   but the first. The words that repeats cover are dropped.
 
-Landmarks only choose what to compare. Windows are compared by two independent 64-bit hashes of their words.
+Landmarks only choose what to compare. Windows are compared by two independent hashes of their words, of 64 and
+32 bits.
 
 Defined cases: a null or blank text has no words and loses none. Rows with a null id neither lose words nor
 make others lose them. Rows that share an id are judged each on its own text and don't affect each other.
@@ -37,8 +40,8 @@ from loomwork.session import shared_dir
 
 #: More rounds would give symbols whose support rarely fits in a window of 13 words.
 WINDOW, ROUNDS = 13, 2
-#: Words parsed at once in a task.
-BLOCK_WORDS = 400_000
+#: Words parsed at once in a task; windows that a task holds before it sends them on.
+BLOCK_WORDS, BUFFER = 400_000, 1_000_000
 
 # Odd multipliers for mixing and for the two rolling hashes.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -191,10 +194,38 @@ def _doc_landmarks(docs: DataFrame, window: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "key long, doc_id long")
 
 
+REPEAT = "w1 long, w2 int, doc_id long, tag long, start int, n int, sure boolean"
+
+
+def _record(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in REPEAT.split(", ")])
+
+
+def settle(w1: np.ndarray, w2: np.ndarray, doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """REPEAT rows of a buffer of windows: runs of n windows that are repeats for sure, and one by one the others."""
+    order = np.lexsort((start, tag, doc_id, w2, w1))
+    w1, w2, doc_id, tag, start = (x[order] for x in (w1, w2, doc_id, tag, start))
+    new = np.ones(len(w1), bool)
+    new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+    sure = doc_id > doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
+    open_, one = np.flatnonzero(~sure), np.int32(1)
+    yield _record(w1[open_], w2[open_], doc_id[open_], tag[open_], start[open_], np.full(len(open_), one), np.zeros(len(open_), bool))
+    doc_id, tag, start = doc_id[sure], tag[sure], start[sure]
+    order = np.lexsort((start, tag, doc_id))
+    doc_id, tag, start = doc_id[order], tag[order], start[order]
+    head = np.ones(len(start), bool)
+    head[1:] = (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + 1)
+    first = np.flatnonzero(head)
+    last = np.append(first[1:], len(start)) - 1
+    if len(first):
+        yield _record(tag[first], start[first], doc_id[first], tag[first], start[first], start[last] - start[first] + one, np.ones(len(first), bool))
+
+
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """(w1, w2, doc_id, tag, start) of the windows whose landmark is in the row's array keys."""
+    """REPEAT rows of the windows whose landmark is in the row's array keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_back: list[tuple[np.ndarray, ...]] = []
         for batch in _batches(batches):
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             keys = batch.column("keys")
@@ -211,11 +242,38 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 doc, start = doc[hit], start[hit]
                 at = np.cumsum(counts)[doc] - counts[doc] + start
                 second, _ = _hashes(held, xxhash.xxh3_64_intdigest)
-                pair = [Spans(w, base)(at, at + window).view(np.int64) for w, base in zip((words, second), BASES)]
-                columns = [*pair, ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int64), start.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w1", "w2", "doc_id", "tag", "start"])
+                w1, w2 = (Spans(w, base)(at, at + window) for w, base in zip((words, second), BASES))
+                held_back.append((w1.view(np.int64), w2.astype(np.uint32).view(np.int32), ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int64), start.astype(np.int32)))
+                if sum(len(x[0]) for x in held_back) >= BUFFER:
+                    yield from settle(*(np.concatenate(c) for c in zip(*held_back)))
+                    held_back = []
+        if held_back:
+            yield from settle(*(np.concatenate(c) for c in zip(*held_back)))
 
-    return docs.mapInArrow(rows, "w1 long, w2 long, doc_id long, tag long, start int")
+    return docs.mapInArrow(rows, REPEAT)
+
+
+def _repeats(windows: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, n) of all repeats: each window's rows follow each other, the smallest document first."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, first_id = None, None
+        for batch in batches:
+            w1, w2, doc_id, tag, start, n, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            if not len(w1):
+                continue
+            new = np.ones(len(w1), bool)
+            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (sure[1:] != sure[:-1])
+            new[0] = before != (w1[0], w2[0], sure[0])
+            firsts = np.where(new, doc_id, 0)[np.maximum.accumulate(np.where(new, np.arange(len(w1)), 0))]
+            if not new[0]:
+                firsts[: np.argmax(new) if new.any() else len(new)] = first_id
+            before, first_id = (w1[-1], w2[-1], sure[-1]), firsts[-1]
+            hit = np.flatnonzero(sure | (doc_id > firsts))
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (doc_id, tag, start, n)], ["doc_id", "tag", "start", "n"])
+
+    ordered = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "sure", "doc_id")
+    return ordered.mapInArrow(rows, "doc_id long, tag long, start int, n int")
 
 
 def _free(spark) -> None:
@@ -225,40 +283,39 @@ def _free(spark) -> None:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, starts) of documents with repeats: tag is xxhash64(text), starts the repeats' word places."""
+    """(doc_id, tag, runs) of documents with repeats: tag is xxhash64(text), runs are (start, n) of repeated windows."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    many = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")]
-    shared = _doc_landmarks(docs, window).groupBy("key").agg(*many).where("first_id < last_id").select("key").checkpoint()
+    per_key = _doc_landmarks(docs, window).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    shared = per_key.where("first_id < last_id").select("key").checkpoint()
+    del per_key
     _free(spark)
     keys = _doc_landmarks(docs, window).join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")).checkpoint()
     _free(spark)
     tagged = docs.withColumn("tag", F.xxhash64("text"))
-    first = _windows(tagged.join(keys, "doc_id"), window).groupBy("w1", "w2").agg(*many)
-    first = first.where("first_id < last_id").select("w1", "w2", "first_id").checkpoint()
-    _free(spark)
-    repeats = _windows(tagged.join(keys, "doc_id"), window).join(first, ["w1", "w2"]).where("first_id < doc_id")
-    found = repeats.groupBy("doc_id", "tag").agg(F.collect_set("start").alias("starts")).checkpoint()
+    runs = _repeats(_windows(tagged.join(keys, "doc_id"), window))
+    found = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs")).checkpoint()
+    del runs
     _free(spark)
     return found
 
 
-def kept_words(text: str | None, starts, window: int = WINDOW) -> tuple[int, list[bytes]]:
-    """Number of words of a text, and the words that no window at starts covers."""
+def kept_words(text: str | None, runs, window: int = WINDOW) -> tuple[int, list[bytes]]:
+    """Number of words of a text, and the words that no window of the runs covers."""
     words = (text or "").encode().split()
-    if starts is None or not len(starts):
+    if runs is None or not len(runs):
         return len(words), words
     depth = np.zeros(len(words) + 1, np.int64)
-    at = np.asarray(starts)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + window, -1)
+    for run in runs:
+        depth[run["start"]] += 1
+        depth[run["start"] + run["n"] - 1 + window] -= 1
     covered = np.cumsum(depth[:-1]) > 0
     return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
 
 
-def _with_starts(docs: DataFrame, window: int) -> DataFrame:
-    found = repeated_windows(docs, window).select(F.col("doc_id").alias("lw_id"), F.col("tag").alias("lw_tag"), F.col("starts").alias("lw_starts"))
+def _with_runs(docs: DataFrame, window: int) -> DataFrame:
+    found = repeated_windows(docs, window).select(F.col("doc_id").alias("lw_id"), F.col("tag").alias("lw_tag"), F.col("runs").alias("lw_runs"))
     return docs.join(found, (docs["doc_id"] == found["lw_id"]) & (F.xxhash64(docs["text"]) == found["lw_tag"]), "left")
 
 
@@ -269,13 +326,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, starts: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(texts, starts)], dtype=object)
+    def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(texts, runs)], dtype=object)
 
-    joined = _with_starts(docs, window)
-    text = F.when(F.col("lw_starts").isNull(), F.col("text")).otherwise(F.col("lw_text"))
-    new = {"text": text, "n_chars": F.when(F.col("lw_starts").isNull(), F.col("n_chars")).otherwise(F.length(F.col("lw_text")).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    changed = joined.withColumn("lw_text", F.when(F.col("lw_starts").isNotNull(), kept("text", "lw_starts")))
+    joined = _with_runs(docs, window)
+    text = F.when(F.col("lw_runs").isNull(), F.col("text")).otherwise(F.col("lw_text"))
+    new = {"text": text, "n_chars": F.when(F.col("lw_runs").isNull(), F.col("n_chars")).otherwise(F.length(F.col("lw_text")).cast("long"))} if "n_chars" in docs.columns else {"text": text}
+    changed = joined.withColumn("lw_text", F.when(F.col("lw_runs").isNotNull(), kept("text", "lw_runs")))
     return changed.withColumns(new).select(*docs.columns)
 
 
@@ -283,12 +340,12 @@ def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The contract's columns."""
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
-    def report(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def report(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, at in zip(texts, starts):
+        for text, at in zip(texts, runs):
             n, kept = kept_words(text, at, window)
             rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_starts(docs.select("doc_id", "text"), window)
-    return joined.select("doc_id", report("text", "lw_starts").alias("r")).select("doc_id", "r.*")
+    joined = _with_runs(docs.select("doc_id", "text"), window)
+    return joined.select("doc_id", report("text", "lw_runs").alias("r")).select("doc_id", "r.*")
