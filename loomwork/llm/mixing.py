@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomwork.llm.rows import pack, unpack
 from loomwork.session import shared_dir
 
 MAX_REPEATS, BLOCK, SEED = 2.0, 512, 17
@@ -126,8 +127,9 @@ def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, ent
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mixture: every document as often as it has copies, with the columns of docs."""
-    times = with_copies(docs, **settings).where("lw_copies > 0").withColumn("lw_copy", F.explode(F.sequence(F.lit(1), F.col("lw_copies"))))
-    return times.select(*docs.columns)
+    names = ("doc_id", "text", "source")
+    times = with_copies(pack(docs, *names), **settings).where("lw_copies > 0").withColumn("lw_copy", F.explode(F.sequence(F.lit(1), F.col("lw_copies"))))
+    return unpack(times, docs, names)
 
 
 def mixing_report(docs: DataFrame) -> DataFrame:

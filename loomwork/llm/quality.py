@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.rows import pack, unpack
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -150,7 +152,7 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, *, sample_rows: int
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """The documents that no rule rejects, with the columns of docs."""
-    return judge(docs, rules).where(F.col("lw_rejected_by").isNull()).select(*docs.columns)
+    return unpack(judge(pack(docs, "text"), rules).where(F.col("lw_rejected_by").isNull()), docs, ("text",))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL.
+
+op1, op3, op8, op9 and op10 have no SQL (XXH64, merges, a trained network); op7's templates would be long in it.
+Tests hold these against brute force, the tokenizers library, or held-out labels.
+"""
 
 from __future__ import annotations
 
@@ -18,20 +22,64 @@ from loomwork.llm.warc import archive_report
 from loomwork.session import table
 
 
+def _over(make: Callable[[DataFrame], DataFrame], name: str = "documents") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: make(table(spark, sf, name))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_simhash": lambda spark, sf: fingerprint_report(table(spark, sf, "documents")),
-        "op2_warc": lambda spark, sf: archive_report(table(spark, sf, "pages")),
-        "op3_bpe": lambda spark, sf: encoding_report(table(spark, sf, "documents")),
-        "op4_topk": lambda spark, sf: top_k(table(spark, sf, "embeddings")),
-        "op5_quality_rules": lambda spark, sf: quality_report(table(spark, sf, "documents")),
-        "op6_substring_dedup": lambda spark, sf: repeat_report(table(spark, sf, "documents")),
-        "op7_licenses": lambda spark, sf: license_report(table(spark, sf, "documents")),
-        "op8_token_counts": lambda spark, sf: count_report(table(spark, sf, "documents")),
-        "op9_language": lambda spark, sf: language_report(table(spark, sf, "documents")),
-        "op10_mixing": lambda spark, sf: mixing_report(table(spark, sf, "documents")),
+        "op1_simhash": _over(fingerprint_report),
+        "op2_warc": _over(archive_report, "pages"),
+        "op3_bpe": _over(encoding_report),
+        "op4_topk": _over(top_k, "embeddings"),
+        "op5_quality_rules": _over(quality_report),
+        "op6_substring_dedup": _over(repeat_report),
+        "op7_licenses": _over(license_report),
+        "op8_token_counts": _over(count_report),
+        "op9_language": _over(language_report),
+        "op10_mixing": _over(mixing_report),
     }
 
 
+_WORDS = r"words AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc": """
+            WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+            q AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS d FROM p),
+            f AS (SELECT d, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY d)
+            SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+                   CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN first < page_id THEN first END AS refers_to
+            FROM q LEFT JOIN f USING (d)""",
+        "op4_topk": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS a FROM embeddings),
+            s AS (SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.a, r.a), lambda x: x[1] * x[2])) AS BIGINT) AS score
+                  FROM v q, v r WHERE q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM
+              (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+        "op5_quality_rules": rf"""
+            WITH {_WORDS},
+            tri AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+            twice AS (SELECT doc_id, k FROM tri GROUP BY ALL HAVING count(*) > 1),
+            cover AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri JOIN twice USING (doc_id, k)) GROUP BY doc_id),
+            m AS (SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words),
+            f AS (SELECT m.*, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+                    n_words < 50 OR 100 * coalesce(c.n, 0) > 50 * n_words AS base_failed FROM m LEFT JOIN cover c USING (doc_id))
+            SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+              NOT (base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.5 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                   OR length(t) - length(replace(t, '!', '')) > 0.3 * n_words OR len(regexp_extract_all(t, '\p{{Lu}}{{2,}}')) > 0.6 * n_words) AS kept
+            FROM f""",
+        "op6_substring_dedup": rf"""
+            WITH {_WORDS},
+            win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+            f AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+            gone AS (SELECT DISTINCT doc_id, i + j AS p FROM win JOIN f USING (k), (SELECT unnest(range(0, 13)) AS j) WHERE first < doc_id),
+            kept AS (SELECT s.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
+                     FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words) s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.p = g.p GROUP BY s.doc_id)
+            SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)""",
+    }
