@@ -28,6 +28,8 @@ from pyspark.sql.window import Window
 K, SCALE, EVERY = 20, 64, 20
 #: Vectors of an index block, and queries of a query block.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 128
+#: A task gets about one pair of blocks, so that it holds few megabytes; tasks at most.
+MOST_TASKS = 100_000
 
 
 def quantise(embedding: Column, scale: int = SCALE) -> Column:
@@ -123,7 +125,7 @@ def top_k(vectors: DataFrame, *, k: int = K, every: int = EVERY, scale: int = SC
         index = own.withColumn("block", place(n_rows)).groupBy("block").applyInPandas(_build(offset, bits), "block int, ids binary, bitmaps binary")
         queries = own.where(F.col("vec_id") % every == 0).withColumn("q_block", place(n_queries)).groupBy("q_block").applyInPandas(_pack, "q_block int, q_ids binary, q_values binary")
         work = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)))).join(index, "block")
-        work = work.repartition(max(1, min(n_rows * n_queries, 4 * spark.sparkContext.defaultParallelism)), "q_block", "block")
+        work = work.repartition(min(n_rows * n_queries, MOST_TASKS), "q_block", "block")
         parts.append(work.mapInPandas(_search(offset, bits, fact["size"], k), "query_id long, vec_id long, score long"))
     if not parts:
         return spark.createDataFrame([], result)
