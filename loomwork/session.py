@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,12 @@ def local_session(cores: int | str = 8, name: str = "loomwork", **conf: str) ->
     return spark
 
 
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="loomwork-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or for a local master a fresh folder.
 
@@ -32,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = context._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="loomwork-")
+        folder = current.get() if current.isDefined() else "file://" + _own_folder()
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
