@@ -10,6 +10,7 @@ window is the same in every equal window, so each window has a landmark that dep
 highest symbols with support in the window, the one with the least hash (a window without such a symbol is its
 own landmark). Landmarks are several times fewer than windows. The steps are:
 
+0. texts equal to one of a smaller document are repeats as a whole, and take no further part;
 1. count documents per landmark; keep landmarks that two documents share;
 2. among windows with such a landmark only, a task settles those it has seen in a smaller document itself, so it
    sends on one document for each window and buffer, however many documents have it;
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,10 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.llm.rows import pack, unpack
 from loomwork.session import shared_dir
 
 #: More rounds would give symbols whose support rarely fits in a window of 13 words.
 WINDOW, ROUNDS = 13, 2
+#: Stands for the number of all windows of a text.
+WHOLE = -1
 #: Words parsed at once in a task; windows that a task holds before it sends them on.
 BLOCK_WORDS, BUFFER = 400_000, 1_000_000
 
@@ -194,7 +199,7 @@ def _doc_landmarks(docs: DataFrame, window: int) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "key long, doc_id long")
 
 
-REPEAT = "w1 long, w2 int, doc_id long, tag long, start int, n int, sure boolean"
+REPEAT = "w1 long, w2 int, doc_id long, tag int, start int, n int, sure boolean"
 
 
 def _record(*columns: np.ndarray) -> pa.RecordBatch:
@@ -218,15 +223,16 @@ def settle(w1: np.ndarray, w2: np.ndarray, doc_id: np.ndarray, tag: np.ndarray,
     first = np.flatnonzero(head)
     last = np.append(first[1:], len(start)) - 1
     if len(first):
-        yield _record(tag[first], start[first], doc_id[first], tag[first], start[first], start[last] - start[first] + one, np.ones(len(first), bool))
+        yield _record(tag[first].astype(np.int64), start[first], doc_id[first], tag[first], start[first], start[last] - start[first] + one, np.ones(len(first), bool))
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """REPEAT rows of the windows whose landmark is in the row's array keys."""
+    """REPEAT rows of the windows whose landmark is in the row's array keys; rows tagged as copies have none."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_back: list[tuple[np.ndarray, ...]] = []
         for batch in _batches(batches):
+            batch = batch.filter(pa.array([t not in (c or ()) for t, c in zip(batch.column("tag").to_pylist(), batch.column("copy_tags").to_pylist())], pa.bool_()))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             keys = batch.column("keys")
             for a, b, held in _blocks(batch.column("text").to_pylist()):
@@ -243,7 +249,7 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 at = np.cumsum(counts)[doc] - counts[doc] + start
                 second, _ = _hashes(held, xxhash.xxh3_64_intdigest)
                 w1, w2 = (Spans(w, base)(at, at + window) for w, base in zip((words, second), BASES))
-                held_back.append((w1.view(np.int64), w2.astype(np.uint32).view(np.int32), ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int64), start.astype(np.int32)))
+                held_back.append((w1.view(np.int64), w2.astype(np.uint32).view(np.int32), ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int32), start.astype(np.int32)))
                 if sum(len(x[0]) for x in held_back) >= BUFFER:
                     yield from settle(*(np.concatenate(c) for c in zip(*held_back)))
                     held_back = []
@@ -273,17 +279,23 @@ def _repeats(windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (doc_id, tag, start, n)], ["doc_id", "tag", "start", "n"])
 
     ordered = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "sure", "doc_id")
-    return ordered.mapInArrow(rows, "doc_id long, tag long, start int, n int")
+    return ordered.mapInArrow(rows, "doc_id long, tag int, start int, n int")
 
 
 def _free(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage.
+
+    A step's plan goes with one collection, and the shuffles that it held with the next.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, runs) of documents with repeats: tag is xxhash64(text), runs are (start, n) of repeated windows."""
+    """(doc_id, tag, runs) of documents with repeats: tag is hash(text), runs are (start, n) of repeated windows, n being
+    WHOLE if all of the text's are."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -293,12 +305,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     _free(spark)
     keys = _doc_landmarks(docs, window).join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")).checkpoint()
     _free(spark)
-    tagged = docs.withColumn("tag", F.xxhash64("text"))
-    runs = _repeats(_windows(tagged.join(keys, "doc_id"), window))
+    copies = _copies(docs)
+    keys = keys.join(copies.groupBy("doc_id").agg(F.collect_set("tag").alias("copy_tags")), "doc_id", "left")
+    runs = _repeats(_windows(docs.withColumn("tag", F.hash("text")).join(keys, "doc_id"), window))
     found = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs")).checkpoint()
-    del runs
+    del runs, keys
     _free(spark)
-    return found
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("n")))
+    return found.union(copies.select("doc_id", "tag", whole.alias("runs")))
+
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag) of the rows whose text a document with a smaller id has."""
+    seen = docs.select("doc_id", F.hash("text").alias("tag"), F.md5("text").alias("digest"))
+    first = seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = first.where("first_id < last_id").select("digest", "first_id").checkpoint()
+    return seen.join(first, "digest").where("first_id < doc_id").select("doc_id", "tag").distinct().checkpoint()
 
 
 def kept_words(text: str | None, runs, window: int = WINDOW) -> tuple[int, list[bytes]]:
@@ -306,6 +328,8 @@ def kept_words(text: str | None, runs, window: int = WINDOW) -> tuple[int, list[
     words = (text or "").encode().split()
     if runs is None or not len(runs):
         return len(words), words
+    if any(run["n"] == WHOLE for run in runs):
+        return len(words), words if len(words) < window else []
     depth = np.zeros(len(words) + 1, np.int64)
     for run in runs:
         depth[run["start"]] += 1
@@ -316,7 +340,7 @@ def kept_words(text: str | None, runs, window: int = WINDOW) -> tuple[int, list[
 
 def _with_runs(docs: DataFrame, window: int) -> DataFrame:
     found = repeated_windows(docs, window).select(F.col("doc_id").alias("lw_id"), F.col("tag").alias("lw_tag"), F.col("runs").alias("lw_runs"))
-    return docs.join(found, (docs["doc_id"] == found["lw_id"]) & (F.xxhash64(docs["text"]) == found["lw_tag"]), "left")
+    return docs.join(found, (docs["doc_id"] == found["lw_id"]) & (F.hash(docs["text"]) == found["lw_tag"]), "left")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -329,11 +353,14 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(texts, runs)], dtype=object)
 
-    joined = _with_runs(docs, window)
-    text = F.when(F.col("lw_runs").isNull(), F.col("text")).otherwise(F.col("lw_text"))
-    new = {"text": text, "n_chars": F.when(F.col("lw_runs").isNull(), F.col("n_chars")).otherwise(F.length(F.col("lw_text")).cast("long"))} if "n_chars" in docs.columns else {"text": text}
-    changed = joined.withColumn("lw_text", F.when(F.col("lw_runs").isNotNull(), kept("text", "lw_runs")))
-    return changed.withColumns(new).select(*docs.columns)
+    names = ("doc_id", "text")
+    joined = _with_runs(pack(docs, *names), window)
+    cut = F.col("lw_runs").isNotNull()
+    changed = joined.withColumn("lw_text", F.when(cut, kept("text", "lw_runs")))
+    new = {"text": F.when(cut, F.col("lw_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("lw_text").cast("long")).otherwise(F.col("lw_row.n_chars"))
+    return unpack(changed, docs, names, **new)
 
 
 def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
