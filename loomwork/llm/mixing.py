@@ -116,7 +116,7 @@ def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, ent
     dealt = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
     joined = joined.withColumn("lw_order", dealt).withColumn("lw_block", F.pmod(F.xxhash64("lw_order"), F.col("lw_blocks")))
     each = Window.partitionBy("lw_source", "lw_block")
-    order = each.orderBy("lw_order", "doc_id", "text")
+    order = each.orderBy("lw_order", "doc_id")  # lw_order has the text's hash
     before = F.sum("lw_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("lw_tokens") / 2
     part = F.col("lw_passes") - F.floor("lw_passes")
     extra = (before < part * F.sum("lw_tokens").over(each)) & (part > 1e-9)
