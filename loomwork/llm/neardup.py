@@ -1,13 +1,14 @@
-"""Near copies by five-word shingles, one document kept of each group, on the fingerprint search of simhash.
+"""Near copies by five-word shingles, one document kept of each group, by an exact set-similarity join.
 
-At a shingle similarity of 0.8 a majority fingerprint of shingles differs in ten bits or so, far beyond three.
-Near copies differ in few distinct words, though, so the fingerprints here have, for each of 64 hash functions,
-one bit of the least hash among the text's distinct words: it differs with half the share of words that two texts
-don't have in common. PRINTS such fingerprints are searched by Golay keys, each within three bits.
+Shingles have one order over the table: rare before frequent (frequency on a sample, so that it bears on cost
+only), then by hash. Two sets with a similarity of SIMILARITY or more share a shingle among the first n - ceil(
+SIMILARITY n) + 1 of each (prefix filter), so these are the keys, and no pair is missed. Lengths and the places of
+a shared key bound the overlap and drop most other pairs.
 
-In place of all pairs of a group, each key links its fingerprints to its smallest and its largest one only. A
-link counts if the two texts' shingle sets have a similarity of at least SIMILARITY, computed exactly; links then
-make groups. Equal texts are collapsed first. A hub's many partners are dealt out in parts of PART.
+In place of all pairs of a group, each key first links its texts to one hub, the text whose keys are shared most:
+copies of one original share its keys, but not each other's edits. A link counts if the two shingle sets have a
+similarity of at least SIMILARITY, computed exactly; links then make groups. A hub's many partners are dealt
+out in parts of PART. Equal texts are collapsed first.
 
 Defined cases: rows with a null id are kept. A null text, and one without a word, is kept unless it is equal to
 another. Rows that share an id stay or go together; of rows with equal id and text one stays.
@@ -15,86 +16,114 @@ another. Rows that share an id stay or go together; of rows with equal id and te
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected_components
-from loomwork.llm.simhash import search_keys, shingles
+from loomwork.llm.simhash import shingles
 from loomwork.session import shared_dir
 
-WIDTH, SIMILARITY, PRINTS = 5, 0.8, 3
-#: Bits by which a fingerprint and its key's hub may differ (both may be three from a third); partners in a part.
-HUB_DISTANCE, PART = 8, 1_000
-#: Distinct words hashed at once.
-CHUNK = 4_096
-_RNG = np.random.default_rng(29)
-_A = _RNG.integers(0, 1 << 63, 64 * PRINTS, np.int64).astype(np.uint64) << np.uint64(1) | np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, 64 * PRINTS, np.int64).astype(np.uint64)
-
-
-def minwise_prints(text: str) -> list[int] | None:
-    """PRINTS fingerprints of the distinct lower-case words of a text; None if it has no word."""
-    words = list(set(text.encode().lower().split()))
-    if not words:
-        return None
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    least = np.full(64 * PRINTS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), CHUNK):
-        np.minimum(least, (h[at : at + CHUNK, None] * _A + _B).min(0), out=least)
-    bits = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, bitorder="little").view("<i8").tolist()
+WIDTH, SIMILARITY = 5, 0.8
+#: Partners of a hub in a part.
+PART = 1_000
+#: Texts on which frequent shingles are found; those found in so many of them come last, the most frequent at most.
+SAMPLE, OFTEN, FREQUENT = 5_000, 3, 50_000
+#: Slack for products of similarities and counts.
+EPSILON = 1e-9
+
+
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    parts = set(shingles(text, width))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
 
 
 def jaccard(a: set[bytes], b: set[bytes]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def _keys(prints: DataFrame) -> DataFrame:
-    """(key, print) for all keys, indexed or looked up, of the distinct fingerprints in column print."""
+def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, frequency) of the shingles that are frequent in a sample of texts (node, text), by hash."""
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_numpy()
-            for at in range(0, len(values), 20_000):
-                part = values[at : at + 20_000]
-                row, key = (np.concatenate(x) for x in zip(search_keys(part, False), search_keys(part, True)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "print"])
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text or "", width).view("<i8"))], ["key"])
+
+    counted = some.mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
+    found = counted.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
+    keys, counts = (np.array([r[c] for r in found], np.int64) for c in (0, 1))
+    order = np.argsort(keys.view(np.uint64))
+    return keys.view(np.uint64)[order], counts[order]
 
-    return prints.select("print").mapInArrow(rows, "key long, print long")
 
+def prefix_keys(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, node, n, place) of the keys of texts (node, text); n is the number of the text's shingles."""
+    keys, counts = frequent_shingles(texts, width)
 
-def _print_links(classes: DataFrame) -> DataFrame:
-    """(a, b) links of classes (node, print): equal fingerprints, and fingerprints of one key with its hubs."""
-    prints = classes.groupBy("print").agg(F.min("node").alias("least")).checkpoint()
-    equal = classes.join(prints, "print").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    hubs = _keys(prints).groupBy("key").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high").checkpoint()
-    close = lambda hub: (F.col("print") != F.col(hub)) & (F.bit_count(F.col("print").bitwiseXOR(F.col(hub))) <= HUB_DISTANCE)
-    keyed, hubs = _keys(prints), hubs.withColumnRenamed("key", "hub_key")
-    # The join itself drops fingerprints that have only the key in common with both hubs.
-    near = keyed.join(hubs, (F.col("key") == F.col("hub_key")) & (close("low") | close("high")))
-    near = near.select("print", F.explode(F.array("low", "high")).alias("hub")).where(close("hub")).distinct()
-    named = near.join(prints.withColumnRenamed("least", "a"), "print").join(prints.select(F.col("print").alias("hub"), F.col("least").alias("b")), "hub")
-    return equal.union(named.select("a", "b"))
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
+                h = shingle_hashes(text or "", width)
+                if not len(h):
+                    continue
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    h = h[np.argsort(np.where(keys[at] == h, counts[at], 0), kind="stable")]
+                first = h[: len(h) - ceil(similarity * len(h) - EPSILON) + 1].view("<i8")
+                cols = [first, np.full(len(first), node, np.int64), np.full(len(first), len(h), np.int32), np.arange(len(first), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "place"])
+
+    return texts.select("node", "text").mapInArrow(rows, "key long, node long, n int, place int")
+
+
+def least_overlap(n: Column, m: Column, similarity: float) -> Column:
+    """Shingles that sets of n and m must share to be similar enough."""
+    return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(EPSILON))
+
+
+def shared_keys(texts: DataFrame, folder: str, width: int, similarity: float) -> DataFrame:
+    """prefix_keys that several texts have, with score: how often a text's keys are shared, on average."""
+    spark = texts.sparkSession
+    prefix_keys(texts, width, similarity).write.parquet(f"{folder}/all")
+    found = spark.read.parquet(f"{folder}/all")
+    several = found.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    found.join(several, "key").write.parquet(f"{folder}/shared")
+    found = spark.read.parquet(f"{folder}/shared")
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(EPSILON)) + 1
+    score = found.groupBy("node").agg((F.sum("texts") / F.max(length)).alias("score"))
+    return found.drop("texts").join(score, "node").checkpoint()
+
+
+def hub_links(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the texts of each key with its hub b, if their overlap can be large enough."""
+    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "node", "n", "place")).alias("hub")).select(F.col("key").alias("hub_key"), "hub.node", "hub.n", "hub.place")
+    hubs = hubs.withColumnsRenamed({"node": "b", "n": "b_n", "place": "b_place"})
+    most = F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place"))  # if it is the first that they share
+    near = keys.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("node") != F.col("b")) & (most >= least_overlap(F.col("n"), F.col("b_n"), similarity)))
+    return near.select(F.col("node").alias("a"), "b").distinct()
 
 
 def verified_links(texts: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links (a, b), a > b, between texts (doc_id, text) whose shingle sets are similar enough.
+    """The links (a, b) between texts (node, text) whose shingle sets are similar enough.
 
     Each b is a hub: its text goes once to every part of its partners, which pass it one by one.
     """
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    links = links.checkpoint()
     parts = links.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     needed = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "id")
-    held = texts.join(needed, texts["doc_id"] == needed["id"], "left_semi")
-    held = held.groupBy("doc_id").agg(F.max("text").alias("text")).checkpoint()
-    hub = parts.join(held, parts["b"] == held["doc_id"]).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
-    partner = links.join(parts, "b").join(held, links["a"] == held["doc_id"]).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", "text")
+    held = texts.join(needed, F.col("node") == F.col("id"), "left_semi").checkpoint()
+    hub = parts.join(held, F.col("b") == F.col("node")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
+    partner = links.join(parts, "b").join(held, F.col("a") == F.col("node")).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", "text")
     dealt = hub.union(partner).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,27 +139,31 @@ def verified_links(texts: DataFrame, links: DataFrame, width: int, similarity: f
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return dealt.select("b", "a", "text").mapInArrow(rows, "a long, b long")
+    return dealt.select("b", "a", "text").mapInArrow(rows, "a long, b long").checkpoint()
 
 
 def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, kept_id) of documents with an id; kept_id is the smallest id of the document's group."""
-    shared_dir(docs.sparkSession)
-
-    @F.pandas_udf("array<long>")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([minwise_prints(t or "") for t in texts], dtype=object)
-
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    seen = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), prints("text").alias("prints")).checkpoint()
-    classes = seen.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("prints").alias("prints")).checkpoint()
-    links = None
-    for i in range(PRINTS):
-        found = _print_links(classes.where("prints is not null").select("node", F.col("prints")[i].alias("print"))).checkpoint()
-        links = found if links is None else links.union(found)
-    linked = connected_components(verified_links(docs, links, width, similarity), "a", "b")
-    rooted = classes.join(linked, classes["node"] == linked["node"], "left").select("digest", F.coalesce("root", classes["node"]).alias("kept_id")).checkpoint()
-    return seen.select("doc_id", "digest").join(rooted, "digest")
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/neardup-{uuid.uuid4().hex}"
+    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("doc_id is not null")
+    seen = docs.select("doc_id", "digest").checkpoint()
+    classes = seen.groupBy("digest").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    texts = docs.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("node", "text")
+    if seen.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["node"])
+    keys = shared_keys(texts, folder, width, similarity)
+    texts.join(keys.select("node").distinct(), "node", "left_semi").write.parquet(f"{folder}/texts")
+    texts = spark.read.parquet(f"{folder}/texts")
+    links = verified_links(texts, hub_links(keys, similarity), width, similarity)
+    # Texts of one id are one node of the groups, whether they are similar or not.
+    named = seen.join(classes, "digest").select("doc_id", "node")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")
+    same = named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
+    linked = connected_components(links.union(same), "a", "b").withColumnRenamed("node", "linked")
+    rooted = classes.join(linked, F.col("node") == F.col("linked"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root")).checkpoint()
+    kept = rooted.groupBy("root").agg(F.min("first_id").alias("kept_id"))
+    return seen.join(rooted.join(kept, "root").select("digest", "kept_id"), "digest")
 
 
 def keep_one(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

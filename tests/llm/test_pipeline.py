@@ -54,6 +54,17 @@ def brute_kept(rows, similarity=0.8):
     return {r[0] for r in rows if find(r[0]) == r[0]}
 
 
+def cut_copies(seed=3):
+    """Pairs of a text and the same text cut short or extended, at a shingle similarity of 0.80 to 0.90."""
+    rnd, texts = random.Random(seed), []
+    for _ in range(150):
+        words, share = prose(rnd, rnd.randint(100, 300)), rnd.uniform(0.80, 0.90)
+        shingles = len(words) - 4
+        short = words[: int(share * shingles) + 5]
+        texts += [" ".join(words), " ".join(short)] if rnd.random() < 0.5 else [" ".join(short), " ".join(words)]
+    return [(i, t, "en", "s", len(t), 0) for i, t in enumerate(texts)]
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_near_dedup_keeps_one_of_each_group(spark, seed):
     rows = planted(seed)
@@ -65,6 +76,13 @@ def test_near_dedup_keeps_one_of_each_group(spark, seed):
     assert len(set(got) - want) <= 0.01 * len(rows)  # the search may miss a link
 
 
+@pytest.mark.parametrize("seed", [3, 5])
+def test_near_dedup_finds_cut_and_extended_copies(spark, seed):
+    rows = cut_copies(seed)
+    got = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_kept(rows)
+
+
 def test_near_dedup_of_odd_tables(spark):
     rows = [(1, "a b", "en", "s", 3, 0), (1, "a b", "en", "s", 3, 0), (None, "a b", "en", "s", 3, 0), (None, None, None, None, None, None), (2, "A B", "en", "s", 3, 0)]
     df = spark.createDataFrame(rows, DOCS)
