@@ -7,7 +7,9 @@ a shared key bound the overlap and drop most other pairs.
 
 In place of all pairs of a group, each key first links its texts to one hub, the text whose keys are shared most:
 copies of one original share its keys, but not each other's edits. A link counts if the two shingle sets have a
-similarity of at least SIMILARITY, computed exactly; links then make groups. A hub's many partners are dealt
+similarity of at least SIMILARITY, computed exactly; links then make groups. What a key's
+texts are not linked to thereby is not given up: all texts of a key that are still in different groups are then
+compared with each other, so the groups are exact. A hub's many partners are dealt
 out in parts of PART. Equal texts are collapsed first.
 
 Defined cases: rows with a null id are kept. A null text, and one without a word, is kept unless it is equal to
@@ -113,6 +115,23 @@ def hub_links(keys: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.col("node").alias("a"), "b").distinct()
 
 
+def rest_links(keys: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all texts of a key that links (a, b) leave in different groups, if their overlap can be large enough.
+
+    Past the key prefixes, two texts share no more than one of them has left, so the count of shared keys is a bound.
+    """
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
+    rooted = keys.join(groups, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).checkpoint()
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = rooted.join(several, "key", "left_semi").checkpoint()
+    right = left.withColumnsRenamed({"key": "b_key", "node": "b", "n": "b_n", "root": "b_root"})
+    need = least_overlap(F.col("n"), F.col("b_n"), similarity)
+    pairs = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & (F.least("n", "b_n") >= need))
+    pairs = pairs.groupBy(F.col("node").alias("a"), "b", "n", "b_n").agg(F.count("*").alias("shared"))
+    beyond = F.ceil(F.greatest("n", "b_n") * F.lit(similarity) - F.lit(EPSILON)) - 1
+    return pairs.where(F.col("shared") + beyond >= need).select("a", "b")
+
+
 def verified_links(texts: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links (a, b) between texts (node, text) whose shingle sets are similar enough.
 
@@ -156,6 +175,8 @@ def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMI
     texts.join(keys.select("node").distinct(), "node", "left_semi").write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
     links = verified_links(texts, hub_links(keys, similarity), width, similarity)
+    rest = rest_links(keys, links, similarity).checkpoint()
+    links = links.union(verified_links(texts, rest, width, similarity))
     # Texts of one id are one node of the groups, whether they are similar or not.
     named = seen.join(classes, "digest").select("doc_id", "node")
     several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")

@@ -65,6 +65,20 @@ def cut_copies(seed=3):
     return [(i, t, "en", "s", len(t), 0) for i, t in enumerate(texts)]
 
 
+def star_copies(n=300, seed=4):
+    """Copies of one text with edits of their own: 0.8 or more like the text, less than 0.8 like each other."""
+    rnd = random.Random(seed)
+    words = prose(rnd, 400)
+    rows = [(n // 2, " ".join(words), "en", "s", 1, 0)]
+    for i in range(n + 1):
+        near = list(words)
+        for place in rnd.sample(range(5, 395), 8):
+            near[place] = f"edit{rnd.randrange(10**9)}"
+        if i != n // 2:
+            rows.append((i, " ".join(near), "en", "s", 1, 0))
+    return rows
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_near_dedup_keeps_one_of_each_group(spark, seed):
     rows = planted(seed)
@@ -83,6 +97,25 @@ def test_near_dedup_finds_cut_and_extended_copies(spark, seed):
     assert got == brute_kept(rows)
 
 
+def test_near_dedup_of_a_star(spark):
+    rows = star_copies()
+    got = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_kept(rows) == {0}
+
+
+def test_near_dedup_beyond_hubs(spark):
+    """Chains: each text is like the next one, the ends are not alike, so no hub reaches all."""
+    rnd, rows = random.Random(6), []
+    for g in range(40):
+        words = prose(rnd, 300)
+        for step in range(6):  # each is like the next, the ends are not alike
+            rows.append((g * 6 + (step * 5) % 6, " ".join(words), "en", "s", 1, 0))
+            for place in rnd.sample(range(300), rnd.randint(4, 8)):
+                words[place] = f"step{rnd.randrange(10**9)}"
+    got = {r.doc_id for r in neardup.keep_one(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == brute_kept(rows)
+
+
 def test_near_dedup_of_odd_tables(spark):
     rows = [(1, "a b", "en", "s", 3, 0), (1, "a b", "en", "s", 3, 0), (None, "a b", "en", "s", 3, 0), (None, None, None, None, None, None), (2, "A B", "en", "s", 3, 0)]
     df = spark.createDataFrame(rows, DOCS)
