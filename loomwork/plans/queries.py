@@ -6,17 +6,18 @@ question texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.functions.models import ExtractiveGenerator, generate_column
+from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict
 from loomwork.operators import answers, chunking, retrieval
-from loomwork.session import table
+from loomwork.session import shared_dir, table
 from loomwork.sources.pdf import text_pages
-from loomwork.sources.store import insert_if_absent
+from loomwork.sources.store import ChunkStore, insert_if_absent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,21 +46,23 @@ def chunk_ids_runlength(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.run_length_ids(rows, ["doc_id"]).select("doc_id", "id")
 
 
-def _store(spark: SparkSession, sf: str) -> DataFrame:
-    """A store that has the chunks of the documents with an even id."""
-    return _chunks(spark, sf).where(F.col("page") % 2 == 0)
+def _store(spark: SparkSession, sf: str) -> ChunkStore:
+    """A store in the shared folder to which the chunks of the documents with an even id, the SQL's prior half, were added."""
+    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.add(_chunks(spark, sf).where(F.col("page") % 2 == 0), lambda text: embed_column(text, TermEmbedder()))
+    return store
 
 
 def ingest_new_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return insert_if_absent(_chunks(spark, sf), _store(spark, sf)).select("id", F.md5("text").alias("text_md5"))
+    return insert_if_absent(_chunks(spark, sf), _store(spark, sf).read()).select("id", F.md5("text").alias("text_md5"))
 
 
 def existing_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return _store(spark, sf).select("id")
+    return _store(spark, sf).ids()
 
 
 def store_count(spark: SparkSession, sf: str) -> DataFrame:
-    return _store(spark, sf).agg(F.count("*").alias("document_count"))
+    return spark.createDataFrame([(_store(spark, sf).count(),)], "document_count long")
 
 
 def embed_terms(spark: SparkSession, sf: str) -> DataFrame:

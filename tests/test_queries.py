@@ -6,6 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from loomwork.functions.models import TermEmbedder, embed_column
+from loomwork.plans import queries
+from loomwork.sources.store import ChunkStore
 
 
 def frames(spark, sf, name):
@@ -31,3 +34,19 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["existing_ids", "store_count", "ingest_new_chunks"])
+def test_store_queries_write_a_store(spark, sf, monkeypatch, name):
+    added, add = [], ChunkStore.add
+    monkeypatch.setattr(ChunkStore, "add", lambda self, *a: added.append(add(self, *a)) or added[-1])
+    entry.queries()[name](spark, sf)
+    [n] = added
+    assert n == frames(spark, sf, "store_count")[1].document_count[0] > 0
+
+
+def test_store_takes_all_chunks(spark, sf, tmp_path):
+    chunks = queries._chunks(spark, sf)
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    assert store.add(chunks, lambda text: embed_column(text, TermEmbedder())) == store.count() == chunks.count()
+    assert sorted(r.id for r in store.ids().collect()) == sorted(r.id for r in chunks.select("id").collect())
