@@ -27,6 +27,8 @@ from loomwork.llm.rows import pack, unpack
 from loomwork.session import shared_dir
 
 MAX_REPEATS, BLOCK, SEED = 2.0, 512, 17
+#: Passes this close to a whole number are that number: products of shares may round to just below it.
+WHOLE = 1e-9
 #: Bisection: halvings evaluated by one job, jobs.
 HALVINGS, JOBS = 4, 7
 #: Sources whose weights are broadcast to the documents, at most; with more, the documents are shuffled to them.
@@ -95,7 +97,9 @@ def source_passes(shares: DataFrame, exponent: float, budget: float | None = Non
     z, least = shares.agg(F.sum(raw), F.max(F.col("tokens") / raw)).first()
     weighted = shares.withColumn("weight", raw / F.lit(z or 1.0))
     tokens = (least or 0.0) * (z or 1.0) if budget is None else float(budget)
-    return weighted.withColumn("passes", F.when(F.col("tokens") > 0, F.col("weight") * F.lit(tokens) / F.col("tokens")))
+    passes = F.col("weight") * F.lit(tokens) / F.col("tokens")
+    passes = F.when(F.abs(passes - F.round(passes)) <= WHOLE, F.round(passes)).otherwise(passes)
+    return weighted.withColumn("passes", F.when(F.col("tokens") > 0, passes))
 
 
 def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: float | None = None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -119,7 +123,7 @@ def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, ent
     order = each.orderBy("lw_order", "doc_id")  # lw_order has the text's hash
     before = F.sum("lw_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("lw_tokens") / 2
     part = F.col("lw_passes") - F.floor("lw_passes")
-    extra = (before < part * F.sum("lw_tokens").over(each)) & (part > 1e-9)
+    extra = (before < part * F.sum("lw_tokens").over(each)) & (part > WHOLE)
     copies = F.when(F.col("lw_passes").isNull(), F.lit(1)).otherwise(F.floor("lw_passes") + extra.cast("long")).cast("int")
     placed = joined.withColumns({"lw_place": F.row_number().over(order), "lw_copies": copies})
     return placed.drop("lw_source", "lw_passes", "lw_blocks", "lw_order")

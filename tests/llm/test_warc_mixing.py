@@ -109,3 +109,13 @@ def test_odd_mixtures(spark):
     assert mixture(spark, []) == []
     df = spark.createDataFrame([(1, "a", "s", 5)], "doc_id long, text string, source string, lw int")
     assert mixing.mix(df).columns == df.columns and mixing.mix(df.where(F.lit(False))).count() == 0
+
+
+def test_documents_without_words_stay_when_passes_round_down(spark):
+    """Sources whose least passes come out an ulp below one in floating point, with empty texts in every block."""
+    for sizes in ((n, n + 7 * k, 3 * n + k) for n in (11, 23, 37, 41) for k in (1, 2, 5)):
+        shares = spark.createDataFrame([(str(i), n, 1, n / sum(sizes)) for i, n in enumerate(sizes)], "source string, tokens long, n long, share double")
+        passes = [r.passes for a in (0.3, 0.55, 0.8) for r in mixing.source_passes(shares, a).collect()]
+        assert not any(0.99 < p < 1 for p in passes)
+    rows = [(i, "" if i % 3 else "w " * 9, "large", 0) for i in range(900)] + [(1000 + i, "w " * 9, "small", 0) for i in range(30)]
+    assert all(r.lw_copies >= 1 for r in mixture(spark, rows, block=16))
