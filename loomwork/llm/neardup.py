@@ -18,6 +18,7 @@ another. Rows that share an id stay or go together; of rows with equal id and te
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from math import ceil
@@ -25,7 +26,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected_components
@@ -52,9 +53,9 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, frequency) of the shingles that are frequent in a sample of texts (node, text), by hash."""
+    """(hash, frequency) of the shingles that are frequent in a sample of texts (digest, text), by hash."""
     every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
+    some = texts.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,9 +69,9 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     return keys.view(np.uint64)[order], counts[order]
 
 
-def prefix_keys(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def prefix_keys(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
     """(key, node, n, place) of the keys of texts (node, text); n is the number of the text's shingles."""
-    keys, counts = frequent_shingles(texts, width)
+    keys, counts = frequent
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,13 +94,26 @@ def least_overlap(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(EPSILON))
 
 
-def shared_keys(texts: DataFrame, folder: str, width: int, similarity: float) -> DataFrame:
+def _free(spark: SparkSession, *done: str) -> None:
+    """Deletes folders that are done with, and lets go of the shuffles of finished steps."""
+    for folder in done:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for _ in range(2):  # else shuffle files stay until the driver happens to collect its garbage
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def shared_keys(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], folder: str, width: int, similarity: float) -> DataFrame:
     """prefix_keys that several texts have, with score: how often a text's keys are shared, on average."""
     spark = texts.sparkSession
-    prefix_keys(texts, width, similarity).write.parquet(f"{folder}/all")
+    prefix_keys(texts, frequent, width, similarity).write.parquet(f"{folder}/all")
+    _free(spark)
     found = spark.read.parquet(f"{folder}/all")
     several = found.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
     found.join(several, "key").write.parquet(f"{folder}/shared")
+    del found, several
+    _free(spark, f"{folder}/all")
     found = spark.read.parquet(f"{folder}/shared")
     length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(EPSILON)) + 1
     score = found.groupBy("node").agg((F.sum("texts") / F.max(length)).alias("score"))
@@ -171,10 +185,12 @@ def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMI
     texts = docs.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("node", "text")
     if seen.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
         texts = texts.dropDuplicates(["node"])
-    keys = shared_keys(texts, folder, width, similarity)
+    keys = shared_keys(texts, frequent_shingles(docs, width), folder, width, similarity)
     texts.join(keys.select("node").distinct(), "node", "left_semi").write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
+    _free(spark)
     links = verified_links(texts, hub_links(keys, similarity), width, similarity)
+    _free(spark)
     rest = rest_links(keys, links, similarity).checkpoint()
     links = links.union(verified_links(texts, rest, width, similarity))
     # Texts of one id are one node of the groups, whether they are similar or not.
