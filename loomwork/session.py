@@ -5,8 +5,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Spark then deletes the shuffle files of a DataFrame as soon as its action has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a few short columns that may be broadcast: some ten megabytes.
+BROADCAST_ROWS = 100_000
 
 
 def local_session(cores: int | str = 8, name: str = "loomwork", **conf: str) -> SparkSession:
@@ -46,6 +55,49 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one for the tables of a job; what drop() leaves of it goes when the driver ends."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _fs(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders that no DataFrame reads any more."""
+    for folder in folders:
+        fs, path = _fs(spark, folder)
+        fs.delete(path, True)
+
+
+def saved(rows: DataFrame, folder: str) -> DataFrame:
+    """rows written to a folder and read again: no later step computes them anew, or needs what they came from."""
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action go when the action ends, so disk holds those of one action."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def broadcast_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows, to be broadcast if there are no more than most of them; counted here, so rows should be a saved table."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows over all cores; as they are, unless the input has fewer partitions than there are cores."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
