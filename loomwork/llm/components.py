@@ -2,7 +2,8 @@
 
 Each round points every node's neighbours at the smallest of them, first the larger neighbours and then the
 smaller ones, so paths shorten to stars in a number of rounds that grows with the logarithm of their length.
-A node's smallest neighbour is a partial aggregate joined back, so no node's links meet in one task.
+A node's smallest neighbour is a partial aggregate that is joined back to its links; the partition of a node with
+very many links is one that adaptive execution splits, as it does with any skewed join.
 """
 
 from __future__ import annotations
@@ -10,34 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.session import shared_dir
+from loomwork.session import drop, saved, scratch, tidy_shuffles
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of links(a, b), root being the smallest node that it reaches.
 
     Links are undirected and may repeat; links with a null end or from a node to itself count for nothing.
-    Rounds are checkpointed in the shared folder, so a lost executor costs a round at most.
+    Every round is written to the shared folder, so a lost executor costs a round at most.
     """
-    shared_dir(links.sparkSession)
-    edges = (
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-        .checkpoint()
-    )
-    state = None
-    while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = small.select("e.u", "e.v").where("u != v").distinct().checkpoint()
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+    spark = links.sparkSession
+    folder, n = scratch(spark, "components"), 0
+    with tidy_shuffles(spark):
+        ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
+        edges, state = saved(ends.distinct(), f"{folder}/{n}"), None
+        while True:
+            both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = large.where("u != v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            edges = saved(small.select("e.u", "e.v").where("u != v").distinct(), f"{folder}/{n + 1}")
+            drop(spark, f"{folder}/{n}")
+            n += 1
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == state:
+                break
+            state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

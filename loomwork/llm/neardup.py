@@ -1,51 +1,61 @@
-"""Near copies by five-word shingles, one document kept of each group, by an exact set-similarity join.
+"""Near copies by five-word shingles, one document kept of each group: SimHash first, an exact join for the rest.
 
-Shingles have one order over the table: rare before frequent (frequency on a sample, so that it bears on cost
-only), then by hash. Two sets with a similarity of SIMILARITY or more share a shingle among the first n - ceil(
-SIMILARITY n) + 1 of each (prefix filter), so these are the keys, and no pair is missed. Lengths and the places of
-a shared key bound the overlap and drop most other pairs.
+Each distinct text gets a SimHash fingerprint of its shingles, and the Golay-code search of simhash.py finds the
+fingerprints within 3 bits of each other. Fingerprints alone miss about half of the pairs at a similarity of 0.8, so
+what they leave in different groups is searched by an exact set-similarity join: shingles have one order over the
+table, rare before frequent (frequency on a sample, so that it bears on cost only), then by hash. Two sets with a
+similarity of SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY n) + 1 of each (prefix filter),
+so these are the keys, and no pair is missed. Lengths and the places of a shared key bound the overlap and drop
+most other pairs.
 
-In place of all pairs of a group, each key first links its texts to one hub, the text whose keys are shared most:
-copies of one original share its keys, but not each other's edits. A link counts if the two shingle sets have a
-similarity of at least SIMILARITY, computed exactly; links then make groups. What a key's
-texts are not linked to thereby is not given up: all texts of a key that are still in different groups are then
-compared with each other, so the groups are exact. A hub's many partners are dealt
-out in parts of PART. Equal texts are collapsed first.
+A link counts if the two shingle sets have a similarity of at least SIMILARITY, computed exactly; links make
+groups. Links are tried in an order that spares all pairs of a group:
+
+1. each fingerprint with the least one near it, and equal fingerprints with one of theirs;
+2. the texts of a key with its hub, the text whose keys are shared most, if they are in different groups: copies of
+   one original share its keys, but not each other's edits;
+3. all texts of a key that are still in different groups with each other, so the groups are exact.
+
+A hub's many partners are dealt out in parts of PART. Equal texts are collapsed before all this.
 
 Defined cases: rows with a null id are kept. A null text, and one without a word, is kept unless it is equal to
-another. Rows that share an id stay or go together; of rows with equal id and text one stays.
+another. Rows that share an id stay or go together, and each of their texts is compared; of rows with equal id and
+text one stays.
 """
 
 from __future__ import annotations
 
-import gc
-import uuid
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected_components
-from loomwork.llm.simhash import shingles
-from loomwork.session import shared_dir
+from loomwork.llm.simhash import SEED, majority, near_prints, shingles
+from loomwork.session import broadcast_if_small, drop, saved, scratch, tidy_shuffles
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Partners of a hub in a part.
 PART = 1_000
 #: Texts on which frequent shingles are found; those found in so many of them come last, the most frequent at most.
 SAMPLE, OFTEN, FREQUENT = 5_000, 3, 50_000
+#: Texts handled at once in a task.
+SLICE = 1_000
+#: Ids of repeats that are broadcast, at most: eight bytes each.
+BROADCAST_IDS = 1_000_000
 #: Slack for products of similarities and counts.
 EPSILON = 1e-9
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, ascending."""
-    parts = set(shingles(text, width))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts)))
+    """The hashes of a text's shingles, with repeats."""
+    parts = shingles(text, width)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts))
 
 
 def jaccard(a: set[bytes], b: set[bytes]) -> float:
@@ -53,14 +63,14 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, frequency) of the shingles that are frequent in a sample of texts (digest, text), by hash."""
+    """(hash, frequency) of the shingles that are frequent in a sample of texts (node, text), by hash."""
     every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("digest"), F.lit(every)) == 0).select("text")
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text or "", width).view("<i8"))], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text or "", width)).view("<i8"))], ["key"])
 
     counted = some.mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
     found = counted.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
@@ -69,24 +79,42 @@ def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndar
     return keys.view(np.uint64)[order], counts[order]
 
 
-def prefix_keys(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
-    """(key, node, n, place) of the keys of texts (node, text); n is the number of the text's shingles."""
-    keys, counts = frequent
+def shingle_sets(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+    """(node, n, print, keys) of texts (node, text) with a word: number of shingles, fingerprint, and prefix keys in order."""
+    often, counts = frequent
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                h = shingle_hashes(text or "", width)
-                if not len(h):
-                    continue
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    h = h[np.argsort(np.where(keys[at] == h, counts[at], 0), kind="stable")]
-                first = h[: len(h) - ceil(similarity * len(h) - EPSILON) + 1].view("<i8")
-                cols = [first, np.full(len(first), node, np.int64), np.full(len(first), len(h), np.int32), np.arange(len(first), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "node", "n", "place"])
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if len(often):
+            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+            h = h[np.argsort(np.where(often[at] == h, counts[at], 0), kind="stable")]
+        return h[: len(h) - ceil(similarity * len(h) - EPSILON) + 1]
 
-    return texts.select("node", "text").mapInArrow(rows, "key long, node long, n int, place int")
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                nodes, sizes, prints, keys = [], [], [], [np.zeros(0, np.uint64)]
+                for node, text in zip(*(whole.slice(at, SLICE).column(c).to_pylist() for c in ("node", "text"))):
+                    h = shingle_hashes(text or "", width)
+                    if len(h):
+                        once = np.unique(h)
+                        nodes.append(node)
+                        sizes.append(len(once))
+                        prints.append(majority(h))
+                        keys.append(prefix(once))
+                ends = np.cumsum([len(k) for k in keys]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view("<i8")))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), lists], ["node", "n", "print", "keys"])
+
+    return texts.select("node", "text").mapInArrow(rows, "node long, n int, print long, keys array<long>")
+
+
+def print_links(sets: DataFrame) -> DataFrame:
+    """(a, b) of each text and one other of an equal fingerprint, or of the least one within 3 bits."""
+    prints = sets.groupBy("print").agg(F.min("node").alias("b"))
+    same = sets.join(prints, "print").where("node != b").select(F.col("node").alias("a"), "b")
+    least = near_prints(prints).groupBy(F.col("b").alias("print")).agg(F.min("a").alias("near"))
+    near = least.join(prints, "print").withColumnRenamed("b", "a").join(prints.withColumnRenamed("print", "near"), "near")
+    return same.union(near.select("a", "b"))
 
 
 def least_overlap(n: Column, m: Column, similarity: float) -> Column:
@@ -94,67 +122,62 @@ def least_overlap(n: Column, m: Column, similarity: float) -> Column:
     return F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - F.lit(EPSILON))
 
 
-def _free(spark: SparkSession, *done: str) -> None:
-    """Deletes folders that are done with, and lets go of the shuffles of finished steps."""
-    for folder in done:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # else shuffle files stay until the driver happens to collect its garbage
-        gc.collect()
-        spark._jvm.System.gc()
-
-
-def shared_keys(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], folder: str, width: int, similarity: float) -> DataFrame:
-    """prefix_keys that several texts have, with score: how often a text's keys are shared, on average."""
-    spark = texts.sparkSession
-    prefix_keys(texts, frequent, width, similarity).write.parquet(f"{folder}/all")
-    _free(spark)
-    found = spark.read.parquet(f"{folder}/all")
-    several = found.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    found.join(several, "key").write.parquet(f"{folder}/shared")
-    del found, several
-    _free(spark, f"{folder}/all")
-    found = spark.read.parquet(f"{folder}/shared")
+def most_overlap(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Shingles that sets of n and m can share if one that both have stands at these places of their common order."""
+    return F.least(place, other) + F.least(n - place, m - other)
+
+
+def shared_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(key, node, n, place, texts) of the prefix keys that several texts have."""
+    keys = sets.select("node", "n", F.posexplode("keys").alias("place", "key"))
+    return keys.join(keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key")
+
+
+def node_facts(keys: DataFrame, similarity: float) -> DataFrame:
+    """(node, score) of each text: how often its keys are shared, on average."""
     length = F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - F.lit(EPSILON)) + 1
-    score = found.groupBy("node").agg((F.sum("texts") / F.max(length)).alias("score"))
-    return found.drop("texts").join(score, "node").checkpoint()
+    return keys.groupBy("node").agg((F.sum("texts") / F.max(length)).alias("score"))
+
+
+def open_keys(keys: DataFrame, links: DataFrame) -> DataFrame:
+    """keys (key, node, ...) with the text's group as root, only of those keys whose texts are in several groups."""
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
+    rooted = keys.join(groups, F.col("node") == F.col("linked"), "left").drop("linked").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return rooted.join(several, "key", "left_semi")
 
 
 def hub_links(keys: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of the texts of each key with its hub b, if their overlap can be large enough."""
-    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "node", "n", "place")).alias("hub")).select(F.col("key").alias("hub_key"), "hub.node", "hub.n", "hub.place")
-    hubs = hubs.withColumnsRenamed({"node": "b", "n": "b_n", "place": "b_place"})
-    most = F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place"))  # if it is the first that they share
-    near = keys.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("node") != F.col("b")) & (most >= least_overlap(F.col("n"), F.col("b_n"), similarity)))
-    return near.select(F.col("node").alias("a"), "b").distinct()
+    """(a, b) of the texts of each key with its hub b in another group, if their overlap can be large enough."""
+    hubs = keys.groupBy("key").agg(F.max(F.struct("score", "node", "n", "place", "root")).alias("hub"))
+    hubs = hubs.select(F.col("key").alias("hub_key"), *(F.col(f"hub.{c}").alias(d) for c, d in (("node", "b"), ("n", "b_n"), ("place", "b_place"), ("root", "b_root"))))
+    enough = most_overlap(F.col("n"), F.col("place"), F.col("b_n"), F.col("b_place")) >= least_overlap(F.col("n"), F.col("b_n"), similarity)
+    return keys.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("root") != F.col("b_root")) & enough).select(F.col("node").alias("a"), "b").distinct()
 
 
-def rest_links(keys: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of all texts of a key that links (a, b) leave in different groups, if their overlap can be large enough.
+def rest_links(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of all texts of a key in different groups, if their overlap can be large enough.
 
     Past the key prefixes, two texts share no more than one of them has left, so the count of shared keys is a bound.
     """
-    groups = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
-    rooted = keys.join(groups, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")).checkpoint()
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    left = rooted.join(several, "key", "left_semi").checkpoint()
-    right = left.withColumnsRenamed({"key": "b_key", "node": "b", "n": "b_n", "root": "b_root"})
+    right = keys.select(*(F.col(c).alias(f"b_{c}") for c in ("key", "node", "n", "place", "root")))
     need = least_overlap(F.col("n"), F.col("b_n"), similarity)
-    pairs = left.join(right, (F.col("key") == F.col("b_key")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & (F.least("n", "b_n") >= need))
-    pairs = pairs.groupBy(F.col("node").alias("a"), "b", "n", "b_n").agg(F.count("*").alias("shared"))
+    enough = most_overlap(F.col("n"), F.col("place"), F.col("b_n"), F.col("b_place")) >= need
+    pairs = keys.join(right, (F.col("key") == F.col("b_key")) & (F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & enough)
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("b_node").alias("b"), "n", "b_n").agg(F.count("*").alias("shared"))
     beyond = F.ceil(F.greatest("n", "b_n") * F.lit(similarity) - F.lit(EPSILON)) - 1
     return pairs.where(F.col("shared") + beyond >= need).select("a", "b")
 
 
-def verified_links(texts: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+def verified_links(texts: DataFrame, links: DataFrame, folder: str, width: int, similarity: float) -> DataFrame:
     """The links (a, b) between texts (node, text) whose shingle sets are similar enough.
 
     Each b is a hub: its text goes once to every part of its partners, which pass it one by one.
     """
-    links = links.checkpoint()
+    links = saved(links, f"{folder}/tried")
     parts = links.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    needed = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "id")
-    held = texts.join(needed, F.col("node") == F.col("id"), "left_semi").checkpoint()
+    needed = saved(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{folder}/needed")
+    held = texts.join(broadcast_if_small(needed, BROADCAST_IDS), F.col("node") == F.col("id"), "left_semi")
     hub = parts.join(held, F.col("b") == F.col("node")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
     partner = links.join(parts, "b").join(held, F.col("a") == F.col("node")).select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), "a", "text")
     dealt = hub.union(partner).repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
@@ -172,42 +195,63 @@ def verified_links(texts: DataFrame, links: DataFrame, width: int, similarity: f
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return dealt.select("b", "a", "text").mapInArrow(rows, "a long, b long").checkpoint()
+    return saved(dealt.select("b", "a", "text").mapInArrow(rows, "a long, b long"), f"{folder}/links")
+
+
+def _nodes(docs: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest) of all rows, (digest, first_id, node) of all distinct texts, and (node, text) of these.
+
+    If ids are unique, the least id of a text is its node, and texts stay where they are; else nodes are numbered.
+    """
+    seen = saved(docs.select("doc_id", "digest"), f"{folder}/seen")
+    classes = seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    if seen.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        classes = saved(classes.drop("rows").withColumn("node", F.monotonically_increasing_id()), f"{folder}/classes")
+        first = classes.select("digest", F.col("first_id").alias("doc_id"), "node")
+        return seen, classes, docs.join(first, ["digest", "doc_id"]).select("node", "text").dropDuplicates(["node"])
+    classes = saved(classes.withColumn("node", F.col("first_id")), f"{folder}/classes")
+    shared = broadcast_if_small(saved(classes.where("rows > 1").select("digest", "first_id"), f"{folder}/shared_texts"))
+    later = saved(seen.join(shared, "digest").where("doc_id != first_id").select(F.col("doc_id").alias("later_id")), f"{folder}/later")
+    texts = docs.join(broadcast_if_small(later, BROADCAST_IDS), F.col("doc_id") == F.col("later_id"), "left_anti")
+    return seen, classes.drop("rows"), texts.select(F.col("doc_id").alias("node"), "text")
 
 
 def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, digest, kept_id) of documents with an id; kept_id is the smallest id of the document's group."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/neardup-{uuid.uuid4().hex}"
-    docs = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("doc_id is not null")
-    seen = docs.select("doc_id", "digest").checkpoint()
-    classes = seen.groupBy("digest").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()).checkpoint()
-    texts = docs.join(classes.withColumnRenamed("first_id", "doc_id"), ["digest", "doc_id"]).select("node", "text")
-    if seen.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
-        texts = texts.dropDuplicates(["node"])
-    keys = shared_keys(texts, frequent_shingles(docs, width), folder, width, similarity)
-    texts.join(keys.select("node").distinct(), "node", "left_semi").write.parquet(f"{folder}/texts")
-    texts = spark.read.parquet(f"{folder}/texts")
-    _free(spark)
-    links = verified_links(texts, hub_links(keys, similarity), width, similarity)
-    _free(spark)
-    rest = rest_links(keys, links, similarity).checkpoint()
-    links = links.union(verified_links(texts, rest, width, similarity))
-    # Texts of one id are one node of the groups, whether they are similar or not.
-    named = seen.join(classes, "digest").select("doc_id", "node")
-    several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")
-    same = named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
-    linked = connected_components(links.union(same), "a", "b").withColumnRenamed("node", "linked")
-    rooted = classes.join(linked, F.col("node") == F.col("linked"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root")).checkpoint()
-    kept = rooted.groupBy("root").agg(F.min("first_id").alias("kept_id"))
-    return seen.join(rooted.join(kept, "root").select("digest", "kept_id"), "digest")
+    folder = scratch(spark, "neardup")
+    with tidy_shuffles(spark):
+        docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+        seen, classes, texts = _nodes(docs, folder)
+        sets = saved(shingle_sets(texts, frequent_shingles(texts, width), width, similarity), f"{folder}/sets")
+        first = verified_links(texts, print_links(sets), f"{folder}/1", width, similarity)
+        keys = saved(shared_keys(sets, similarity), f"{folder}/keys")
+        drop(spark, f"{folder}/sets")
+        scored = saved(open_keys(keys.drop("texts"), first).join(node_facts(keys, similarity), "node"), f"{folder}/scored")
+        drop(spark, f"{folder}/keys")
+        second = first.union(verified_links(texts, hub_links(scored, similarity), f"{folder}/2", width, similarity))
+        rest = saved(open_keys(scored.drop("root", "score"), second), f"{folder}/rest")
+        drop(spark, f"{folder}/scored")
+        links = second.union(verified_links(texts, rest_links(rest, similarity), f"{folder}/3", width, similarity))
+        # Texts of one id are one node of the groups, whether they are similar or not.
+        named = seen.join(classes, "digest").select("doc_id", "node")
+        several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")
+        same = named.join(several, "doc_id").where("node != b").select(F.col("node").alias("a"), "b")
+        linked = connected_components(links.union(same), "a", "b").withColumnRenamed("node", "linked")
+        rooted = classes.join(linked, F.col("node") == F.col("linked"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
+        rooted = saved(rooted, f"{folder}/rooted")
+        kept = rooted.groupBy("root").agg(F.min("first_id").alias("kept_id"))
+        found = saved(seen.join(rooted.join(kept, "root").select("digest", "kept_id"), "digest"), f"{folder}/found")
+    drop(spark, *(f"{folder}/{part}" for part in ("rest", "1", "2", "3", "rooted", "seen", "classes", "shared_texts", "later")))
+    return found
 
 
 def keep_one(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those that are near copies of one with a smaller id, with the columns of docs."""
-    found = near_copies(docs, width=width, similarity=similarity).checkpoint()
-    gone = found.where("doc_id != kept_id").select(F.col("doc_id").alias("lw_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["lw_id"], "left_anti")
+    spark = docs.sparkSession
+    found = near_copies(docs, width=width, similarity=similarity)
+    gone = saved(found.where("doc_id != kept_id").select(F.col("doc_id").alias("lw_id")).distinct(), f"{scratch(spark, 'neardup')}/gone")
+    kept = docs.join(broadcast_if_small(gone, BROADCAST_IDS), docs["doc_id"] == gone["lw_id"], "left_anti")
     stay = found.where("doc_id = kept_id")
     repeats = stay.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
     if repeats:  # equal rows: only then is every kept text compared once more

@@ -53,17 +53,20 @@ def shingles(text: str, width: int) -> list[bytes]:
     return [b" ".join(w) for w in zip(*(words[i:] for i in range(width)))]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes: bit i is set if it is in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: str, width: int = 3) -> int:
-    """Bit i is set if it is in over half of the shingles' hashes."""
+    """The fingerprint of a text's shingles; 0 without a word."""
     parts = shingles(text, width)
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(parts), CHUNK):
-        h = np.array([digest(p, SEED) for p in parts[at : at + CHUNK]], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(parts), bitorder="little").view("<i8")[0])
+    return majority(np.fromiter((digest(p, SEED) for p in parts), np.uint64, len(parts)))
 
 
 def fingerprint_column(text: Column, make: Callable[[str], int] = fingerprint) -> Column:
