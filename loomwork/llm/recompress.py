@@ -5,20 +5,21 @@ of a left and a right symbol (a coin tossed from the symbol's name and the round
 of what they stand for, so all tasks name equal runs and pairs alike without a shared dictionary, and equal
 passages get equal symbols inside, wherever they stand; only symbols near a passage's ends may differ.
 
-For each symbol the rounds also keep its support: the words that fix it. A symbol whose support lies in a
-window is the same in every equal window, so each window has a landmark that depends on its words alone: of the
-highest symbols with support in the window, the one with the least hash (a window without such a symbol is its
-own landmark). Landmarks are several times fewer than windows. The steps are:
+For each symbol the rounds also keep its support, the words that fix it, and its name in context: its own and those
+of the neighbours that fixed it. A symbol whose support lies in a window is the same, in the same context, in every
+equal window, so each window has a landmark that depends on its words alone: of the highest symbols with support in
+the window, the one whose name in context is least (a window without such a symbol is its own landmark). Landmarks
+are several times fewer than windows. The steps are:
 
 0. texts equal to one of a smaller document are repeats as a whole, and take no further part;
-1. count documents per landmark; keep landmarks that two documents share;
+1. the rounds give the landmarks of each text, and names that two documents share are kept;
 2. among windows with such a landmark only, a task settles those it has seen in a smaller document itself, so it
-   sends on one document for each window and buffer, however many documents have it;
+   sends on one row for each window and buffer, however many documents have it and however often;
 3. what is left is sorted by window and document and read in that order: a window is a repeat in every document
    but the first. The words that repeats cover are dropped.
 
-Landmarks only choose what to compare. Windows are compared by two independent hashes of their words, of 64 and
-32 bits.
+Landmarks only choose what to compare. Windows are verified by two independent 64-bit hashes of their words: among
+10^13 windows, two different ones agree in both with a chance of about 10^-13.
 
 Defined cases: a null or blank text has no words and loses none. Rows with a null id neither lose words nor
 make others lose them. Rows that share an id are judged each on its own text and don't affect each other.
@@ -26,9 +27,7 @@ make others lose them. Rows that share an id are judged each on its own text and
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.rows import pack, unpack
-from loomwork.session import shared_dir
+from loomwork.session import broadcast_if_small, drop, saved, scratch, tidy_shuffles
 
 #: More rounds would give symbols whose support rarely fits in a window of 13 words.
 WINDOW, ROUNDS = 13, 2
-#: Stands for the number of all windows of a text.
-WHOLE = -1
+#: Covered places of all texts that are broadcast to them, and ids of copies, at most; with more, texts are shuffled.
+BROADCAST_PLACES, BROADCAST_IDS = 2_000_000, 1_000_000
 #: Words parsed at once in a task; windows that a task holds before it sends them on.
 BLOCK_WORDS, BUFFER = 400_000, 1_000_000
 
@@ -77,10 +76,18 @@ class Spans:
 
 
 class Level:
-    """Symbols of one round over a block of documents: names, words covered, and supports as half-open spans."""
+    """Symbols of one round over a block of documents: names, names in context, supports as half-open spans."""
 
-    def __init__(self, name, start, end, low, high, doc):
-        self.name, self.start, self.end, self.low, self.high, self.doc = name, start, end, low, high, doc
+    def __init__(self, name, context, low, high, doc):
+        self.name, self.context, self.low, self.high, self.doc = name, context, low, high, doc
+
+
+def together(*names: np.ndarray) -> np.ndarray:
+    """One name for several in order."""
+    total = names[0]
+    for name in names[1:]:
+        total = mix(total * MIX_A + name)
+    return total
 
 
 def next_level(at: Level, edges: tuple[np.ndarray, np.ndarray], round_: int) -> Level:
@@ -92,11 +99,12 @@ def next_level(at: Level, edges: tuple[np.ndarray, np.ndarray], round_: int) ->
     last = np.append(first[1:], len(new)) - 1
     length = (last - first + 1).astype(np.uint64)
     name = np.where(length > 1, mix(at.name[first] + length * MIX_A), at.name[first])
-    doc, start, end = at.doc[first], at.start[first], at.end[last]
+    doc = at.doc[first]
     # A run ends where its neighbours differ, so their supports count; a document's edge isn't in any window.
     before, after = np.maximum(first - 1, 0), np.minimum(last + 1, len(new) - 1)
     low = np.where((first > 0) & (at.doc[before] == doc), at.low[before], first_word[doc] - 1)
     high = np.where((last + 1 < len(new)) & (at.doc[after] == doc), at.high[after], end_word[doc] + 1)
+    context = together(at.context[before], name, at.context[after])
     right = (mix(name + np.uint64((round_ + 1) * int(MIX_B) & (1 << 64) - 1)) & np.uint64(1)).astype(bool)
     next_same = np.zeros(len(name), bool)
     next_same[:-1] = doc[1:] == doc[:-1]
@@ -104,18 +112,20 @@ def next_level(at: Level, edges: tuple[np.ndarray, np.ndarray], round_: int) ->
     opens[:-1] = ~right[:-1] & right[1:] & next_same[:-1]
     closes = np.append(False, opens[:-1])
     # A left symbol alone depends on its next neighbour, a right symbol alone on the one before.
-    previous = np.append(False, next_same[:-1])
     i = np.arange(len(name))
-    lone_high = np.where(next_same, high[np.minimum(i + 1, len(i) - 1)], end_word[doc] + 1)
-    lone_low = np.where(previous, low[np.maximum(i - 1, 0)], first_word[doc] - 1)
+    later, earlier = np.minimum(i + 1, len(i) - 1), np.maximum(i - 1, 0)
+    lone_high = np.where(next_same, high[later], end_word[doc] + 1)
+    lone_low = np.where(np.append(False, next_same[:-1]), low[earlier], first_word[doc] - 1)
     lone = ~opens & ~closes
+    beside = np.where(lone & ~right, together(context, context[later]), np.where(lone & right, together(context[earlier], context), context))
     high = np.where(lone & ~right, lone_high, high)
     low = np.where(lone & right, lone_low, low)
     keep = np.flatnonzero(~closes)
     mate = np.where(opens[keep], keep + 1, keep)
-    merged = np.where(opens[keep], mix(name[keep] * MIX_A + mix(name[mate])), name[keep])
+    merged = np.where(opens[keep], together(name[keep], name[mate]), name[keep])
+    context = np.where(opens[keep], together(context[keep], context[mate]), beside[keep])
     # Supports must not shrink to the left or right of an earlier symbol's, for the search below.
-    return Level(merged, start[keep], end[mate], np.minimum(low[keep], low[mate]), np.maximum(high[keep], high[mate]), doc[keep])
+    return Level(merged, context, np.minimum(low[keep], low[mate]), np.maximum(high[keep], high[mate]), doc[keep])
 
 
 def landmarks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +141,7 @@ def landmarks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tu
     key = np.zeros(len(doc), np.uint64)
     todo = np.arange(len(doc))
     n = np.arange(len(words))
-    level, levels = Level(words, n, n + 1, n, n + 1, np.repeat(np.arange(len(counts)), counts)), []
+    level, levels = Level(words, words, n, n + 1, np.repeat(np.arange(len(counts)), counts)), []
     for r in range(ROUNDS):
         level = next_level(level, (first_word, end_word), r)
         levels.append(level)
@@ -141,7 +151,7 @@ def landmarks(words: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> tu
         low, high = level.low[fits], level.high[fits]
         if not len(todo) or not len(fits):
             continue
-        names = spans(low, high) ^ np.uint64(r)
+        names = mix(level.context[fits] ^ np.uint64(r))
         # Supports may nest a little, so search each bound in running extremes and test the other.
         least, most = np.minimum.accumulate(low[::-1])[::-1], np.maximum.accumulate(high)
         at = starts[todo]
@@ -182,57 +192,68 @@ def _batches(rows: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Rec
 
 
 def _doc_landmarks(docs: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id) of the distinct landmarks of each document."""
+    """(doc_id, tag, keys) of the texts that are long enough: their distinct landmarks."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for a, _, held in _blocks(batch.column("text").to_pylist()):
+            for a, b, held in _blocks(batch.column("text").to_pylist()):
                 words, counts = _hashes(held, xxhash.xxh64_intdigest)
                 doc, _, key = landmarks(words, counts, window)
-                if len(doc):
-                    change = np.ones(len(doc), bool)  # neighbours mostly share their landmark
-                    change[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-                    doc, key = doc[change], key[change]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a + doc].astype(np.int64))], ["key", "doc_id"])
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                once = np.ones(len(doc), bool)
+                once[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[once], minlength=b - a))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[once].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("doc_id", "tag")] + [keys], ["doc_id", "tag", "keys"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(rows, "doc_id long, tag long, keys array<long>").where(F.size("keys") > 0)
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(rows, "key long, doc_id long")
 
+REPEAT = "w1 long, w2 long, doc_id long, tag long, starts array<int>, n int, sure boolean"
 
-REPEAT = "w1 long, w2 int, doc_id long, tag int, start int, n int, sure boolean"
 
+def _record(w1, w2, doc_id, tag, ends, starts, n, sure) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(starts))
+    columns = [pa.array(w1), pa.array(w2), pa.array(doc_id), pa.array(tag), lists, pa.array(n.astype(np.int32)), pa.array(np.full(len(w1), sure))]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in REPEAT.split(", ")])
 
-def _record(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in REPEAT.split(", ")])
+
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
 def settle(w1: np.ndarray, w2: np.ndarray, doc_id: np.ndarray, tag: np.ndarray, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """REPEAT rows of a buffer of windows: runs of n windows that are repeats for sure, and one by one the others."""
+    """REPEAT rows of a buffer of windows: for each window its least document, with all its places, and runs of n
+    windows of the other documents, which are repeats for sure."""
     order = np.lexsort((start, tag, doc_id, w2, w1))
     w1, w2, doc_id, tag, start = (x[order] for x in (w1, w2, doc_id, tag, start))
-    new = np.ones(len(w1), bool)
-    new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+    new = _new(w1, w2)
     sure = doc_id > doc_id[np.flatnonzero(new)][np.cumsum(new) - 1]
-    open_, one = np.flatnonzero(~sure), np.int32(1)
-    yield _record(w1[open_], w2[open_], doc_id[open_], tag[open_], start[open_], np.full(len(open_), one), np.zeros(len(open_), bool))
+    a, b, d, t, places = (x[~sure] for x in (w1, w2, doc_id, tag, start))
+    heads = np.flatnonzero(_new(a, b, d, t))
+    yield _record(a[heads], b[heads], d[heads], t[heads], np.append(heads, len(places)), places, np.ones(len(heads)), False)
     doc_id, tag, start = doc_id[sure], tag[sure], start[sure]
     order = np.lexsort((start, tag, doc_id))
     doc_id, tag, start = doc_id[order], tag[order], start[order]
-    head = np.ones(len(start), bool)
-    head[1:] = (doc_id[1:] != doc_id[:-1]) | (tag[1:] != tag[:-1]) | (start[1:] > start[:-1] + 1)
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(start)) - 1
-    if len(first):
-        yield _record(tag[first].astype(np.int64), start[first], doc_id[first], tag[first], start[first], start[last] - start[first] + one, np.ones(len(first), bool))
+    if len(start):
+        head = _new(doc_id, tag)
+        head[1:] |= start[1:] > start[:-1] + 1
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(start)) - 1
+        spread = mix(doc_id[first].view(np.uint64) + start[first].astype(np.uint64)).view(np.int64)
+        yield _record(spread, tag[first], doc_id[first], tag[first], np.arange(len(first) + 1), start[first], start[last] - start[first] + 1, True)
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
-    """REPEAT rows of the windows whose landmark is in the row's array keys; rows tagged as copies have none."""
+    """REPEAT rows of the windows whose landmark is in the row's array keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_back: list[tuple[np.ndarray, ...]] = []
         for batch in _batches(batches):
-            batch = batch.filter(pa.array([t not in (c or ()) for t, c in zip(batch.column("tag").to_pylist(), batch.column("copy_tags").to_pylist())], pa.bool_()))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
             keys = batch.column("keys")
             for a, b, held in _blocks(batch.column("text").to_pylist()):
@@ -249,98 +270,101 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
                 at = np.cumsum(counts)[doc] - counts[doc] + start
                 second, _ = _hashes(held, xxhash.xxh3_64_intdigest)
                 w1, w2 = (Spans(w, base)(at, at + window) for w, base in zip((words, second), BASES))
-                held_back.append((w1.view(np.int64), w2.astype(np.uint32).view(np.int32), ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int32), start.astype(np.int32)))
+                held_back.append((w1.view(np.int64), w2.view(np.int64), ids[a + doc].astype(np.int64), tags[a + doc].astype(np.int64), start.astype(np.int32)))
                 if sum(len(x[0]) for x in held_back) >= BUFFER:
                     yield from settle(*(np.concatenate(c) for c in zip(*held_back)))
                     held_back = []
         if held_back:
             yield from settle(*(np.concatenate(c) for c in zip(*held_back)))
 
-    return docs.mapInArrow(rows, REPEAT)
+    return docs.select("doc_id", "tag", "text", "keys").mapInArrow(rows, REPEAT)
 
 
 def _repeats(windows: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, n) of all repeats: each window's rows follow each other, the smallest document first."""
+    """(doc_id, tag, starts, n) of all repeats: each window's rows follow each other, the smallest document first."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, first_id = None, None
         for batch in batches:
-            w1, w2, doc_id, tag, start, n, sure = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            w1, w2, doc_id, sure = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("w1", "w2", "doc_id", "sure"))
             if not len(w1):
                 continue
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (sure[1:] != sure[:-1])
+            new = _new(w1, w2, sure)
             new[0] = before != (w1[0], w2[0], sure[0])
             firsts = np.where(new, doc_id, 0)[np.maximum.accumulate(np.where(new, np.arange(len(w1)), 0))]
             if not new[0]:
                 firsts[: np.argmax(new) if new.any() else len(new)] = first_id
             before, first_id = (w1[-1], w2[-1], sure[-1]), firsts[-1]
-            hit = np.flatnonzero(sure | (doc_id > firsts))
-            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (doc_id, tag, start, n)], ["doc_id", "tag", "start", "n"])
+            yield batch.select(["doc_id", "tag", "starts", "n"]).filter(pa.array(sure | (doc_id > firsts)))
 
     ordered = windows.repartition("w1", "w2").sortWithinPartitions("w1", "w2", "sure", "doc_id")
-    return ordered.mapInArrow(rows, "doc_id long, tag int, start int, n int")
-
+    return ordered.mapInArrow(rows, "doc_id long, tag long, starts array<int>, n int")
 
-def _free(spark) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage.
 
-    A step's plan goes with one collection, and the shuffles that it held with the next.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+def covered(runs: list[dict], window: int) -> list[int]:
+    """From and to of the places that windows in runs (start, n) cover, merged: [from, to, from, to, ...]."""
+    found: list[int] = []
+    for start, end in sorted((r["start"], r["start"] + r["n"] - 1 + window) for r in runs):
+        if found and start <= found[-1]:
+            found[-1] = max(found[-1], end)
+        else:
+            found += [start, end]
+    return found
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, tag, runs) of documents with repeats: tag is hash(text), runs are (start, n) of repeated windows, n being
-    WHOLE if all of the text's are."""
+def repeated_places(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, tag, places) of documents with repeats: tag is xxhash64(text); places are from and to of repeated words,
+    and null if all of a text that is long enough for a window are."""
     spark = docs.sparkSession
-    shared_dir(spark)
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    per_key = _doc_landmarks(docs, window).groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    shared = per_key.where("first_id < last_id").select("key").checkpoint()
-    del per_key
-    _free(spark)
-    keys = _doc_landmarks(docs, window).join(shared, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")).checkpoint()
-    _free(spark)
-    copies = _copies(docs)
-    keys = keys.join(copies.groupBy("doc_id").agg(F.collect_set("tag").alias("copy_tags")), "doc_id", "left")
-    runs = _repeats(_windows(docs.withColumn("tag", F.hash("text")).join(keys, "doc_id"), window))
-    found = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("runs")).checkpoint()
-    del runs, keys
-    _free(spark)
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("n")))
-    return found.union(copies.select("doc_id", "tag", whole.alias("runs")))
-
-
-def _copies(docs: DataFrame) -> DataFrame:
+    folder = scratch(spark, "recompress")
+
+    @F.pandas_udf("array<int>")
+    def merged(runs: pd.Series) -> pd.Series:
+        return pd.Series([covered(r, window) for r in runs])
+
+    with tidy_shuffles(spark):
+        docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("tag", F.xxhash64("text"))
+        copies = _copies(docs, folder)
+        later = copies.select(F.col("doc_id").alias("later_id"), F.col("tag").alias("later_tag"))
+        left = docs.join(broadcast_if_small(later, BROADCAST_IDS), (F.col("doc_id") == F.col("later_id")) & (F.col("tag") == F.col("later_tag")), "left_anti")
+        marks = saved(_doc_landmarks(left, window), f"{folder}/marks")
+        keys = marks.select("doc_id", "tag", F.explode("keys").alias("key"))
+        per_key = keys.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+        shared = saved(per_key.where("first_id < last_id").select("key"), f"{folder}/shared")
+        wanted = saved(keys.join(shared, "key").groupBy("doc_id", "tag").agg(F.collect_set("key").alias("keys")), f"{folder}/wanted")
+        drop(spark, f"{folder}/marks", f"{folder}/shared")
+        runs = _repeats(_windows(left.join(wanted, ["doc_id", "tag"]), window)).select("doc_id", "tag", F.explode("starts").alias("start"), "n")
+        found = saved(runs.groupBy("doc_id", "tag").agg(merged(F.collect_set(F.struct("start", "n"))).alias("places")), f"{folder}/places")
+        drop(spark, f"{folder}/wanted")
+    return found.union(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("places")))
+
+
+def _copies(docs: DataFrame, folder: str) -> DataFrame:
     """(doc_id, tag) of the rows whose text a document with a smaller id has."""
-    seen = docs.select("doc_id", F.hash("text").alias("tag"), F.md5("text").alias("digest"))
+    seen = docs.select("doc_id", "tag", F.unhex(F.md5("text")).alias("digest"))
     first = seen.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    first = first.where("first_id < last_id").select("digest", "first_id").checkpoint()
-    return seen.join(first, "digest").where("first_id < doc_id").select("doc_id", "tag").distinct().checkpoint()
+    first = saved(first.where("first_id < last_id").select("digest", "first_id"), f"{folder}/first")
+    return saved(seen.join(first, "digest").where("first_id < doc_id").select("doc_id", "tag").distinct(), f"{folder}/copies")
 
 
-def kept_words(text: str | None, runs, window: int = WINDOW) -> tuple[int, list[bytes]]:
-    """Number of words of a text, and the words that no window of the runs covers."""
+def kept_words(text: str | None, copied: bool, places, window: int = WINDOW) -> tuple[int, list[bytes]]:
+    """Number of words of a text, and the words outside places; of a copied text, those of one too short for a window."""
     words = (text or "").encode().split()
-    if runs is None or not len(runs):
-        return len(words), words
-    if any(run["n"] == WHOLE for run in runs):
+    if copied:
         return len(words), words if len(words) < window else []
-    depth = np.zeros(len(words) + 1, np.int64)
-    for run in runs:
-        depth[run["start"]] += 1
-        depth[run["start"] + run["n"] - 1 + window] -= 1
-    covered = np.cumsum(depth[:-1]) > 0
-    return len(words), [w for w, c in zip(words, covered.tolist()) if not c]
+    kept, at = [], 0
+    for start, end in zip(places[::2], places[1::2]) if places is not None else ():
+        kept += words[at:start]
+        at = end
+    return len(words), kept + words[at:]
 
 
-def _with_runs(docs: DataFrame, window: int) -> DataFrame:
-    found = repeated_windows(docs, window).select(F.col("doc_id").alias("lw_id"), F.col("tag").alias("lw_tag"), F.col("runs").alias("lw_runs"))
-    return docs.join(found, (docs["doc_id"] == found["lw_id"]) & (F.hash(docs["text"]) == found["lw_tag"]), "left")
+def _with_places(docs: DataFrame, window: int) -> DataFrame:
+    """docs with lw_found, whether a text has repeats, and lw_places of them, null if it is a copy as a whole."""
+    found = repeated_places(docs, window).select(F.col("doc_id").alias("lw_id"), F.col("tag").alias("lw_tag"), F.col("places").alias("lw_places"), F.lit(True).alias("lw_found"))
+    n = found.agg(F.sum(F.coalesce(F.size("lw_places"), F.lit(1)) + 2)).first()[0] or 0
+    found = F.broadcast(found) if n <= BROADCAST_PLACES else found
+    return docs.join(found, (docs["doc_id"] == found["lw_id"]) & (F.xxhash64(docs["text"]) == found["lw_tag"]), "left")
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -350,13 +374,13 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     @F.pandas_udf("string")
-    def kept(texts: pd.Series, runs: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else b" ".join(kept_words(t, s, window)[1]).decode() for t, s in zip(texts, runs)], dtype=object)
+    def kept(texts: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(kept_words(t, p is None, p, window)[1]).decode() for t, p in zip(texts, places)], dtype=object)
 
     names = ("doc_id", "text")
-    joined = _with_runs(pack(docs, *names), window)
-    cut = F.col("lw_runs").isNotNull()
-    changed = joined.withColumn("lw_text", F.when(cut, kept("text", "lw_runs")))
+    joined = _with_places(pack(docs, *names), window)
+    cut = F.col("lw_found").isNotNull()
+    changed = joined.withColumn("lw_text", F.when(cut, kept(F.when(cut, F.col("text")), F.col("lw_places"))))
     new = {"text": F.when(cut, F.col("lw_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(cut, F.length("lw_text").cast("long")).otherwise(F.col("lw_row.n_chars"))
@@ -367,12 +391,12 @@ def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The contract's columns."""
 
     @F.pandas_udf("n_words long, n_removed long, kept_sha256 string")
-    def report(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+    def report(texts: pd.Series, found: pd.Series, places: pd.Series) -> pd.DataFrame:
         rows = []
-        for text, at in zip(texts, runs):
-            n, kept = kept_words(text, at, window)
+        for text, some, at in zip(texts, found, places):
+            n, kept = kept_words(text, bool(some) and at is None, at, window)
             rows.append((n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    joined = _with_runs(docs.select("doc_id", "text"), window)
-    return joined.select("doc_id", report("text", "lw_runs").alias("r")).select("doc_id", "r.*")
+    joined = _with_places(docs.select("doc_id", "text"), window)
+    return joined.select("doc_id", report("text", F.coalesce("lw_found", F.lit(False)), "lw_places").alias("r")).select("doc_id", "r.*")
