@@ -1,13 +1,15 @@
 """WARC round trips, and mixtures against their definition."""
 
 import hashlib
+import io
 import math
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomwork.llm import mixing, warc
-from loomwork.session import shared_dir, table
+from loomwork.session import scratch, table
 
 PAGES = "page_id long, url string, html string, size int"
 
@@ -47,28 +49,52 @@ def test_archives_round_trip(spark, sf):
     assert warc.archive_report(pages.limit(0)).count() == 0
 
 
-def test_index_finds_every_capture(spark, sf, monkeypatch):
+@pytest.mark.parametrize("top", [10_000, 2])
+def test_index_finds_every_capture(spark, sf, monkeypatch, top):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    monkeypatch.setattr(warc, "TOP", top)
+    monkeypatch.setattr(warc, "FAN", 4)
     rows = page_rows(spark, sf)
-    folder = f"{shared_dir(spark)}/test-{id(rows)}"
+    folder = scratch(spark, "test")
     warc.write_archives(spark.createDataFrame([(*r, 0) for r in rows], PAGES).repartition(3), f"{folder}/archive")
-    captures = warc.read_archives(spark, f"{folder}/archive")
+    captures = warc.read_archives(spark, f"{folder}/archive").persist()
     assert captures.count() == len(rows)
     index = warc.build_index(captures, f"{folder}/index")
-    assert index.size >= len(rows) // 7
-    for i, url, html in rows[::5] + rows[-12:-3]:
+    assert index.size >= len(rows) // 7 and len(index.directory()) == (1 if top > 2 else 3)
+    for i, url, html in rows[::17] + rows[-12:-9]:
         url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
-        hits = [h for h in index.find(url) if h["page_id"] == i]
+        hits = [h for h in index.find(url).collect() if h["page_id"] == i]
         assert hits
         if hits[0]["record_type"] == "response":
-            raw = warc.read_range(spark, hits[0]["file"], hits[0]["offset"], hits[0]["length"])
-            [(headers, offset, length, payload)] = list(warc.parse_records(raw + b"\r\n\r\n"))
+            with warc.opened(hits[0]["file"]) as stream:
+                stream.seek(hits[0]["offset"])
+                raw = stream.read(hits[0]["length"])
+            [(headers, offset, length, payload)] = list(warc.parse_records(io.BytesIO(raw + b"\r\n\r\n").read))
             assert (payload, headers["WARC-Target-URI"], length) == ((html or "").encode(), url, len(raw))
     wanted = captures.select("key", "page_id").where("page_id is not null")
-    located = {(r.key, r.page_id) for r in index.locate(wanted).collect()}
-    assert located == {(r.key, r.page_id) for r in wanted.collect()}
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
-    assert {(r.key, r.page_id) for r in index.locate(wanted).collect()} == located
+    assert {(r.key, r.page_id) for r in index.locate(wanted).collect()} == {(r.key, r.page_id) for r in wanted.collect()}
+    some = wanted.orderBy("key").limit(2)
+    assert {r.block for r in index.blocks_of(some).collect()} <= {r.block for r in index.blocks.orderBy("first_key").limit(3).collect()}
+    read = {(r.page_id, r.payload_digest) for r in warc.read_ranges(captures.where("record_type = 'response'")).collect()}
+    assert read == {(r.page_id, r.payload_digest) for r in captures.where("record_type = 'response'").collect()}
+    captures.unpersist()
+
+
+def test_records_longer_than_a_read(monkeypatch):
+    monkeypatch.setattr(warc, "READ", 7)
+    bodies = [b"x" * 100, b"", b"\r\n\r\n" * 9]
+    raw = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\nH: 1\r\n\r\n%s\r\n\r\n" % (len(x) + 8, x) for x in bodies)
+    assert [x[3] for x in warc.parse_records(io.BytesIO(raw).read)] == bodies
+    assert [x[3] for x in warc.parse_records(io.BytesIO(raw[:-4]).read)] == bodies
+    with pytest.raises(ValueError):
+        list(warc.parse_records(io.BytesIO(raw[:-9]).read))
+
+
+def test_large_pages(spark):
+    big = "z" * 20_000_000
+    pages = spark.createDataFrame([(1, "http://a/", big, 0), (2, "http://b/", big, 0), (3, "http://c/", "q" * 200, 0)], PAGES)
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_report(pages).collect()}
+    assert got == {1: (len(big), "response", None), 2: (len(big), "revisit", 1), 3: (200, "response", None)}
 
 
 def mixture(spark, rows, **settings):
