@@ -1,8 +1,10 @@
-"""License scans: exact phrases, and an exact set-similarity join of text blocks with license templates.
+"""License scans: exact phrases, and an exact set-similarity join of text blocks with license notices.
 
-A template matches a block if the block has at least THRESHOLD of the template's distinct words. Blocks of a
-template with n distinct words are BLOCK * n words long and start every (BLOCK - 1) * n words, so any n words
-in a row lie within one block; a text's last block may be shorter. The join is exact by three filters:
+A template is the whole notice of a public license, with the phrase that names its version or kind. It matches a
+block if the block has at least THRESHOLD of the template's distinct words, and the naming phrase. Blocks of a
+template of m words are BLOCK * m words long and start every (BLOCK - 1) * m words, so any m words in a row lie
+within one block; a text's last block may be shorter. The join on a template's n distinct words is exact by three
+filters:
 
 - prefix: template words are ordered by how many documents have them, rarest first. A block with `need` of n
   words has one of the first n - need + 1, so only blocks around such words are looked at;
@@ -35,17 +37,61 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Usual notices of public licenses, by the label that a match adds.
+# Notices of public licenses, and the words in a row that a block must have to be of that license.
+_GPL = """
+    This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation; either {} of the License, or (at your option) any later
+    version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
+    more details. You should have received a copy of the GNU General Public License along with this program."""
+_NO_WARRANTY = """
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+    THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+    AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
+    TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+    SOFTWARE."""
 TEMPLATES = {
-    "gpl-3.0": "this work is licensed under the gnu general public license version 3",
-    "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "apache-2.0": "licensed under the apache license version 2.0",
-    "apache-notice": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "cc-by-nc-4.0": "licensed under cc by nc 4.0",
-    "cc-by-4.0": "this work is licensed under a creative commons attribution 4.0 international license",
-    "mit": "released under the mit license",
-    "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-    "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "gpl-2.0": (_GPL.format("version 2"), "version 2 of the license"),
+    "gpl-3.0": (_GPL.format("version 3"), "version 3 of the license"),
+    "apache-2.0": (
+        """
+    Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+    the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+    applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+    WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
+    governing permissions and limitations under the License.""",
+        "apache license version 2",
+    ),
+    "mit": (
+        """
+    Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+    documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+    rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+    permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+    notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+        + _NO_WARRANTY,
+        "permission is hereby granted free of charge",
+    ),
+    "isc": (
+        """
+    Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+    granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+    PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+    WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
+    OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+    OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+    THIS SOFTWARE.""",
+        "for any purpose with or without fee",
+    ),
+    "bsd-2-clause": (
+        """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+    of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+    with the distribution.""",
+        "redistribution and use in source and binary forms",
+    ),
 }
 
 # Fixed value: ASCII upper case to lower case, other ASCII characters than letters and digits to spaces.
@@ -58,10 +104,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """label, and the distinct words, rarest first."""
+    """label, the distinct words, rarest first, how many words there are in all, and the naming phrase."""
 
     label: str
     words: tuple[bytes, ...]
+    length: int
+    name: tuple[bytes, ...] = ()
 
     @property
     def need(self) -> int:
@@ -87,10 +135,10 @@ def document_frequencies(docs: DataFrame, wanted: frozenset[bytes]) -> dict[byte
     return {r["word"].encode(): r["n"] for r in counted.collect()}
 
 
-def ordered_templates(docs: DataFrame, templates: dict[str, str] | None = None) -> list[Template]:
-    sets = {label: frozenset(words_of(text)) for label, text in (templates or TEMPLATES).items()}
-    count = document_frequencies(docs, frozenset().union(*sets.values()))
-    return [Template(label, tuple(sorted(words, key=lambda w: (count.get(w, 0), w)))) for label, words in sets.items() if words]
+def ordered_templates(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -> list[Template]:
+    named = {label: (words_of(text), tuple(words_of(name))) for label, (text, name) in (templates or TEMPLATES).items()}
+    count = document_frequencies(docs, frozenset().union(*(words for words, _ in named.values())))
+    return [Template(label, tuple(sorted(set(words), key=lambda w: (count.get(w, 0), w))), len(words), name) for label, (words, name) in named.items() if words]
 
 
 def overlap(template: Template, block: frozenset[bytes]) -> int:
@@ -105,16 +153,25 @@ def overlap(template: Template, block: frozenset[bytes]) -> int:
     return found
 
 
+def stands(words: list[bytes], phrase: tuple[bytes, ...]) -> bool:
+    """Whether the phrase's words stand consecutively somewhere."""
+    return not phrase or any(tuple(words[i : i + len(phrase)]) == phrase for i, w in enumerate(words) if w == phrase[0])
+
+
 def matches(words: list[bytes], templates: list[Template]) -> dict[str, float]:
     """Label to the best containment over the text's blocks, for templates that some block matches."""
     there, found = frozenset(words), {}
     for t in templates:
         rare = there.intersection(t.prefix)
-        if not rare or len(there.intersection(t.words)) < t.need:
+        if not rare or len(there.intersection(t.words)) < t.need or not there.issuperset(t.name):
             continue
-        length, step = BLOCK * len(t.words), (BLOCK - 1) * len(t.words)
+        length, step = BLOCK * t.length, (BLOCK - 1) * t.length
         blocks = {b for i, w in enumerate(words) if w in rare for b in range(max(0, -(-(i - length + 1) // step)), i // step + 1)}
-        best = max(overlap(t, frozenset(words[b * step : b * step + length])) for b in blocks)
+        best = 0
+        for part in (words[b * step : b * step + length] for b in blocks):
+            n = overlap(t, frozenset(part))
+            if n > best and stands(part, t.name):
+                best = n
         if best:
             found[t.label] = best / len(t.words)
     return found

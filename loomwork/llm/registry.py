@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL.
 
-op1, op3, op8, op9 and op10 have no SQL (XXH64, merges, a trained network); op7's templates would be long in it.
-Tests hold these against brute force, the tokenizers library, or held-out labels.
+op1, op3, op8, op9 and op10 have no SQL (XXH64, merges, a trained network, hashed permutations). Tests hold these
+against brute force, the tokenizers library, and held-out labels.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.bpe import count_report, encoding_report
 from loomwork.llm.language import language_report
+from loomwork.llm import licenses
 from loomwork.llm.licenses import license_report
 from loomwork.llm.mixing import mixing_report
 from loomwork.llm.quality import quality_report
@@ -44,8 +45,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"words AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)"
 
 
+def _license_sql() -> str:
+    """Phrases by position; blocks of each notice by counting its distinct words."""
+    values = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
+    words = lambda text: [w.decode() for w in licenses.words_of(text)]
+    phrases = [(label, len(words(p)), " ".join(words(p))) for p, label in licenses.PHRASES.items()]
+    notices = {label: (words(text), words(name)) for label, (text, name) in licenses.TEMPLATES.items()}
+    kinds = [(label, len(w), len(set(w)), licenses.Template(label, tuple(set(w)), len(w)).need, len(name), " ".join(name)) for label, (w, name) in notices.items()]
+    return rf"""
+        WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
+        phrases(label, n, phrase) AS (VALUES {values(phrases)}),
+        base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, list(DISTINCT label) AS labels FROM
+          (SELECT doc_id, label, n, phrase, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, phrases WHERE array_to_string(w, ' ') LIKE '%' || phrase || '%')
+          WHERE array_to_string(list_slice(w, i, i + n - 1), ' ') = phrase GROUP BY doc_id),
+        kinds(label, m, n, need, named, name) AS (VALUES {values(kinds)}),
+        terms(label, word) AS (VALUES {values([(label, x) for label, (w, _) in notices.items() for x in sorted(set(w))])}),
+        near AS (SELECT doc_id, label, m, n, need, named, name, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / m) AS BIGINT)))) AS b FROM w, kinds
+          WHERE array_to_string(w, ' ') LIKE '%' || name || '%'),
+        block AS (SELECT doc_id, label, b, n, need, named, name, list_slice(w, b * m + 1, b * m + 2 * m) AS part FROM near),
+        held AS (SELECT doc_id, label, b, n, need, count(*) AS found FROM
+          (SELECT doc_id, label, b, n, need, unnest(list_distinct(part)) AS word FROM block
+           WHERE len(list_filter(range(1, len(part) + 1), lambda i: array_to_string(list_slice(part, i, i + named - 1), ' ') = name)) > 0)
+          JOIN terms USING (label, word) GROUP BY ALL HAVING count(*) >= need),
+        best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(found / CAST(n AS DOUBLE)) AS score FROM held GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, base.b AS last_word,
+          coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+          array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') AS labels,
+          CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.score, 0.0) END AS score
+        FROM w LEFT JOIN base USING (doc_id) LEFT JOIN best USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_licenses": _license_sql(),
         "op2_warc": """
             WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
             q AS (SELECT page_id, octet_length(raw) AS n, sha256(raw) AS d FROM p),
