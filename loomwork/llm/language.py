@@ -5,11 +5,12 @@ slide over a window's bytes, each filter is pooled by its maximum, and a softmax
 the window's languages. A text's languages are the mean of its windows', weighted by their bytes; all windows
 of the whole text count.
 
-Fitting uses a bounded sample: SAMPLE_DOCS documents at most, spread evenly over the languages, with PIECES
-pieces of WINDOW characters each. Everything else, prediction included, has no bound.
+Fitting uses a bounded sample: SAMPLE_DOCS documents at most, and of all windows of their whole texts
+SAMPLE_WINDOWS at most, both spread evenly over the languages. Everything else, prediction included, has no bound.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Without a single labelled document
-every text is `und`. A null id is never held out and never learned from.
+every text is `und`. A null id is never held out and never learned from. Of languages that tie, the first by name
+is told; rows that repeat are told alike.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-SAMPLE_DOCS, PIECES, EPOCHS, BATCH, RATE, SEED = 2_000, 4, 6, 32, 0.01, 11
+SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED = 2_000, 16_000, 4, 32, 0.01, 11
 #: Hash values that the sample is cut from; languages whose counts are broadcast, at most.
 SPAN, BROADCAST_LANGUAGES = 1 << 40, 10_000
 #: Windows evaluated at once in a task.
@@ -127,30 +128,36 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> ByteNet | None:
-    """A network fitted on a sample of labelled documents that aren't held out; None if there are none.
+def training_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> DataFrame:
+    """(lang, window) of labelled documents that aren't held out: windows of bytes from anywhere in their whole texts.
 
-    The sample takes the documents of least hash for each language. Counts by language give a bound on the hash
-    that few more pass, so what is shuffled and ranked is about twice the sample, whatever the input.
+    The sample takes the documents, and then the windows, of least hash for each language. Counts by language give
+    a bound on the hash that few more pass, so what is shuffled and ranked is about twice the sample, whatever the
+    input.
     """
     doc = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
     counts = doc.groupBy("lang").agg(F.count("*").alias("n"))
-    languages = counts.count()
-    if not languages:
-        return None
+    languages = max(1, counts.count())
     most = max(1, sample_docs // languages)
     # About twice the wanted documents of each language have a hash this low; the rank then makes it exact.
     counts = counts.select("lang", (F.lit(2.0 * most + 20) / F.col("n") * SPAN).cast("long").alias("bound"))
     counts = F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts
-    length = F.greatest(F.length("text"), F.lit(1))
-    pieces = [F.substring("text", (F.floor(length * k / PIECES) + 1).cast("int"), F.lit(WINDOW)) for k in range(PIECES)]
-    hashed = doc.select("lang", F.xxhash64("doc_id").alias("h"), "text").join(counts, "lang").where(F.pmod("h", F.lit(SPAN)) < F.col("bound"))
-    low = hashed.select("lang", F.pmod("h", F.lit(SPAN)).alias("h"), F.array(*pieces).alias("pieces"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "pieces"))
-    rows = low.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("lang", "rank").collect()
+    hashed = doc.select("lang", F.xxhash64("doc_id").alias("h"), F.col("text").cast("binary").alias("raw")).join(counts, "lang").where(F.pmod("h", F.lit(SPAN)) < F.col("bound"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(SPAN)), "raw"))
+    some = hashed.withColumn("rank", rank).where(F.col("rank") <= most)
+    place = F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("raw") - 1) / WINDOW).cast("int"))).alias("place")
+    windows = some.select("lang", "h", "rank", "raw", place).select("lang", F.xxhash64("h", "rank", "place").alias("h"), F.substring("raw", F.col("place") * WINDOW + 1, F.lit(WINDOW)).alias("window"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "window"))
+    return windows.withColumn("rank", order).where(F.col("rank") <= max(1, sample_windows // languages)).select("lang", "rank", "window")
+
+
+def train(docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> ByteNet | None:
+    """A network fitted on the training windows; None if there are none."""
+    rows = training_windows(docs, sample_docs, sample_windows).orderBy("lang", "rank").collect()
+    if not rows:
+        return None
     names = sorted({r.lang for r in rows})
-    texts, wanted = zip(*((p.encode()[:WINDOW], names.index(r.lang)) for r in rows for p in r.pieces if p))
-    return ByteNet(names).fit(windows_of(list(texts))[0], np.array(wanted))
+    return ByteNet(names).fit(windows_of([bytes(r.window) for r in rows])[0], np.array([names.index(r.lang) for r in rows]))
 
 
 def predict_column(spark, text: Column, net: ByteNet) -> Column:
