@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every document gets five measures of its whole text. A cheap base rule decides first; the other rules
-then run in a CASE chain, so a rule is only evaluated for documents that all rules before it let pass.
-The order of the chain comes from a sample: rules that reject most per unit of cost go first. The order
-changes cost only, never the verdict, which is the conjunction of all rules.
+A rule asks for measures of a whole text, and a measure is only computed when a rule that is reached asks for it:
+the rules stand in a CASE chain, so a rule is only evaluated for documents that all rules before it let pass. The
+order of the chain comes from a sample: each rule's cost is timed, its share of rejections counted, and rules that
+reject most per unit of cost go first. The order changes cost only, never the verdict, which is the conjunction of
+all rules, the base rules (few words, repeated words) among them.
+
+The report has the measures of every document as columns, so there only the rules that ask for more are saved; a
+filter (keep_good) has none of them, and there the cascade spares all measures that aren't reached.
 
 Defined cases: a null or blank text has zero words, zero measures, and fails the base rule. Null ids and
 repeated rows are kept as rows of their own. An empty table gives an empty result.
@@ -26,6 +30,8 @@ SYMBOLS = r"[#*$%&|<>]"
 
 #: The random sample that orders the rules: rows at most, share of all rows, seed. It only sets the order.
 SAMPLE_ROWS, SAMPLE_SHARE, SAMPLE_SEED = 500, 0.05, 7
+#: Evaluations of a rule for each row of the sample, so that they outweigh the time that any job takes.
+EVALUATIONS = 8
 #: Base rule: fewer words than this, or a larger share of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEATED = 50, 0.5
 
@@ -62,33 +68,53 @@ def repeated_words(words: Column) -> Column:
     return let(hashes, over)
 
 
-def measures(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of a text."""
-
-    def of_words(words: Column, whole: Column) -> Column:
-        lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD))
-        return let(
-            lines,
-            lambda kept: F.struct(
-                F.size(words).cast("long").alias("n_words"),
-                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-                (F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-                F.size(kept).cast("long").alias("n_lines"),
-                (F.size(kept) - F.size(F.array_distinct(kept))).cast("long").alias("n_dup_lines"),
-                repeated_words(words).alias("n_repeat_words"),
-            ),
-        )
+class Measures:
+    """Measures of a text by name, each an expression that is evaluated where it is asked for."""
+
+    def __init__(self, text: Column, words: Column):
+        self.text, self.words = text, words
+
+    def _lines(self) -> Column:
+        return F.filter(F.split(self.text, "\n"), lambda x: x.rlike(WORD))
+
+    def __getitem__(self, name: str) -> Column:
+        made = {
+            "n_words": lambda: F.size(self.words),
+            "word_chars": lambda: F.length(F.array_join(self.words, "")),
+            "n_symbols": lambda: F.length(self.text) - F.length(F.regexp_replace(self.text, SYMBOLS, "")),
+            "n_lines": lambda: F.size(self._lines()),
+            "n_dup_lines": lambda: let(self._lines(), lambda kept: F.size(kept) - F.size(F.array_distinct(kept))),
+            "n_repeat_words": lambda: repeated_words(self.words),
+        }
+        return made[name]().cast("long")
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
 
-    whole = F.coalesce(text, F.lit(""))
-    return let(F.array_remove(F.split(whole, SPACE), ""), lambda words: of_words(words, whole))
+def with_words(text: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body(text, words) of a text, null standing for the empty one; its words are split once."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.array_remove(F.split(t, SPACE), ""), lambda words: body(t, words)))
+
+
+def measures(text: Column) -> Column:
+    """A struct of all MEASURES of a text."""
+    return with_words(text, lambda t, words: F.struct(*(Measures(t, words)[k].alias(k) for k in MEASURES)))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """name, and rejects(measures, text): a boolean column that is never null."""
+    """name, and rejects(measures, text): a boolean column that is never null; measures are asked for by name."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Measures | Column, Column], Column]
+
+
+def base_rules() -> list[Rule]:
+    return [
+        Rule("few_words", lambda m, t: m["n_words"] < MIN_WORDS),
+        Rule("repeated_words", lambda m, t: m["n_repeat_words"] > MAX_REPEATED * m["n_words"]),
+    ]
 
 
 def default_rules() -> list[Rule]:
@@ -102,41 +128,48 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def base_failed(m: Column) -> Column:
-    return (m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
+def base_failed(m: Measures | Column) -> Column:
+    few, repeated = (r.rejects(m, F.lit("")) for r in base_rules())
+    return few | repeated
+
+
+def _facts(sample: DataFrame, measured: bool) -> tuple[Measures | Column, Column]:
+    return (sample["m"] if measured else Measures(sample["t"], sample["w"])), sample["t"]
 
 
-def order_rules(docs: DataFrame, rules: list[Rule], *, sample_rows: int = SAMPLE_ROWS, repeats: int = 2) -> list[Rule]:
-    """The rules by rejection per cost, both measured on at most sample_rows rows that pass the base rule.
+def order_rules(docs: DataFrame, rules: list[Rule], *, measured: bool = False, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """The rules by rejections per cost, both found on at most sample_rows rows.
 
-    Cost is the time of the rule over the sample beyond that of a constant. A rule that rejects nothing
-    goes last. With an empty sample the given order stays.
+    Cost is the time of EVALUATIONS of the rule for each row beyond those of a constant; with measured, measures are
+    at hand already and don't count. A rule that rejects nothing goes last. With an empty sample the order stays.
     """
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("t")).sample(SAMPLE_SHARE, SAMPLE_SEED).limit(sample_rows).withColumn("m", measures(F.col("t")))
-    sample = sample.where(~base_failed(F.col("m"))).persist()
+    text = docs.select(F.coalesce("text", F.lit("")).alias("t")).sample(SAMPLE_SHARE, SAMPLE_SEED).limit(sample_rows)
+    sample = text.withColumn("w", F.array_remove(F.split("t", SPACE), ""))
+    sample = (sample.withColumn("m", measures(F.col("t"))) if measured else sample).persist()
     try:
-        rejected = {r.name: F.avg(r.rejects(F.col("m"), F.col("t")).cast("double")) for r in rules}
-        row = sample.agg(F.count("*").alias("n"), *(v.alias(k) for k, v in rejected.items())).first()
+        facts = _facts(sample, measured)
+        row = sample.agg(F.count("*").alias("n"), *(F.avg(r.rejects(*facts).cast("double")).alias(r.name) for r in rules)).first()
         if not row["n"]:
             return list(rules)
 
         def seconds(value: Column) -> float:
+            again = F.aggregate(F.sequence(F.lit(1), F.lit(EVALUATIONS)), F.lit(0), lambda a, i: a + value.cast("int"))
             began = time.perf_counter()
-            sample.agg(F.count_if(value)).first()
+            sample.agg(F.sum(again)).first()
             return time.perf_counter() - began
 
-        idle = min(seconds(F.col("t").isNull()) for _ in range(repeats))
-        cost = {r.name: max(1e-4, min(seconds(r.rejects(F.col("m"), F.col("t"))) for _ in range(repeats)) - idle) for r in rules}
+        idle = min(seconds(F.col("t").isNull()) for _ in range(2))
+        cost = {r.name: max(1e-4, seconds(r.rejects(*facts)) - idle) for r in rules}
     finally:
         sample.unpersist()
     return sorted(rules, key=lambda r: -row[r.name] / cost[r.name])
 
 
-def first_rejection(m: Column, text: Column, rules: list[Rule]) -> Column:
+def first_rejection(m: Measures | Column, text: Column, rules: list[Rule]) -> Column:
     """Name of the first rule of the cascade that rejects, else null; later rules are then not evaluated."""
-    chain = F.when(base_failed(m), F.lit("base"))
+    chain = F.when(F.lit(False), F.lit(""))
     for rule in rules:
-        chain = chain.when(rule.rejects(m, F.coalesce(text, F.lit(""))), F.lit(rule.name))
+        chain = chain.when(rule.rejects(m, text), F.lit(rule.name))
     return chain
 
 
@@ -145,14 +178,17 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, *, sample_rows: int
 
     Which of several rejecting rules is named depends on the measured order; whether one is named doesn't.
     """
-    rules = order_rules(docs, rules or default_rules(), sample_rows=sample_rows)
+    ordered = base_rules() + order_rules(docs, rules or default_rules(), measured=True, sample_rows=sample_rows)
     judged = docs.withColumn("lw_measures", measures(F.col("text")))
-    return judged.withColumn("lw_rejected_by", first_rejection(F.col("lw_measures"), F.col("text"), rules))
+    return judged.withColumn("lw_rejected_by", first_rejection(F.col("lw_measures"), F.coalesce("text", F.lit("")), ordered))
 
 
-def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The documents that no rule rejects, with the columns of docs."""
-    return unpack(judge(pack(docs, "text"), rules).where(F.col("lw_rejected_by").isNull()), docs, ("text",))
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The documents that no rule rejects, with the columns of docs; measures that aren't reached aren't computed."""
+    packed = pack(docs, "text")
+    ordered = order_rules(packed, base_rules() + (rules or default_rules()), sample_rows=sample_rows)
+    verdict = with_words(F.col("text"), lambda t, words: first_rejection(Measures(t, words), t, ordered))
+    return unpack(packed.where(verdict.isNull()), docs, ("text",))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
