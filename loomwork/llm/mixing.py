@@ -24,15 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.llm.rows import pack, unpack
-from loomwork.session import shared_dir
+from loomwork.session import saved, scratch
 
 MAX_REPEATS, BLOCK, SEED = 2.0, 512, 17
 #: Passes this close to a whole number are that number: products of shares may round to just below it.
 WHOLE = 1e-9
 #: Bisection: halvings evaluated by one job, jobs.
 HALVINGS, JOBS = 4, 7
-#: Sources whose weights are broadcast to the documents, at most; with more, the documents are shuffled to them.
-BROADCAST_SOURCES = 50_000
+#: Sources whose weights are broadcast to the documents, at most; with more, each source's documents are dealt to
+#: SALT copies of its weights, so that none of its joins has all of a large source.
+BROADCAST_SOURCES, SALT = 50_000, 64
 
 
 def count_words(text: Column) -> Column:
@@ -42,7 +43,7 @@ def count_words(text: Column) -> Column:
 def source_shares(docs: DataFrame) -> DataFrame:
     """(source, tokens, n, share) for each source, null included."""
     by = docs.groupBy("source").agg(F.sum("lw_tokens").alias("tokens"), F.count("*").alias("n"))
-    by = by.checkpoint()
+    by = saved(by, f"{scratch(docs.sparkSession, 'mixing')}/sources")
     total = by.agg(F.sum("tokens")).first()[0] or 1
     return by.withColumn("share", F.col("tokens") / F.lit(total))
 
@@ -105,7 +106,6 @@ def source_passes(shares: DataFrame, exponent: float, budget: float | None = Non
 def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, entropy: float | None = None, budget: float | None = None, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """docs with lw_tokens, lw_weight, lw_block, lw_place (in the block's permutation) and lw_copies."""
     counted = docs.withColumn("lw_tokens", count_words(F.col("text")))
-    shared_dir(docs.sparkSession)
     shares = source_shares(counted)
     exponent = find_exponent(shares, max_repeats=max_repeats, entropy=entropy)
     passes = source_passes(shares, exponent, budget)
@@ -115,10 +115,15 @@ def with_copies(docs: DataFrame, *, max_repeats: float | None = MAX_REPEATS, ent
         F.col("passes").alias("lw_passes"),
         F.ceil(F.col("n") / block).alias("lw_blocks"),
     )
-    known = F.broadcast(known) if shares.count() <= BROADCAST_SOURCES else known
-    joined = counted.join(known, counted["source"].eqNullSafe(known["lw_source"]))
-    dealt = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    joined = joined.withColumn("lw_order", dealt).withColumn("lw_block", F.pmod(F.xxhash64("lw_order"), F.col("lw_blocks")))
+    counted = counted.withColumn("lw_order", F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text")))
+    same = F.col("source").eqNullSafe(F.col("lw_source"))
+    if shares.count() <= BROADCAST_SOURCES:
+        joined = counted.join(F.broadcast(known), same)
+    else:
+        copied = known.withColumn("lw_copy_of", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = counted.withColumn("lw_salt", F.pmod("lw_order", F.lit(SALT)).cast("int"))
+        joined = salted.join(copied, (F.col("lw_salt") == F.col("lw_copy_of")) & same).drop("lw_salt", "lw_copy_of")
+    joined = joined.withColumn("lw_block", F.pmod(F.xxhash64("lw_order"), F.col("lw_blocks")))
     each = Window.partitionBy("lw_source", "lw_block")
     order = each.orderBy("lw_order", "doc_id")  # lw_order has the text's hash
     before = F.sum("lw_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("lw_tokens") / 2
