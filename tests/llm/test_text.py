@@ -107,12 +107,33 @@ def test_order_of_rules_does_not_change_the_verdict(spark, texts):
     rules = quality.default_rules()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(quality_texts(texts))], "doc_id long, text string").withColumn("m", quality.measures(quality.F.col("text")))
     kept = [
-        {r.doc_id for r in df.where(quality.first_rejection(quality.F.col("m"), quality.F.col("text"), order).isNull()).select("doc_id").collect()}
+        {r.doc_id for r in df.where(quality.first_rejection(quality.F.col("m"), quality.F.coalesce("text", quality.F.lit("")), order).isNull()).select("doc_id").collect()}
         for order in (rules, rules[::-1], rules[3:] + rules[:3])
     ]
     assert kept[0] == kept[1] == kept[2]
 
 
+def test_the_cascade_stops_at_the_first_rejection(spark, texts, monkeypatch):
+    """A rule that would fail is never evaluated for documents that one before it rejects, nor are its measures."""
+    bad = quality.Rule("bad", lambda m, t: quality.F.raise_error(quality.F.concat(t, quality.F.lit("reached"))).cast("boolean") | (m["n_repeat_words"] > 0))
+    short = quality.Rule("short", lambda m, t: quality.F.length(t) < 10**9)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(quality, "order_rules", lambda docs, rules, **_: sorted(rules, key=lambda r: r.name != "short"))
+    assert quality.keep_good(df, [bad, short]).count() == 0
+    monkeypatch.setattr(quality, "order_rules", lambda docs, rules, **_: sorted(rules, key=lambda r: r.name != "bad"))
+    with pytest.raises(Exception, match="reached"):
+        quality.keep_good(df, [bad, short]).count()
+
+
+def test_costly_rules_that_reject_little_go_late(spark):
+    df = spark.createDataFrame([(i, f"w{i} " * 2000 if i % 50 else "# # #") for i in range(400)], "doc_id long, text string")
+    costly = quality.Rule("costly", lambda m, t: (m["n_repeat_words"] > -1) & (m["n_words"] < 10))
+    cheap = quality.Rule("cheap", lambda m, t: quality.F.length(t) > 10)
+    never = quality.Rule("never", lambda m, t: quality.F.length(t) < 0)
+    assert [r.name for r in quality.order_rules(df, [never, costly, cheap])][0] == "cheap"
+    assert [r.name for r in quality.order_rules(df.limit(0), [never, costly, cheap])] == ["never", "costly", "cheap"]
+
+
 def test_clean_documents_stay_and_junk_goes(spark, sf):
     big = sf.replace("0.001", "0.01")
     rows = quality.quality_report(table(spark, big, "documents")).join(table(spark, big, "labels"), "doc_id").collect()

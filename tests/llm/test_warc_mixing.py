@@ -121,6 +121,50 @@ def test_mixture_meets_limit_coverage_and_budget(spark):
     assert max(map(len, places.values())) < 150
 
 
+def brute_passes(tokens, most=2.0):
+    """Passes of each source by plain bisection: the largest exponent at which no source is read over most times the least."""
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items() if n}
+    raw = lambda a: {s: p**a for s, p in share.items()}
+    spread = lambda a: max(w / share[s] for s, w in raw(a).items()) / min(w / share[s] for s, w in raw(a).items())
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if spread(middle) > most else (low, middle)
+    weights = raw(high if spread(0.0) > most else 0.0)
+    z = sum(weights.values())
+    budget = max(tokens[s] / w for s, w in weights.items()) * z
+    return {s: w / z for s, w in weights.items()}, {s: w / z * budget / tokens[s] for s, w in weights.items()}
+
+
+@pytest.mark.parametrize("most_sent", [50_000, 0])
+def test_mixture_equals_brute_force(spark, monkeypatch, most_sent):
+    """Weights, passes and copies recomputed; most_sent 0 takes the way of very many sources."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most_sent)
+    rows = [(i, "w " * (1 + i * 7 % 50) if i % 11 else "", None if i % 7 == 3 else "hot" if i % 3 else f"s{i % 5}", 0) for i in range(3000)]
+    rows += [(9000, "long " * 60_000, "s1", 0), (1, rows[1][1], rows[1][2], 0), (1, rows[1][1], rows[1][2], 0), (9001, None, "empty", 0), (None, "a b", "hot", 0)]
+    got = mixture(spark, rows, block=40)
+    assert len(got) == len(rows)
+    tokens = defaultdict(int)
+    for _, text, source, _ in rows:
+        tokens[source] += len((text or "").split())
+    weights, passes = brute_passes(tokens)
+    blocks = defaultdict(list)
+    for r in got:
+        assert r.lw_weight == (pytest.approx(weights[r.source], rel=1e-6) if tokens[r.source] else None)
+        blocks[r.source, r.lw_block].append(r)
+    for (source, _), held in blocks.items():
+        held.sort(key=lambda r: r.lw_place)
+        whole, part = divmod(round(passes.get(source, 1.0), 7), 1)
+        before, size = 0, sum(r.lw_tokens for r in held)
+        for r in held:
+            extra = part > 1e-6 and before + r.lw_tokens / 2 < part * size
+            near_edge = part > 1e-6 and abs(before + r.lw_tokens / 2 - part * size) < 1e-3
+            assert r.lw_copies == whole + extra or near_edge
+            before += r.lw_tokens
+    assert max(len(b) for b in blocks.values()) < 120  # no block has all of a source
+
+
 def test_entropy_target_and_fixed_budget(spark):
     rows = [(i, "w " * 10, "abcd"[min(3, int(math.log2(1 + i / 60)))], 0) for i in range(2000)]
     got = mixture(spark, rows, entropy=0.95, budget=10_000, block=50)
