@@ -75,11 +75,26 @@ class Vocabulary:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def merge(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token, merged at the root of its segment tree until no pair has a rank."""
+        """Token ids of one pre-token."""
         ids = [self.byte_ids[b] for b in piece]
+        return self._in_node(ids) if len(ids) <= FAN + 1 else self._in_tree(ids)
+
+    def _in_node(self, ids: list[int]) -> list[int]:
+        """Merges of few enough ids for the tree to be its root alone; merged places are dropped from it."""
+        width, get, none = self.width, self.ranks.get, len(self.merged)
+        leaves = [get(a * width + b, none) for a, b in zip(ids, ids[1:])]
+        while leaves and (r := min(leaves)) < none:
+            i = leaves.index(r)
+            ids[i] = new = self.merged[r]
+            del ids[i + 1], leaves[i]
+            if i:
+                leaves[i - 1] = get(ids[i - 1] * width + new, none)
+            if i < len(leaves):
+                leaves[i] = get(new * width + ids[i + 1], none)
+        return ids
+
+    def _in_tree(self, ids: list[int]) -> list[int]:
         width, get, none, n = self.width, self.ranks.get, len(self.merged), len(ids)
-        if n < 2:
-            return ids
         levels = [[get(a * width + b, none) for a, b in zip(ids, ids[1:])]]
         while len(below := levels[-1]) > FAN:
             levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
