@@ -16,8 +16,8 @@ _TERM = re.compile(r"[^\W_]+")
 
 
 def is_blank(text: Column) -> Column:
-    """True for null and for text of white space only."""
-    return F.coalesce(F.regexp_replace(text, r"(?U)\s", "") == "", F.lit(True))
+    """True for null and for text of white space only, the separators U+001C to U+001F included."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)[\s\x1C-\x1F]", "") == "", F.lit(True))
 
 
 def is_pdf_name(name: Column) -> Column:

@@ -6,14 +6,12 @@ chunk counting from 0 within a page.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.session import shared_dir
+from loomwork.session import saved, scratch
 
 SIZE, OVERLAP = 800, 80
 #: From strong to weak; an empty one cuts anywhere.
@@ -21,12 +19,18 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def stride_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunks of size code points that start every size - overlap; an empty text is one empty chunk, a null none."""
+    """Chunks of size code points that start every size - overlap; an empty text is one empty chunk, a null none.
+
+    A text is first cut into pieces of one step each, in a single pass by a pattern; a chunk is a few pieces in a
+    row, cut to size. So the work is in proportion to a text's length, which substrings of the whole would not be.
+    """
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step)).cast("int")
-    chunk = F.explode(F.sequence(F.lit(0), last)).alias("chunk")
-    cut = pages.where("text is not null").select("source", "page", "pos", "text", chunk)
-    return cut.withColumn("text", F.substring("text", F.col("chunk") * step + 1, F.lit(size)))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    several = -(-size // step)
+    chunk = lambda i: F.substring(F.array_join(F.slice("pieces", i + 1, several), ""), 1, size)
+    cut = pages.where("text is not null").withColumn("pieces", pieces)
+    return cut.select("source", "page", "pos", F.posexplode(F.transform(F.sequence(F.lit(0), last), chunk)).alias("chunk", "text"))
 
 
 def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -79,7 +83,15 @@ def page_key(source: Column, page: Column) -> Column:
 
 
 def page_chunk_ids(chunks: DataFrame) -> DataFrame:
-    """chunks with id source:page:index, counting within each page in order; pages must not come in two parts."""
+    """chunks with id source:page:index, where index is the chunk's own; source and page must name one page only.
+
+    No row moves for it: chunk already counts within a page.
+    """
+    return chunks.withColumn("id", F.concat(page_key(F.col("source"), F.col("page")), F.lit(":"), F.col("chunk")))
+
+
+def repeated_page_ids(chunks: DataFrame) -> DataFrame:
+    """As page_chunk_ids, for pages that come in several rows: the chunks of all count on, in the order of pos."""
     order = Window.partitionBy("source", "page").orderBy("pos", "chunk")
     return chunks.withColumn("id", F.concat(page_key(F.col("source"), F.col("page")), F.lit(":"), F.row_number().over(order) - 1))
 
@@ -87,40 +99,31 @@ def page_chunk_ids(chunks: DataFrame) -> DataFrame:
 def run_length_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
     """chunks with id source:page:index, where the index starts anew whenever source:page differs from the row before.
 
-    If a page comes again later, its ids come again too. Rows are sorted by range over all tasks; each task
-    numbers its own runs and tells how its last run ends, and only those ends, one row a task, meet to give
-    each task's first run its start.
+    If a page comes again later, its ids come again too. Rows are sorted by range over all tasks and numbered there by
+    windows within a task's range; of each range only how it begins and ends, one row, meets the others, to tell what
+    its first run goes on from.
     """
-    shared_dir(chunks.sparkSession)
+    spark = chunks.sparkSession
     keyed = chunks.withColumn("lw_key", page_key(F.col("source"), F.col("page")))
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("lw_part", F.spark_partition_id()).checkpoint()
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, last, run, rows, part = None, None, 0, 0, None
-        for batch in batches:
-            for key, p in zip(batch["lw_key"], batch["lw_part"]):
-                first, part = (key, p) if first is None else (first, part)
-                run = run + 1 if key == last else 1
-                last, rows = key, rows + 1
-        if rows:
-            yield pd.DataFrame([(part, first, last, run, rows)], columns=["part", "first", "last", "run", "rows"])
-
-    found = sorted(ranged.select("lw_key", "lw_part").mapInPandas(ends, "part int, first string, last string, run long, rows long").collect())
-    start, before, length = {}, None, 0
-    for part, first, last, run, rows in found:
-        start[part] = length if first == before else 0
-        length = run + (start[part] if run == rows else 0)
-        before = last
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, index = None, 0
-        for batch in batches:
-            ids = []
-            for key, part in zip(batch["lw_key"], batch["lw_part"]):
-                index = (start[part] if last is None else 0) if key != last else index + 1
-                last = key
-                ids.append(f"{key}:{index}")
-            yield batch.drop(columns=["lw_key", "lw_part"]).assign(id=ids)
-
-    schema = chunks.schema.add("id", "string")
-    return ranged.mapInPandas(number, schema)
+    ranged = keyed.repartitionByRange(*order).withColumn("lw_part", F.spark_partition_id())
+    folder = scratch(spark, "runs")
+    ranged = saved(ranged, f"{folder}/ranges")
+    # An exchange by lw_part keeps each range whole and apart, and is as even as the ranges are.
+    part = Window.partitionBy("lw_part").orderBy(*order)
+    starts = F.coalesce(F.lag("lw_key").over(part) != F.col("lw_key"), F.lit(True)).cast("int")
+    marked = ranged.withColumns({"lw_run": starts, "lw_row": F.row_number().over(part)})
+    so_far = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marked.withColumn("lw_from", F.max(F.when(F.col("lw_run") == 1, F.col("lw_row"))).over(so_far))
+    placed = saved(placed.withColumn("lw_index", F.col("lw_row") - F.col("lw_from")).drop("lw_run"), f"{folder}/placed")
+    last = F.max_by(F.struct("lw_key", "lw_from", "lw_row"), "lw_row").alias("last")
+    ends = sorted(placed.groupBy("lw_part").agg(F.min_by("lw_key", "lw_row").alias("first"), last).collect(), key=lambda r: r.lw_part)
+    goes_on, before, length = [], None, 0
+    for r in ends:
+        carried = length if r.first == before else 0
+        goes_on.append((r.lw_part, carried))
+        length = r["last"].lw_row - r["last"].lw_from + 1 + (carried if r["last"].lw_from == 1 else 0)
+        before = r["last"].lw_key
+    carried = spark.createDataFrame(goes_on, "lw_of int, lw_carried long")  # a row for each task
+    joined = placed.join(F.broadcast(carried), F.col("lw_part") == F.col("lw_of"))
+    index = F.col("lw_index") + F.when(F.col("lw_from") == 1, F.col("lw_carried")).otherwise(0)
+    return joined.select(*(F.col(f"`{c}`") for c in chunks.columns), F.concat("lw_key", F.lit(":"), index).alias("id"))

@@ -1,14 +1,14 @@
-"""Nearest chunks by squared distance: a bounded set of queries against all rows, in blocks.
+"""Nearest chunks by squared distance, exactly: a set of queries against all rows, in blocks.
 
-Queries are sent to every task in blocks of QUERY_BLOCK, so what is broadcast has a fixed size; each task keeps
-k rows a query and Arrow batch, and only those are shuffled to the last ranking. Distances are rounded to 6
-digits before they are ranked, and ties go to the smaller id.
+Up to QUERY_BLOCK queries are sent to every task, so what is broadcast has a fixed size. More are dealt in blocks of
+that size against parts of ROW_PART rows by a join of both: each pair of a part and a block is one group of bounded
+size, whatever the tables. Each task keeps k rows a query, and only those are shuffled to the last ranking. Distances
+are rounded to 6 digits before they are ranked, and ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K, QUERY_BLOCK, ROW_BLOCK = 5, 4_096, 4_096
+from loomwork.session import BROADCAST_ROWS
+
+K, QUERY_BLOCK, ROW_BLOCK, ROW_PART = 5, 4_096, 4_096, 32_768
 
 
 def unit_distances(counts: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -41,38 +43,62 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, distance=squared
     encode makes a matrix of a sequence of vectors, which may be texts if it can embed them where it runs.
     Null vectors take no part; all vectors have one length. Repeated ids are rows of their own.
     """
-    spark = rows.sparkSession
     rows = rows.select("id", "vector").where("id is not null and vector is not null")
-    found, stream = None, queries.select("query_id", "vector").where("vector is not null").toLocalIterator()
-    while block := list(islice(stream, QUERY_BLOCK)):
-        sent = spark.sparkContext.broadcast(([r.query_id for r in block], encode([r.vector for r in block])))
-        part = rows.mapInPandas(_search(sent, k, distance, encode), f"query_id long, id {id_type}, dist double")
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], f"query_id long, rank int, id {id_type}, dist double")
+    asked = queries.select("query_id", "vector").where("vector is not null")
+    first, schema = asked.limit(QUERY_BLOCK + 1).collect(), f"query_id long, id {id_type}, dist double"
+    if len(first) <= QUERY_BLOCK:
+        sent = rows.sparkSession.sparkContext.broadcast((np.array([r.query_id for r in first], np.int64), encode([r.vector for r in first]) if first else np.zeros((0, 1))))
+        found = rows.mapInPandas(_search(sent, k, distance, encode), schema)
+    else:
+        parts, blocks = (max(1, -(-n // size)) for n, size in ((rows.count(), ROW_PART), (asked.count(), QUERY_BLOCK)))
+        deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = rows.withColumn("part", deal(parts)).withColumn("block", each(blocks))
+        right = asked.withColumn("block", deal(blocks)).withColumn("part", each(parts))
+        found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_pair(k, distance, encode), schema)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
 
+def _best(rows: pd.DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, distance, encode) -> pd.DataFrame:
+    """The k best rows of each query, ROW_BLOCK rows at a time."""
+    best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": rows["id"].iloc[:0], "dist": pd.Series(dtype=float)})
+    for at in range(0, len(rows) if len(query_ids) else 0, ROW_BLOCK):
+        part = rows.iloc[at : at + ROW_BLOCK]
+        ids = part["id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        near = np.round(distance(encode(part["vector"].to_numpy()[order]), queries), 6)
+        top = np.argsort(near, axis=0, kind="stable")[:k]  # ids ascend, so ties keep the smaller
+        more = pd.DataFrame({"query_id": np.tile(query_ids, len(top)), "id": ids[order][top].ravel(), "dist": np.take_along_axis(near, top, 0).ravel()})
+        best = pd.concat([best, more]).sort_values(["query_id", "dist", "id"], kind="stable").groupby("query_id").head(k)
+    return best
+
+
 def _search(sent, k: int, distance, encode):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = sent.value
         held: list[pd.DataFrame] = []
         for batch in batches:
-            for at in range(0, len(batch), ROW_BLOCK):
-                part = batch.iloc[at : at + ROW_BLOCK]
-                ids = part["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                near = np.round(distance(encode(part["vector"].to_numpy()[order]), queries), 6)
-                top = np.argsort(near, axis=0, kind="stable")[:k]  # ids ascend, so ties keep the smaller
-                held.append(pd.DataFrame({"query_id": np.tile(query_ids, len(top)), "id": ids[order][top].ravel(), "dist": np.take_along_axis(near, top, 0).ravel()}))
-            best = pd.concat(held).sort_values(["query_id", "dist", "id"], kind="stable").groupby("query_id").head(k)
-            held = [best]
+            held.append(_best(batch, *sent.value, k, distance, encode))
+            held = [pd.concat(held).sort_values(["query_id", "dist", "id"], kind="stable").groupby("query_id").head(k)]
         yield from held
 
     return search
 
 
+def _pair(k: int, distance, encode):
+    def search(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        vectors = encode(asked["vector"].tolist()) if len(asked) else np.zeros((0, 1))
+        return _best(rows, asked["query_id"].to_numpy(np.int64), vectors, k, distance, encode)
+
+    return search
+
+
+def with_texts(hits: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """(query_id, rank, id, text) of hits, of which there are most at most, with the texts of rows(id, text)."""
+    few = F.broadcast(hits) if most <= BROADCAST_ROWS else hits
+    return rows.select("id", "text").join(few, "id").select("query_id", "rank", "id", "text")
+
+
 def nearest_to_one(rows: DataFrame, vector: list[float], k: int = K) -> DataFrame:
     """(rank, id, dist) of the k nearest rows to one vector, in DataFrame functions: a top-k without a shuffle of rows."""
     query = F.array(*(F.lit(float(x)) for x in vector))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from loomwork.functions.models import Embedder, ExtractiveGenerator, Generator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank
 from loomwork.operators.answers import NOTHING_FOUND, assembled
-from loomwork.operators.chunking import page_chunk_ids, recursive_chunks
-from loomwork.operators.retrieval import K, nearest
-from loomwork.sources.pdf import pdf_pages
+from loomwork.operators.chunking import recursive_chunks, repeated_page_ids
+from loomwork.operators.retrieval import K, nearest, with_texts
+from loomwork.sources.pdf import page_texts, pdf_pages
 from loomwork.sources.store import ChunkStore
 
 
@@ -32,10 +33,11 @@ class Answer:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store_path: str, data_path: str = "data", *, embedder: Embedder | None = None, generator: Generator | None = None):
+    def __init__(self, spark: SparkSession, store_path: str, data_path: str = "data", *, embedder: Embedder | None = None, generator: Generator | None = None, split: Callable[[DataFrame], DataFrame] = recursive_chunks, parse: Callable[[bytes], list[str]] = page_texts):
         self.spark, self.data_path = spark, data_path
         self.store = ChunkStore(spark, store_path)
         self.embedder, self.generator = embedder or TermEmbedder(), generator or ExtractiveGenerator()
+        self.split, self.parse = split, parse
 
     def health(self) -> dict[str, str]:
         return {"status": "ok", "message": "The retrieval engine is running."}
@@ -47,8 +49,8 @@ class Engine:
         """
         if reset:
             self.reset()
-        pages = pdf_pages(self.spark, self.data_path) if pages is None else pages
-        chunks = page_chunk_ids(recursive_chunks(pages)).withColumn("page", F.col("page").cast("string"))
+        pages = pdf_pages(self.spark, self.data_path, parse=self.parse) if pages is None else pages
+        chunks = repeated_page_ids(self.split(pages)).withColumn("page", F.col("page").cast("string"))
         return self.store.add(chunks, lambda text: embed_column(text, self.embedder))
 
     def upload(self, name: str, content: bytes) -> int:
@@ -81,7 +83,7 @@ class Engine:
         stored = self.store.read()
         vectors = questions.select("query_id", embed_column(F.col("question"), self.embedder).alias("vector"))
         found = nearest(stored, vectors, k=k, id_type="string")
-        return found.join(stored.select("id", "text"), "id").select("query_id", "rank", "id", "text")
+        return with_texts(found, stored, k * questions.count())
 
     def answers(self, questions: DataFrame, k: int = K) -> DataFrame:
         """(query_id, answer, sources) of many questions(query_id, question); blank ones are dropped."""
@@ -99,7 +101,7 @@ class Engine:
         return Answer(row.answer, list(row.sources))
 
     def status(self) -> DataFrame:
-        """One row: document_count (of chunks), chroma_path (the store's) and data_path."""
+        """One row: document_count (of chunks), chroma_path (the store's, whatever it is; the field's name is the API's) and data_path."""
         return self.spark.createDataFrame([(self.store.count(), self.store.path, self.data_path)], "document_count int, chroma_path string, data_path string")
 
     def reset(self) -> None:

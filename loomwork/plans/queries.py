@@ -6,23 +6,24 @@ question texts.
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict
 from loomwork.operators import answers, chunking, retrieval
-from loomwork.session import shared_dir, table
+from loomwork.plans.engine import Engine
+from loomwork.session import scratch, table
 from loomwork.sources.pdf import text_pages
 from loomwork.sources.store import ChunkStore, insert_if_absent
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 NAMES = ["a.pdf", "B.PDF", "c.txt", "d.pdf.txt", ".pdf", "e.Pdf", "f g.pdf", ""]
-QUESTIONS = ["", " ", "\t\n", " a ", "what?", "\r\n\f", "a\tb"]
+QUESTIONS = ["", " ", "\t\n", " a ", "what?", "\r\n\f", "a\tb", "\x1c \x1f", "\x1e?"]
 VERDICTS = ["True", "not true, false", "False.", "it is TRUE", " false\n"]
 
 
@@ -46,23 +47,68 @@ def chunk_ids_runlength(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.run_length_ids(rows, ["doc_id"]).select("doc_id", "id")
 
 
-def _store(spark: SparkSession, sf: str) -> ChunkStore:
-    """A store in the shared folder to which the chunks of the documents with an even id, the SQL's prior half, were added."""
-    store = ChunkStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
-    store.add(_chunks(spark, sf).where(F.col("page") % 2 == 0), lambda text: embed_column(text, TermEmbedder()))
+def _vector_of(text: Column) -> Column:
+    return embed_column(text, TermEmbedder())
+
+
+def _store(spark: SparkSession, chunks: DataFrame) -> ChunkStore:
+    """A store in the shared folder to which the chunks were added."""
+    store = ChunkStore(spark, f"{scratch(spark, 'store')}/chunks")
+    store.add(chunks, _vector_of)
     return store
 
 
 def ingest_new_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return insert_if_absent(_chunks(spark, sf), _store(spark, sf).read()).select("id", F.md5("text").alias("text_md5"))
+    """Chunks that aren't in a store which holds those of the documents with an even id already."""
+    chunks = _chunks(spark, sf)
+    return insert_if_absent(chunks, _store(spark, chunks.where(F.col("page") % 2 == 0)).read()).select("id", F.md5("text").alias("text_md5"))
 
 
 def existing_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return _store(spark, sf).ids()
+    return _store(spark, _chunks(spark, sf)).ids()
 
 
 def store_count(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(_store(spark, sf).count(),)], "document_count long")
+    return spark.createDataFrame([(_store(spark, _chunks(spark, sf)).count(),)], "document_count long")
+
+
+def _engine(spark: SparkSession, **parts) -> Engine:
+    folder = scratch(spark, "engine")
+    return Engine(spark, f"{folder}/store", f"{folder}/data", split=chunking.stride_chunks, **parts)
+
+
+def ingest_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents ingested two times: what each adds, and the status after it."""
+    engine, pages = _engine(spark), text_pages(table(spark, sf, "documents"))
+    told = [(n, engine.ingest(pages), engine.status().first().document_count) for n in (1, 2)]
+    return spark.createDataFrame(told, "run int, added long, document_count long")
+
+
+def reset_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The status after ingest, after reset, after another reset, and after ingest with reset."""
+    engine, pages = _engine(spark), text_pages(table(spark, sf, "documents"))
+    told, count = [], lambda: engine.status().first().document_count
+    for n, step in enumerate((lambda: engine.ingest(pages), engine.reset, engine.reset, lambda: engine.ingest(pages, reset=True))):
+        step()
+        told.append((n, count()))
+    return spark.createDataFrame(told, "step int, document_count long")
+
+
+def upload_and_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The benchmark's texts as pages of one uploaded file, uploaded again unchanged; the chunks that are then stored.
+
+    The file's pages are parsed by a form-feed splitter, as no PDF parser is at hand.
+    """
+    engine = _engine(spark, parse=lambda content: content.decode().split("\f"))
+    texts = [r.text or "" for r in table(spark, sf, "benchmark").orderBy("item_id").collect()]  # one file, as a user has it
+    for _ in range(2):
+        engine.upload("benchmark.pdf", "\f".join(texts).encode())
+    stored = engine.store.read()
+    return stored.select(F.substring_index("source", "/", -1).alias("name"), F.col("page").cast("int").alias("page"), "chunk", F.md5("text").alias("text_md5"))
+
+
+def health(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(_engine(spark).health()["status"],)], "status string")
 
 
 def embed_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +123,7 @@ def text_top5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    return text_top5(spark, sf).join(_chunks(spark, sf).select("id", "text"), "id").select("query_id", "rank", "id", "text")
+    return retrieval.with_texts(text_top5(spark, sf), _chunks(spark, sf), retrieval.K * table(spark, sf, "benchmark").count())
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +188,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             text_top5, knn_single, knn_batch, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
+            ingest_twice, reset_store, upload_and_index, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
         )
     }
@@ -185,6 +232,7 @@ _KNN = """SELECT {q} id, CAST(rank AS INTEGER) AS rank, dist FROM (
 
 def _sql_values(texts: list[str]) -> str:
     escaped = [t.replace("\t", "'||chr(9)||'").replace("\n", "'||chr(10)||'").replace("\r", "'||chr(13)||'").replace("\f", "'||chr(12)||'") for t in texts]
+    escaped = [re.sub("[\x1c-\x1f]", lambda m: f"'||chr({ord(m[0])})||'", t) for t in escaped]
     return "(VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(escaped)) + ") v(case_id, t)"
 
 
@@ -204,8 +252,17 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, CASE WHEN key = lag(key) OVER (ORDER BY doc_id) THEN 0 ELSE 1 END AS start FROM (
                   SELECT doc_id, coalesce(lang, 'None') || ':' || coalesce(CAST(nullif(n_chars % 3, 0) AS VARCHAR), 'None') AS key FROM documents)))""",
         "ingest_new_chunks": f"WITH {_STRIDE} SELECT id, md5(text) AS text_md5 FROM chunks WHERE id NOT IN (SELECT id FROM chunks WHERE page % 2 = 0)",
-        "existing_ids": f"WITH {_STRIDE} SELECT id FROM chunks WHERE page % 2 = 0",
-        "store_count": f"WITH {_STRIDE} SELECT count(*) AS document_count FROM chunks WHERE page % 2 = 0",
+        "existing_ids": f"WITH {_STRIDE} SELECT id FROM chunks",
+        "store_count": f"WITH {_STRIDE} SELECT count(*) AS document_count FROM chunks",
+        "ingest_twice": f"WITH {_STRIDE} SELECT CAST(run AS INTEGER) AS run, CASE WHEN run = 1 THEN n ELSE 0 END AS added, n AS document_count FROM (SELECT count(*) AS n FROM chunks), (VALUES (1), (2)) v(run)",
+        "reset_store": f"WITH {_STRIDE} SELECT CAST(step AS INTEGER) AS step, CASE WHEN step IN (0, 3) THEN n ELSE 0 END AS document_count FROM (SELECT count(*) AS n FROM chunks), (VALUES (0), (1), (2), (3)) v(step)",
+        "upload_and_index": """
+            SELECT 'benchmark.pdf' AS name, CAST(page AS INTEGER) AS page, CAST(i AS INTEGER) AS chunk, md5(substr(text, i * 720 + 1, 800)) AS text_md5 FROM (
+              SELECT page, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 800) / 720.0) AS BIGINT)) + 1)) AS i FROM (
+                SELECT row_number() OVER (ORDER BY item_id) - 1 AS page, coalesce(text, '') AS text FROM benchmark))""",
+        "health": "SELECT 'ok' AS status",
+        "answer_extractive": f"""WITH {_TOP5}
+            SELECT query_id, max(CASE WHEN rank = 1 THEN text END) AS answer, string_agg(id, ',' ORDER BY rank) AS sources FROM top5 JOIN chunks USING (id) GROUP BY query_id""",
         "embed_terms": f"WITH {_STRIDE}, {_terms('ct', 'chunks', 'id')} SELECT k AS id, CAST(b AS INTEGER) AS bucket, n FROM ct",
         "context_assembly": f"WITH {_TOP5} {context}",
         "source_list": f"WITH {_TOP5} SELECT query_id, string_agg(id, ',' ORDER BY rank) AS sources FROM top5 GROUP BY query_id",
@@ -213,7 +270,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, '{before}' || {nl} || {nl} || context || {nl} || {nl} || '---' || {nl} || {nl} || '{after}' || text || {nl} AS prompt
             FROM c JOIN benchmark ON item_id = query_id""",
         "empty_result_answer": f"SELECT item_id AS query_id, '{answers.NOTHING_FOUND}' AS answer, CAST(0 AS INTEGER) AS n_sources FROM benchmark",
-        "blank_query_guard": f"SELECT CAST(case_id AS INTEGER) AS case_id, regexp_matches(t, '[^ \\t\\n\\r\\f\\x0b]') AS accepted FROM {_sql_values(QUESTIONS)}",
+        "blank_query_guard": f"SELECT CAST(case_id AS INTEGER) AS case_id, regexp_matches(t, '[^ \\t\\n\\r\\f\\x0b\\x1c-\\x1f]') AS accepted FROM {_sql_values(QUESTIONS)}",
         "file_type_guard": f"SELECT CAST(case_id AS INTEGER) AS case_id, suffix(t, '.pdf') AS accepted FROM {_sql_values(NAMES)}",
         "judge_verdict": f"SELECT CAST(case_id AS INTEGER) AS case_id, CASE WHEN contains(lower(t), 'true') THEN true WHEN contains(lower(t), 'false') THEN false END AS verdict FROM {_sql_values(VERDICTS)}",
     }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.session import drop, saved, scratch
+
 SCHEMA = "id string, source string, page string, chunk int, pos long, text string, vector array<float>"
 
 
@@ -41,13 +43,17 @@ class ChunkStore:
 
         Vectors are computed by vector_of(text column) for new chunks only. Ids within the batch must differ.
         """
+        folder = scratch(self.spark, "batch")
+        chunks = saved(chunks, f"{folder}/chunks")  # split and numbered once for all that follows
         repeated = chunks.groupBy("id").count().where("count > 1").select("id").limit(3).collect()
         if repeated:
+            drop(self.spark, folder)
             raise DuplicateIds(f"ids occur more than once: {', '.join(str(r.id) for r in repeated)}")
         new = insert_if_absent(chunks, self.read())
         before = self.count()
         rows = new.select("id", "source", F.col("page").cast("string").alias("page"), F.col("chunk").cast("int").alias("chunk"), F.col("pos").cast("long").alias("pos"), "text")
         rows.withColumn("vector", vector_of(F.col("text"))).write.mode("append").parquet(self.path)
+        drop(self.spark, folder)
         return self.count() - before
 
     def reset(self) -> None:

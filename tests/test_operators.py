@@ -32,6 +32,42 @@ def test_run_length_ids_literal(spark):
     assert got == ["a:0:0", "a:0:1", "a:1:0", "a:0:0", "None:None:0", "None:None:1", "b:0:0"]
 
 
+def plain_split(text, size, overlap, marks=("\n\n", "\n", " ")):
+    """The splitter's contract, written anew: cut where the strongest mark that is left fits, then pack greedily."""
+
+    def cut(part, marks):
+        if len(part) <= size:
+            return [part]
+        if not marks:
+            return list(part)
+        found, at = [], 0
+        while (end := part.find(marks[0], at)) >= 0:
+            found.append(part[at : end + len(marks[0])])
+            at = end + len(marks[0])
+        return [x for piece in [*found, part[at:]] for x in cut(piece, marks[1:])]
+
+    pieces, out, first, at = cut(text, marks), [], 0, 0
+    while at < len(pieces):
+        while at < len(pieces) and sum(map(len, pieces[first : at + 1])) <= size:
+            at += 1
+        out.append("".join(pieces[first:at]))
+        if at < len(pieces):
+            while first < at and (sum(map(len, pieces[first:at])) > overlap or sum(map(len, pieces[first : at + 1])) > size):
+                first += 1
+    return [x.strip() for x in out if x.strip()]
+
+
+def test_recursive_chunks_equal_a_second_implementation(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("source", F.col("doc_id").alias("page"), F.col("doc_id").alias("pos"), "text")
+    got = {}
+    for r in chunking.recursive_chunks(docs).orderBy("page", "chunk").collect():
+        got.setdefault(r.page, []).append(r.text)
+    texts = {r.page: r.text or "" for r in docs.collect() if len(r.text or "") < 20_000}
+    assert len(texts) > 150
+    for page, text in texts.items():
+        assert got.get(page, []) == plain_split(text, 800, 80)
+
+
 @pytest.mark.parametrize("kinds", [1, 2, 5])
 def test_run_length_ids_over_many_parts(spark, kinds):
     rnd = random.Random(kinds)
@@ -43,8 +79,12 @@ def test_run_length_ids_over_many_parts(spark, kinds):
 
 def test_page_ids_count_within_pages(spark):
     df = spark.createDataFrame([("a", 0, 5, "x" * 2000), ("a", 1, 6, "y"), (None, None, 7, "z")], KEYS)
-    got = [r.id for r in chunking.page_chunk_ids(chunking.stride_chunks(df)).orderBy("pos", "chunk").collect()]
-    assert got == ["a:0:0", "a:0:1", "a:0:2", "a:1:0", "None:None:0"]
+    for number in (chunking.page_chunk_ids, chunking.repeated_page_ids):
+        got = [r.id for r in number(chunking.stride_chunks(df)).orderBy("pos", "chunk").collect()]
+        assert got == ["a:0:0", "a:0:1", "a:0:2", "a:1:0", "None:None:0"]
+    twice = df.union(spark.createDataFrame([("a", 0, 9, "more")], KEYS))
+    got = {r.id for r in chunking.repeated_page_ids(chunking.stride_chunks(twice)).collect()}
+    assert got == {"a:0:0", "a:0:1", "a:0:2", "a:0:3", "a:1:0", "None:None:0"}
 
 
 def test_stride_chunks_cover_the_text(spark):
@@ -85,8 +125,8 @@ def test_insert_if_absent_matches_ids_only(spark):
 
 
 def test_guards(spark):
-    asked = spark.createDataFrame([(t,) for t in ["", " ", "\t\n", " a ", None, "　"]], "t string")
-    assert [r[0] for r in asked.select(is_blank(F.col("t"))).collect()] == [True, True, True, False, True, True]
+    asked = spark.createDataFrame([(t,) for t in ["", " ", "\t\n", " a ", None, "　", "\x1c\x1d\x1e\x1f", "\x1c.", "\x85\xa0"]], "t string")
+    assert [r[0] for r in asked.select(is_blank(F.col("t"))).collect()] == [True, True, True, False, True, True, True, False, True]
     names = spark.createDataFrame([(t,) for t in ["a.pdf", "B.PDF", "c.txt", None]], "t string")
     assert [r[0] for r in names.select(is_pdf_name(F.col("t"))).collect()] == [True, False, False, False]
 
@@ -113,8 +153,10 @@ def test_terms():
     assert term_counts("é1 b_c").sum() == 3 and term_bucket("the") == term_bucket("the")
 
 
-def test_nearest_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+@pytest.mark.parametrize("block", [3, 4_096])
+def test_nearest_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieval, "ROW_PART", 17)
     rng = np.random.default_rng(1)
     v = rng.integers(-2, 3, (60, 4)).astype(float)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None), (None, [0.0] * 4)], "id long, vector array<double>").repartition(4)
