@@ -1,7 +1,8 @@
 """Connected components of a table of links, by alternating stars.
 
 Each round points every node's neighbours at the smallest of them, first the larger neighbours and then the
-smaller ones, so paths shorten to stars in a number of rounds that grows with the logarithm of their length.
+smaller ones, so paths shorten to stars in a number of rounds that grows with the logarithm of their length; it ends
+as soon as all edges form stars.
 A node's smallest neighbour is a partial aggregate that is joined back to its links; the partition of a node with
 very many links is one that adaptive execution splits, as it does with any skewed join.
 """
@@ -14,6 +15,13 @@ from pyspark.sql import functions as F
 from loomwork.session import drop, saved, scratch, tidy_shuffles
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every u of the distinct edges (u, v), u > v, has one v only, and no v is also a u; then v is its root."""
+    ends = edges.selectExpr("u AS node", "1 AS up", "0 AS down").union(edges.selectExpr("v", "0", "1"))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+    return odd.isEmpty()
+
+
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of links(a, b), root being the smallest node that it reaches.
 
@@ -24,8 +32,8 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     folder, n = scratch(spark, "components"), 0
     with tidy_shuffles(spark):
         ends = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        edges, state = saved(ends.distinct(), f"{folder}/{n}"), None
-        while True:
+        edges = saved(ends.distinct(), f"{folder}/{n}")
+        while not are_stars(edges):
             both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -35,9 +43,5 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             edges = saved(small.select("e.u", "e.v").where("u != v").distinct(), f"{folder}/{n + 1}")
             drop(spark, f"{folder}/{n}")
             n += 1
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if now == state:
-                break
-            state = now
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
