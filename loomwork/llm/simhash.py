@@ -7,11 +7,11 @@ other. Three differing bits over three segments leave two cases (pigeonhole):
 
 - one segment is equal and another differs in at most one bit: key = the equal segment, exact, and the other's
   codeword, for each of six ordered pairs of segments;
-- each segment differs in exactly one bit: key = two codewords and the parity of all three segments, which the
-  other side has complemented.
+- each segment differs in exactly one bit, so one half of the last segment is equal: key = the codewords of the
+  other two segments, that half, exact, and the parity of all three segments, which the other side has complemented.
 
-Each distinct fingerprint is indexed under its nearest codewords (7 keys) and looks up all codewords (at most
-72 keys); a join on the key then verifies the distance. No link is missed, and keys have 27 bits and more.
+Each distinct fingerprint is indexed under its nearest codewords (8 keys) and looks up all codewords (at most
+108 keys); a join on the key then verifies the distance. No link is missed, and keys have 33 bits and more.
 
 Copies are collapsed to their fingerprint before keys are made, so a group of copies of any size is one row,
 and a fingerprint has at most as many links as there are words within 3 bits of it.
@@ -41,6 +41,8 @@ CHUNK = 1 << 16
 #: (shift, bits) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
+#: (shift, bits) of the halves of the last segment.
+HALVES = ((0, 11), (11, 10))
 # Fixed value: a generator polynomial of the binary Golay code.
 GENERATOR = 0b110001110101
 
@@ -137,8 +139,10 @@ def search_keys(prints: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray
     for n, (i, j) in enumerate(PAIRS):
         put(n << 40 | segments[i][:, None] << 12 | words[j], words[j] >= 0)
     a, b = words[0][:, :, None], words[1][:, None, :]
-    both = (len(PAIRS) << 40 | parity[:, None, None] << 24 | a << 12 | b).reshape(len(bits), -1)
-    put(both, ((a >= 0) & (b >= 0)).reshape(len(bits), -1))
+    there = ((a >= 0) & (b >= 0)).reshape(len(bits), -1)
+    for n, (shift, width) in enumerate(HALVES, len(PAIRS)):
+        half = segments[2] >> shift & (1 << width) - 1
+        put((n << 40 | (parity << 11 | half)[:, None, None] << 24 | a << 12 | b).reshape(len(bits), -1), there)
     return np.concatenate(rows), np.concatenate(keys)
 
 

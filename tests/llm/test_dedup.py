@@ -81,6 +81,16 @@ def test_golay_keys_find_every_pair_within_three_bits():
         assert all(index[i] & probe[i] for i in range(len(a)))
 
 
+def test_golay_keys_find_every_error_of_one_bit_in_each_segment():
+    print_ = np.array([0x0123456789ABCDEF], np.uint64)
+    bits = [np.uint64(1) << np.arange(s, s + n, dtype=np.uint64) for s, n in simhash.SEGMENTS]
+    others = print_ ^ (bits[0][:, None, None] | bits[1][:, None] | bits[2]).ravel()
+    for one, many in ((True, False), (False, True)):  # each side is indexed once and looked up once
+        wanted = simhash.search_keys(print_.view(np.int64), one)[1]
+        rows, keys = simhash.search_keys(others.view(np.int64), many)
+        assert len(set(rows[np.isin(keys, wanted)].tolist())) == len(others) == 22 * 21 * 21
+
+
 def test_golay_code_is_perfect():
     low, high, errors = simhash.golay()
     assert (errors[:, 0] >= 0).all() and len(set(errors[:, 0].tolist())) == 2048
