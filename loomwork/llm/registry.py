@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm.bpe import count_report, encoding_report
+from loomwork.llm.divergence import divergence_report
 from loomwork.llm.language import language_report
 from loomwork.llm import licenses
 from loomwork.llm.licenses import license_report
@@ -39,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": _over(count_report),
         "op9_language": _over(language_report),
         "op10_mixing": _over(mixing_report),
+        "op13_divergence": _over(divergence_report),
     }
 
 
@@ -115,4 +117,21 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT s.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS t
                      FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words) s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.p = g.p GROUP BY s.doc_id)
             SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)""",
+        "op13_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+            w AS (SELECT k, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+            c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM w GROUP BY ALL),
+            kept AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+            gc AS (SELECT g.lang, g.source, kept.term, CAST(coalesce(c.n, 0) AS HUGEINT) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+            p AS (SELECT lang, source, term, gc.n, 1 + (1000000000 * (gc.n + 1)) // (sum(gc.n) OVER (PARTITION BY lang, source) + v) AS p FROM gc JOIN v USING (lang)),
+            q AS (SELECT lang, term, 1 + (1000000000 * (kept.n + 1)) // (v.n + v) AS q FROM kept JOIN v USING (lang)),
+            parts AS (
+              SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL
+              UNION ALL SELECT a.lang, a.source, 'pair', b.source, 0 FROM g a JOIN g b USING (lang) WHERE a.source <> b.source AND a.lang NOT IN (SELECT lang FROM v)
+              UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM
+              (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 200""",
     }
