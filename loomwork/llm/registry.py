@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomwork.llm.alignment import alignment_report
 from loomwork.llm.bpe import count_report, encoding_report
 from loomwork.llm.divergence import divergence_report
 from loomwork.llm.language import language_report
@@ -19,6 +20,7 @@ from loomwork.llm.mixing import mixing_report
 from loomwork.llm.quality import quality_report
 from loomwork.llm.recompress import repeat_report
 from loomwork.llm.simhash import fingerprint_report
+from loomwork.llm.tokenfile import token_file_report
 from loomwork.llm.topk import top_k
 from loomwork.llm.warc import archive_report
 from loomwork.session import table
@@ -40,6 +42,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": _over(count_report),
         "op9_language": _over(language_report),
         "op10_mixing": _over(mixing_report),
+        "op11_token_files": _over(token_file_report),
+        "op12_alignment": _over(alignment_report),
         "op13_divergence": _over(divergence_report),
     }
 
