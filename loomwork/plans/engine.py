@@ -14,7 +14,7 @@ from loomwork.functions.text import is_blank
 from loomwork.operators.answers import NOTHING_FOUND, assembled
 from loomwork.operators.chunking import recursive_chunks, repeated_page_ids
 from loomwork.operators.retrieval import K, nearest, with_texts
-from loomwork.sources.pdf import page_texts, pdf_pages
+from loomwork.sources.pdf import pdf_pages
 from loomwork.sources.store import ChunkStore
 
 
@@ -26,6 +26,10 @@ class NotAPdf(ValueError):
     """A file whose name doesn't end in .pdf, or that has a path in its name."""
 
 
+class DamagedPdf(ValueError):
+    """An uploaded file that can't be read."""
+
+
 @dataclass(frozen=True)
 class Answer:
     answer: str
@@ -33,7 +37,7 @@ class Answer:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store_path: str, data_path: str = "data", *, embedder: Embedder | None = None, generator: Generator | None = None, split: Callable[[DataFrame], DataFrame] = recursive_chunks, parse: Callable[[bytes], list[str]] = page_texts):
+    def __init__(self, spark: SparkSession, store_path: str, data_path: str = "data", *, embedder: Embedder | None = None, generator: Generator | None = None, split: Callable[[DataFrame], DataFrame] = recursive_chunks, parse: Callable[[bytes], list[str]] | None = None):
         self.spark, self.data_path = spark, data_path
         self.store = ChunkStore(spark, store_path)
         self.embedder, self.generator = embedder or TermEmbedder(), generator or ExtractiveGenerator()
@@ -45,16 +49,25 @@ class Engine:
     def ingest(self, pages: DataFrame | None = None, *, reset: bool = False) -> int:
         """Splits pages, by default those of the data folder's PDF files, and stores new chunks; returns how many.
 
-        A chunk whose id is there already is left as it is, even if its text has changed.
+        A chunk whose id is there already is left as it is, even if its text has changed. Files and pages that can't be
+        read are passed over; damaged() names them.
         """
         if reset:
             self.reset()
-        pages = pdf_pages(self.spark, self.data_path, parse=self.parse) if pages is None else pages
+        if pages is None:
+            pages = pdf_pages(self.spark, self.data_path, parse=self.parse).where("error is null")
         chunks = repeated_page_ids(self.split(pages)).withColumn("page", F.col("page").cast("string"))
         return self.store.add(chunks, lambda text: embed_column(text, self.embedder))
 
+    def damaged(self) -> DataFrame:
+        """(source, page, error) of the data folder's files, page null, and pages that can't be read."""
+        return pdf_pages(self.spark, self.data_path, parse=self.parse).where("error is not null").select("source", "page", "error")
+
     def upload(self, name: str, content: bytes) -> int:
-        """Puts a PDF file in the data folder and ingests the folder; a file it replaces comes back on failure."""
+        """Puts a PDF file in the data folder and ingests the folder; a file it replaces comes back on failure.
+
+        A file that can't be read, so that nothing was added, is a failure too.
+        """
         if not name.endswith(".pdf") or "/" in name or "\\" in name or name.startswith("."):
             raise NotAPdf(name)
         jvm = self.spark._jvm
@@ -69,6 +82,8 @@ class Engine:
             stream.write(content)
             stream.close()
             added = self.ingest()
+            if not added and self.parse is None and (bad := pdf_pages(self.spark, f"{self.data_path}/{name}").where("page is null").first()):
+                raise DamagedPdf(f"{name}: {bad.error}")
         except Exception:
             fs.delete(path, False)
             if replaced:

@@ -17,7 +17,7 @@ from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, t
 from loomwork.operators import answers, chunking, retrieval
 from loomwork.plans.engine import Engine
 from loomwork.session import scratch, table
-from loomwork.sources.pdf import text_pages
+from loomwork.sources.pdf import pdf_pages, text_pages, write_pdfs
 from loomwork.sources.store import ChunkStore, insert_if_absent
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,28 @@ def upload_and_index(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(F.substring_index("source", "/", -1).alias("name"), F.col("page").cast("int").alias("page"), "chunk", F.md5("text").alias("text_md5"))
 
 
+def _pdf_folder(spark: SparkSession, sf: str) -> str:
+    """A folder with all documents as pages of PDF files, written in tasks: a file for each source and 500 ids."""
+    name = F.concat(F.regexp_replace(F.coalesce("source", F.lit("None")), "[^A-Za-z0-9]", "_"), F.lit("-"), F.floor(F.col("doc_id") / 500), F.lit(".pdf"))
+    folder = f"{scratch(spark, 'pdf')}/data"
+    write_pdfs(table(spark, sf, "documents").select(name.alias("name"), F.col("doc_id").alias("page"), "text"), folder)
+    return folder
+
+
+def pdf_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page of a folder of PDF files."""
+    name = F.substring_index("source", "/", -1).alias("name")
+    return pdf_pages(spark, _pdf_folder(spark, sf)).select(name, "page", F.length("text").alias("n"), F.md5("text").alias("text_md5"), F.coalesce("error", F.lit("")).alias("error"))
+
+
+def ingest_pdfs(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks in the store after an engine has ingested its data folder of PDF files, twice."""
+    engine = Engine(spark, f"{scratch(spark, 'engine')}/store", _pdf_folder(spark, sf), split=chunking.stride_chunks)
+    for _ in range(2):
+        engine.ingest()
+    return engine.store.read().select(F.substring_index("id", "/", -1).alias("id"), F.md5("text").alias("text_md5"))
+
+
 def health(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(_engine(spark).health()["status"],)], "status string")
 
@@ -188,7 +210,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             text_top5, knn_single, knn_batch, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
-            ingest_twice, reset_store, upload_and_index, health,
+            ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
         )
     }
@@ -203,6 +225,12 @@ _STRIDE = """chunks AS (
        LATERAL (SELECT unnest(range(0, d.last + 1)) AS i) g)"""
 
 
+_PDF = """pdf AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY doc_id) - 1 AS INTEGER) AS page FROM (
+    SELECT doc_id, coalesce(text, '') AS text,
+           regexp_replace(coalesce(source, 'None'), '[^A-Za-z0-9]', '_', 'g') || '-' || CAST(floor(doc_id / 500) AS BIGINT) || '.pdf' AS name FROM documents))"""
+
+
 def _terms(name: str, table_: str, key: str) -> str:
     return f"""{name} AS (
   SELECT k, b, count(*) AS n FROM (
@@ -260,6 +288,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'benchmark.pdf' AS name, CAST(page AS INTEGER) AS page, CAST(i AS INTEGER) AS chunk, md5(substr(text, i * 720 + 1, 800)) AS text_md5 FROM (
               SELECT page, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 800) / 720.0) AS BIGINT)) + 1)) AS i FROM (
                 SELECT row_number() OVER (ORDER BY item_id) - 1 AS page, coalesce(text, '') AS text FROM benchmark))""",
+        "pdf_source": f"WITH {_PDF} SELECT name, page, CAST(length(text) AS INTEGER) AS n, md5(text) AS text_md5, '' AS error FROM pdf",
+        "ingest_pdfs": f"""WITH {_PDF}
+            SELECT name || ':' || page || ':' || i AS id, md5(substr(text, i * 720 + 1, 800)) AS text_md5 FROM (
+              SELECT name, page, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 800) / 720.0) AS BIGINT)) + 1)) AS i FROM pdf)""",
         "health": "SELECT 'ok' AS status",
         "answer_extractive": f"""WITH {_TOP5}
             SELECT query_id, max(CASE WHEN rank = 1 THEN text END) AS answer, string_agg(id, ',' ORDER BY rank) AS sources FROM top5 JOIN chunks USING (id) GROUP BY query_id""",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from loomwork.operators.answers import NOTHING_FOUND
 from loomwork.plans.engine import BlankQuestion, Engine, NotAPdf, judged
 from loomwork.session import table
-from loomwork.sources import pdf
 from loomwork.sources.pdf import pdf_pages, text_pages
 from loomwork.sources.store import ChunkStore, DuplicateIds
 from loomwork.streaming.incremental import ingest_stream, page_stream
@@ -80,11 +79,6 @@ def test_pdf_source(spark, tmp_path, engine):
         (data / name).write_bytes(f"page one of {name}\fpage two".encode())
     rows = pdf_pages(spark, str(data), parse=lambda b: b.decode().split("\f")).orderBy("page").collect()
     assert [(r.page, r.text) for r in rows] == [(0, "page one of a.pdf"), (1, "page two")]
-    try:
-        import pypdf  # noqa: F401
-    except ImportError:
-        with pytest.raises(pdf.MissingParser):
-            pdf.page_texts(b"")
     for name in ("x.txt", "x.PDF", "../x.pdf"):
         with pytest.raises(NotAPdf):
             engine.upload(name, b"")
