@@ -54,9 +54,9 @@ class ByteSide:
         self.lengths = np.array([len(x) for x in self.spelt], np.int64)
 
     def ids(self, text: str) -> np.ndarray:
-        """Of a space and the text."""
+        """Of a space and the text; joined they always spell it, as every byte is a token."""
         if len(text) <= LONG:
-            return np.array(_encoding(self.path, RANKS).encode_ordinary(" " + text), np.int64)
+            return _encoding(self.path, RANKS).encode_to_numpy(" " + text, disallowed_special=()).astype(np.int64)
         voc = vocabulary(self.path)
         return np.array([i for piece in voc.cut.finditer(" " + text) for i in voc.merge(piece[0].encode())], np.int64)
 
@@ -77,7 +77,7 @@ class PieceSide:
             return np.array(self.model.encode(text), np.int64)
         found, at = [], 0
         while at <= len(text):
-            cut = re.compile("[^ ] ").search(text, at + LONG - 1)
+            cut = re.compile(r"[^ ] (?=[\s\S])").search(text, at + LONG - 1)
             end = cut.start() + 1 if cut else len(text)
             found.append(np.array(self.model.encode(text[at:end]), np.int64))
             at = end + 1  # the space there is the one that the model puts before a text
@@ -89,6 +89,11 @@ def sides(a: str, b: str) -> tuple[ByteSide, PieceSide]:
     return ByteSide(a), PieceSide(b)
 
 
+def id_kind(a: str, b: str) -> str:
+    """How ids travel: as 16-bit numbers where both vocabularies allow it."""
+    return "<u2" if max(len(side.lengths) for side in sides(a, b)) <= 1 << 16 else "<u4"
+
+
 def _runs(ids: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(block, start, ids) of the tokens that end within each WINDOW bytes."""
     ends = np.cumsum(lengths[ids])
@@ -102,7 +107,7 @@ def events(docs: DataFrame, a: str = VOCABULARY, b: str = PIECES) -> DataFrame:
     """The end events of both sides, as EVENTS; documents without tokens have one row of block -1."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sides(a, b)
+        both, kind = sides(a, b), id_kind(a, b)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
@@ -114,8 +119,8 @@ def events(docs: DataFrame, a: str = VOCABULARY, b: str = PIECES) -> DataFrame:
                     whole_text = (" " + (text or "")).encode()
                     digest = hashlib.blake2b(whole_text, digest_size=16, person=b"" if text is None else b"text").digest()
                     ids = [side.ids(text) if text else np.zeros(0, np.int64) for side in both]
-                    if text and all(b"".join(map(side.spelt.__getitem__, x.tolist())) == whole_text for side, x in zip(both, ids)):
-                        found += [(doc_id, digest, block, k, n, start, run.astype("<u4").tobytes()) for k, (side, x) in enumerate(zip(both, ids)) for block, start, run in _runs(x, side.lengths)]
+                    if text and b"".join(map(both[1].spelt.__getitem__, ids[1].tolist())) == whole_text:
+                        found += [(doc_id, digest, block, k, n, start, run.astype(kind).tobytes()) for k, (side, x) in enumerate(zip(both, ids)) for block, start, run in _runs(x, side.lengths)]
                     else:
                         found.append((doc_id, digest, -1, 0, n, 0, b""))
                 yield _batch(found, EVENTS)
@@ -152,7 +157,7 @@ class Sweep:
 
     def take(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
         """The tokens (ids, ends) of both sides that end within the next window; the last common end closes groups."""
-        common = np.intersect1d(a[1], b[1], assume_unique=True)
+        common = a[1][np.isin(a[1], b[1], assume_unique=True, kind="table")] if len(a[1]) and len(b[1]) else a[1][:0]
         closed = []
         for k, (ids, ends) in enumerate((a, b)):
             self.n[k] += len(ids)
@@ -213,7 +218,7 @@ def sweep(rows: DataFrame, a: str = VOCABULARY, b: str = PIECES) -> DataFrame:
     def machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = [side.lengths for side in sides(a, b)]
         spelt = _numbers(max(map(len, lengths))).__getitem__
-        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        kind, none = id_kind(a, b), (np.zeros(0, np.int64), np.zeros(0, np.int64))
         key = state = seen = None
         copies, block, window = 0, -1, [none, none]
         done: list[tuple] = []
@@ -237,7 +242,7 @@ def sweep(rows: DataFrame, a: str = VOCABULARY, b: str = PIECES) -> DataFrame:
                 if r[2] != block:
                     state.take(*window)
                     block, window = r[2], [none, none]
-                ids = np.frombuffer(r[6], "<u4").astype(np.int64)
+                ids = np.frombuffer(r[6], kind).astype(np.int64)
                 window[r[3]] = (ids, r[5] + np.cumsum(lengths[r[3]][ids]))
             if done:
                 yield _batch(done, SWEPT)

@@ -74,7 +74,7 @@ def ids_of(text: str, path: str = VOCABULARY, ranks: str = RANKS) -> np.ndarray:
     """Ids of a whole text, special strings inside it as their added token."""
     if len(text) > LONG:
         return np.frombuffer(encode_text(text, path), "<u4")
-    return np.array(_encoding(path, ranks).encode(text, allowed_special="all"), "<u4")
+    return _encoding(path, ranks).encode_to_numpy(text, allowed_special="all")
 
 
 def width_of(path: str) -> int:
