@@ -1,10 +1,9 @@
 """Source divergence audit: how far the term shares of each source are from those of the other sources of its language.
 
-Every task counts the terms of its documents in byte radix tries, one for each language, whose leaves hold a count for
-each source. A trie is cut at DEPTH bytes into pieces, a row each; pieces are dealt by range of (language, prefix) and
-sorted, so those of a prefix arrive one after the other and are merged in the trie of that prefix, which then is walked
-in UTF-8 order. A prefix whose pieces have more than HOT_LEAVES leaves together (counted over all pieces) travels as
-single leaves by whole term, so what a task holds is bounded by one term's counters there.
+Every task counts the terms of its documents in byte tries, one for each language, whose leaves hold a count for each
+source. A node keeps its leaves in one table until there are more than BURST, and then hands them on to nodes below, by
+their next STRIDE bytes. A trie is walked in UTF-8 order and its leaves are merged with those of all other tries by range
+of (language, prefix): in a range they arrive sorted, so equal terms meet, and what a task holds is one term's counters.
 
 Kept terms leave the walk in blocks. A second pass streams the blocks past the sources' totals: it adds up each pair of
 sources, and holds the CANDIDATES best terms of a source in tie order. Sources of a language are dealt by hash to tiles
@@ -22,10 +21,12 @@ from __future__ import annotations
 import pickle
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,23 +34,23 @@ from pyspark.sql.window import Window
 from loomwork.session import broadcast_if_small, saved, scratch, tidy_shuffles
 
 LEAST_DOCUMENTS, CANDIDATES, SCALE = 3, 200, 1_000_000_000
-#: Bytes of a prefix; distinct terms buffered, and leaves of a task's tries, before they move on; bytes of text, and rows, taken at once.
-DEPTH, BUFFER, LEAVES, WINDOW, SLICE = 4, 200_000, 100_000, 1 << 20, 256
-#: Leaves of a prefix beyond which it travels as single leaves; leaves of a block; sources of a tile; pairs of tiles that are broadcast.
-HOT_LEAVES, BLOCK, TILE, SENT_TILES = 100_000, 1_000, 1_000, 64
-#: Pairs of tiles whose sums a task holds; rows of an Arrow batch that it gives.
-HELD, BATCH = 8, 50_000
-
-PIECES = "lang string, key binary, leaves int, piece binary"
+#: Bytes of a step down a trie, leaves of a node that it keeps itself, and leaves of a task's tries before they move on.
+STRIDE, BURST, LEAVES = 3, 512, 500_000
+#: Bytes of text counted at once, and rows taken; leaves of a block; sources of a tile; pairs of tiles that are broadcast.
+WINDOW, SLICE, BLOCK, TILE, SENT_TILES = 8 << 20, 256, 1_000, 1_000, 64
+#: Leaves of one term, and pairs of tiles with their sums, that a task holds; rows of an Arrow batch that it gives.
+HELD_LEAVES, HELD, BATCH = 10_000, 8, 50_000
+
+TERMS = "lang string, term binary, documents long, leaf binary"
 BLOCKS = "lang string, leaves long, block binary, sources array<struct<source: string, n: long>>"
 PARTS = "lang string, source string, part string, item string, value long"
 #: A to Z in lower case, other ASCII characters that aren't letters as spaces.
 _FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def terms_of(text: str) -> Iterator[list[bytes]]:
-    """The terms of a text, in lists of those of about WINDOW bytes."""
-    data, at = text.encode().translate(_FOLD), 0
+def terms_of(data: bytes) -> Iterator[list[bytes]]:
+    """The terms of a folded text, in lists of those of about WINDOW bytes."""
+    at = 0
     while at < len(data):
         end = len(data)
         if end - at > WINDOW:
@@ -61,130 +62,154 @@ def terms_of(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+def counted(texts: list[bytes], groups: list[int], n_groups: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, and in the order of (term, group) the term's number, the group, occurrences and documents of each term in
+    each group; groups has the group of each folded text."""
+    lines = pa.array(texts, pa.binary())
+    words = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(lines), *lines.buffers()[1:]))
+    coded = words.flatten().dictionary_encode()
+    text, term = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy().astype(np.int64)
+    named = coded.dictionary.to_pylist()
+    full = np.array([bool(x) for x in named], bool)[term] if named else term > 0  # white space at an end leaves an empty one
+    size = len(texts)
+    own, times = np.unique(term[full] * size + text[full], return_counts=True)  # of each text
+    both = own // size * n_groups + np.array(groups, np.int64)[own % size]
+    order = np.argsort(both, kind="stable")
+    both, times = both[order], times[order]
+    starts = np.flatnonzero(np.diff(both, prepend=-1))
+    if not len(starts):
+        return [], both, both, both, both
+    return [x.encode() for x in named], both[starts] // n_groups, both[starts] % n_groups, np.add.reduceat(times, starts), np.diff(starts, append=len(both))
+
+
+#: {source: count}, and the number of documents under None. A dict of strings and numbers costs the collector nothing.
+Leaf = dict[str | None, int]
+
+
 class Trie:
-    """A byte radix trie; a node with a term has a leaf [documents, {source: count}]."""
+    """A byte trie; the leaf of a term is {source: count}, with the number of documents under None."""
 
-    __slots__ = ("edges", "leaf")
+    __slots__ = ("held", "below")
 
     def __init__(self) -> None:
-        self.edges: dict[int, tuple[bytes, Trie]] = {}
-        self.leaf: list | None = None
+        #: Leaves by the rest of their key; once there are nodes below, only those shorter than a step.
+        self.held: dict[bytes, Leaf] = {}
+        self.below: dict[bytes, Trie] | None = None
 
-    def node(self, key: bytes) -> Trie:
-        """The node at key, made if it isn't there; an edge that key leaves half-way is cut in two."""
+    def leaf(self, key: bytes) -> Leaf:
+        """The leaf of key, made if it isn't there."""
         node = self
-        while key:
-            edge = node.edges.get(key[0])
-            if edge is None:
-                new = Trie()
-                node.edges[key[0]] = (key, new)
-                return new
-            label, below = edge
-            if not key.startswith(label):
-                n = next(i for i, (a, b) in enumerate(zip(label + b"\0", key + b"\0")) if a != b or i == min(len(label), len(key)))
-                middle = Trie()
-                middle.edges[label[n]] = (label[n:], below)
-                node.edges[key[0]] = (label[:n], middle)
-                label, below = label[:n], middle
-            node, key = below, key[len(label) :]
-        return node
-
-    def add(self, key: bytes, documents: int, counts: Iterable[tuple[str, int]]) -> bool:
-        """Adds to the leaf of key; whether it is a new one."""
-        node = self.node(key)
-        if new := node.leaf is None:
-            node.leaf = [0, {}]
-        node.leaf[0] += documents
-        held = node.leaf[1]
-        for source, n in counts:
-            held[source] = held.get(source, 0) + n
-        return new
-
-    def merge(self, leaves: Iterable[tuple[bytes, int, dict[str, int]]]) -> None:
-        """Adds the leaves of another trie."""
-        for key, documents, counts in leaves:
-            self.add(key, documents, counts.items())
-
-    def walk(self) -> Iterator[tuple[bytes, int, dict[str, int]]]:
-        """(key, documents, counts) of every leaf, in the order of the keys' bytes."""
-        todo = [(b"", self)]
+        while node.below is not None and len(key) >= STRIDE:
+            step = node.below.get(key[:STRIDE])
+            if step is None:
+                step = node.below[key[:STRIDE]] = Trie()
+            node, key = step, key[STRIDE:]
+        found = node.held.get(key)
+        if found is None:
+            found = node.held[key] = {}
+            if len(node.held) > BURST and node.below is None:
+                node._burst()
+        return found
+
+    def _burst(self) -> None:
+        self.below = {}
+        for key in [k for k in self.held if len(k) >= STRIDE]:
+            self.below.setdefault(key[:STRIDE], Trie()).held[key[STRIDE:]] = self.held.pop(key)
+
+    def walk(self) -> Iterator[tuple[bytes, Leaf]]:
+        """(key, leaf) of every term, in the order of the keys' bytes."""
+        todo: list[tuple[bytes, Trie | Leaf]] = [(b"", self)]
         while todo:
-            key, node = todo.pop()
-            if node.leaf is not None:
-                yield key, node.leaf[0], node.leaf[1]
-            todo += [(key + node.edges[b][0], node.edges[b][1]) for b in sorted(node.edges, reverse=True)]
+            key, x = todo.pop()
+            if isinstance(x, dict):
+                yield key, x
+            elif x.below is None:
+                for k in sorted(x.held):
+                    yield key + k, x.held[k]
+            else:  # a leaf that a node keeps beside others below is shorter than their steps
+                both = {**x.held, **x.below}
+                todo += [(key + k, both[k]) for k in sorted(both, reverse=True)]
+
+
+def _leaves_of(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
+    """A row for each leaf, in the order of the walk."""
+    for lang, trie in tries.items():
+        walk = trie.walk()
+        while rows := list(islice(walk, BATCH)):
+            documents = [x.pop(None) for _, x in rows]
+            columns = [pa.array([lang] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.binary()), pa.array(documents, pa.int64()), pa.array([pickle.dumps(x) for _, x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "term", "documents", "leaf"])
 
 
-def _pieces_of(tries: dict[str, Trie]) -> Iterator[pa.RecordBatch]:
-    """The tries cut at DEPTH bytes: a row for each language and prefix."""
-    rows: list[tuple[str, bytes, int, bytes]] = []
-    for lang, trie in tries.items():
-        key, piece = None, []
-        for leaf in trie.walk():
-            if leaf[0][:DEPTH] != key:
-                if piece:
-                    rows.append((lang, key, len(piece), pickle.dumps(piece)))
-                key, piece = leaf[0][:DEPTH], []
-            piece.append(leaf)
-        if piece:
-            rows.append((lang, key, len(piece), pickle.dumps(piece)))
-    for at in range(0, len(rows), BATCH):
-        lang, key, leaves, piece = zip(*rows[at : at + BATCH])
-        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(key, pa.binary()), pa.array(leaves, pa.int32()), pa.array(piece, pa.binary())], ["lang", "key", "leaves", "piece"])
-
-
-def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (lang, source, text) rows in tries. Terms go through a buffer by source, so a trie is touched once for each distinct one."""
+def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts (lang, source, text) rows in tries; texts of about WINDOW bytes together are counted in arrays first, so a
+    trie is touched once for each term that differs among them."""
     tries: dict[str, Trie] = {}
-    documents: dict[str, Counter] = {}
-    counts: dict[tuple[str, str], Counter] = {}
-    leaves = buffered = 0
+    held: dict[tuple[str, str], list[bytes]] = {}
+    leaves = size = 0
 
     def settle() -> int:
-        new = 0
-        for lang, found in documents.items():
-            trie = tries.setdefault(lang, Trie())
-            new += sum(trie.add(term, n, ()) for term, n in found.items())
-        for (lang, source), found in counts.items():
-            trie = tries[lang]
-            for term, n in found.items():
-                trie.add(term, 0, ((source, n),))
-        documents.clear()
-        counts.clear()
+        groups, new = sorted(held), 0
+        of = [(lang, source, tries.setdefault(lang, Trie()).leaf) for lang, source in groups]
+        texts = [t for g in groups for t in held[g]]
+        terms, *columns = counted(texts, [i for i, g in enumerate(groups) for _ in held[g]], len(groups))
+        last, x = None, {}
+        for term, group, n, documents in zip(*(c.tolist() for c in columns)):
+            lang, source, leaf = of[group]
+            if (term, lang) != last:
+                x, last = leaf(terms[term]), (term, lang)
+                new += not x
+            x[source] = x.get(source, 0) + n
+            x[None] = x.get(None, 0) + documents
+        held.clear()
+        return new
+
+    def alone(lang: str, source: str, data: bytes) -> int:
+        """A text of more than WINDOW bytes."""
+        found: Counter = Counter()
+        for terms in terms_of(data):
+            found.update(terms)
+        leaf, new = tries.setdefault(lang, Trie()).leaf, 0
+        for term, n in found.items():
+            x = leaf(term)
+            new += not x
+            x[source] = x.get(source, 0) + n
+            x[None] = x.get(None, 0) + 1
         return new
 
     for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            found, seen = counts.setdefault((lang, source), Counter()), set()
-            buffered -= len(found)
-            for terms in terms_of(text):
-                found.update(terms)
-                seen.update(terms)
-            documents.setdefault(lang, Counter()).update(seen)
-            buffered += len(found)
-            if buffered > BUFFER:
-                leaves, buffered = leaves + settle(), 0
-                if leaves > LEAVES:
-                    yield from _pieces_of(tries)
-                    tries, leaves = {}, 0
-    settle()
-    yield from _pieces_of(tries)
-
-
-def _as_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of hot prefixes as one row for each leaf, by whole term."""
-    for batch in batches:
-        for lang, piece in zip(batch.column("lang").to_pylist(), batch.column("piece").to_pylist()):
-            leaves = pickle.loads(piece)
-            columns = [pa.array([lang] * len(leaves), pa.string()), pa.array([x[0] for x in leaves], pa.binary()), pa.array([1] * len(leaves), pa.int32()), pa.array([pickle.dumps([x]) for x in leaves], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "key", "leaves", "piece"])
+            data = text.encode().translate(_FOLD)
+            if len(data) > WINDOW:
+                leaves += alone(lang, source, data)
+                continue
+            held.setdefault((lang, source), []).append(data)
+            size += len(data) + 64
+            if size > WINDOW:
+                leaves, size = leaves + settle(), 0
+        if leaves > LEAVES:
+            yield from _leaves_of(tries)
+            tries.clear()
+            leaves = 0
+    leaves += settle()
+    yield from _leaves_of(tries)
+
+
+def merged(leaves: list[bytes]) -> Leaf:
+    """One leaf of those of a term; only terms that are kept come to it."""
+    whole = pickle.loads(leaves[0])
+    for leaf in leaves[1:]:
+        for source, n in pickle.loads(leaf).items():
+            whole[source] = whole.get(source, 0) + n
+    return whole
 
 
 def _merge(least: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces in the order of (lang, key) as blocks of kept leaves."""
+        """Leaves in the order of (lang, term) as blocks of the kept ones."""
         block: list[tuple[bytes, dict[str, int]]] = []
-        of, key, trie = None, None, Trie()
+        of = key = None
+        documents, leaves = 0, []
 
         def given() -> pa.RecordBatch:
             sums: Counter = Counter()
@@ -194,16 +219,21 @@ def _merge(least: int):
             return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([len(block)], pa.int64()), pa.array([pickle.dumps(block)], pa.binary()), sources], ["lang", "leaves", "block", "sources"])
 
         for batch in batches:
-            for lang, k, piece in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "piece"))):
-                if (lang, k) != (of, key):
-                    block += [(term, counts) for term, documents, counts in trie.walk() if documents >= least]
-                    trie = Trie()
-                    if block and (lang != of or len(block) >= BLOCK):
-                        yield given()
-                        block = []
-                    of, key = lang, k
-                trie.merge(pickle.loads(piece))
-        block += [(term, counts) for term, documents, counts in trie.walk() if documents >= least]
+            for lang, term, n, leaf in zip(*(batch.column(c).to_pylist() for c in ("lang", "term", "documents", "leaf"))):
+                if term == key and lang == of:
+                    documents += n
+                    leaves.append(leaf)
+                    if len(leaves) > HELD_LEAVES:
+                        leaves = [pickle.dumps(merged(leaves))]
+                    continue
+                if documents >= least:
+                    block.append((key, merged(leaves)))
+                if block and (lang != of or len(block) >= BLOCK):
+                    yield given()
+                    block = []
+                of, key, documents, leaves = lang, term, n, [leaf]
+        if documents >= least:
+            block.append((key, merged(leaves)))
         if block:
             yield given()
 
@@ -212,13 +242,8 @@ def _merge(least: int):
 
 def kept_terms(docs: DataFrame, folder: str, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """Blocks of the terms that at least `least` documents of their language have, with their counts by source."""
-    pieces = saved(docs.select("lang", "source", "text").mapInArrow(count_pieces, PIECES), f"{folder}/pieces")
-    hot = saved(pieces.groupBy("lang", "key").agg(F.sum("leaves").alias("n")).where(F.col("n") > HOT_LEAVES).select("lang", "key"), f"{folder}/hot")
-    if not hot.isEmpty():
-        sent = broadcast_if_small(hot)
-        apart = pieces.join(sent, ["lang", "key"], "left_semi").select(*pieces.columns).mapInArrow(_as_leaves, PIECES)
-        pieces = pieces.join(sent, ["lang", "key"], "left_anti").select(*pieces.columns).union(apart)
-    ranged = pieces.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
+    leaves = saved(docs.select("lang", "source", "text").mapInArrow(count_terms, TERMS), f"{folder}/leaves")
+    ranged = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
     return saved(ranged.mapInArrow(_merge(least), BLOCKS), f"{folder}/blocks")
 
 
