@@ -143,6 +143,11 @@ def _numbers(width: int) -> list[str]:
     return [mark + str(i) for i in range(width) for mark in ",|;"]
 
 
+def inside(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which ends are among the others; all of one window or of one open group, so a table of their range is small."""
+    return np.isin(ends, others, assume_unique=True, kind="table") if len(ends) and len(others) else np.zeros(len(ends), bool)
+
+
 class Sweep:
     """The state of one document: counts so far, and the group that is open."""
 
@@ -157,7 +162,7 @@ class Sweep:
 
     def take(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
         """The tokens (ids, ends) of both sides that end within the next window; the last common end closes groups."""
-        common = a[1][np.isin(a[1], b[1], assume_unique=True, kind="table")] if len(a[1]) and len(b[1]) else a[1][:0]
+        common = a[1][inside(a[1], b[1])]
         closed = []
         for k, (ids, ends) in enumerate((a, b)):
             self.n[k] += len(ids)
@@ -171,16 +176,26 @@ class Sweep:
         if not closed:
             return
         (a_ids, a_ends), (b_ids, b_ends) = closed
-        group = [np.searchsorted(common, ends) for ends in (a_ends, b_ends)]
+        both = [inside(a_ends, b_ends), inside(b_ends, a_ends)]
+        group = [np.cumsum(x) - x for x in both]  # common ends before a token's own
         first = [np.diff(g, prepend=-1) > 0 for g in group]
-        order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
-        marked = np.concatenate([3 * a_ids + 2 * first[0], 3 * b_ids + first[1]])[order]
+        size = [np.bincount(g, minlength=len(common)) for g in group]
+        # In text, the A tokens of a group stand after the B tokens of the groups before it, its B tokens after its A tokens.
+        a_place = np.arange(len(a_ids)) + (np.cumsum(size[1]) - size[1])[group[0]]
+        b_place = np.arange(len(b_ids)) + np.cumsum(size[0])[group[1]]
+        marked = np.empty(len(a_ids) + len(b_ids), np.int64)
+        marked[a_place] = 3 * a_ids + 2 * first[0]
+        marked[b_place] = 3 * b_ids + first[1]
         text = "".join(map(self.spelt, marked.tolist()))
         self.sha.update((text if self.groups else text[1:]).encode())
         self.groups += len(common)
-        ends = np.union1d(a_ends, b_ends)
+        ends = np.concatenate([a_ends, b_ends])
+        ends.sort(kind="stable")  # a merge of two runs
+        ends = ends[np.diff(ends, prepend=-1) > 0]
         self.links += len(ends)
-        self.held.append(a_ids[np.searchsorted(a_ends, ends)] << 32 | b_ids[np.searchsorted(b_ends, ends)])
+        ended = [inside(ends, x) for x in (a_ends, b_ends)]
+        over = [np.cumsum(x) - x for x in ended]  # tokens that ended before
+        self.held.append(a_ids[over[0]] << 32 | b_ids[over[1]])
         if sum(map(len, self.held)) > HELD:
             self.settle()
 

@@ -37,7 +37,7 @@ LEAST_DOCUMENTS, CANDIDATES, SCALE = 3, 200, 1_000_000_000
 #: Bytes of a step down a trie, leaves of a node that it keeps itself, and leaves of a task's tries before they move on.
 STRIDE, BURST, LEAVES = 3, 512, 500_000
 #: Bytes of text counted at once, and rows taken; leaves of a block; sources of a tile; pairs of tiles that are broadcast.
-WINDOW, SLICE, BLOCK, TILE, SENT_TILES = 8 << 20, 256, 1_000, 1_000, 64
+WINDOW, SLICE, BLOCK, TILE, SENT_TILES = 4 << 20, 256, 1_000, 1_000, 64
 #: Leaves of one term, and pairs of tiles with their sums, that a task holds; rows of an Arrow batch that it gives.
 HELD_LEAVES, HELD, BATCH = 10_000, 8, 50_000
 

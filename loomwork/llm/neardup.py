@@ -3,8 +3,8 @@
 Each distinct text gets a SimHash fingerprint of its shingles, and the Golay-code search of simhash.py finds the
 fingerprints within 3 bits of each other. Fingerprints alone miss about half of the pairs at a similarity of 0.8, so
 what they leave in different groups is searched by an exact set-similarity join: shingles have one order over the
-table, rare before frequent (frequency on a sample, so that it bears on cost only), then by hash. Two sets with a
-similarity of SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY n) + 1 of each (prefix filter),
+table: by the number of texts that have a shingle of the same bucket (BUCKETS of them, all texts counted), then by hash,
+so that shingles of passages that many texts share come last. Two sets with a similarity of SIMILARITY or more share a shingle among the first n - ceil(SIMILARITY n) + 1 of each (prefix filter),
 so these are the keys, and no pair is missed. Lengths and the places of a shared key bound the overlap and drop
 most other pairs.
 
@@ -16,7 +16,8 @@ groups. Links are tried in an order that spares all pairs of a group:
    one original share its keys, but not each other's edits;
 3. all texts of a key that are still in different groups with each other, so the groups are exact.
 
-A hub's many partners are dealt out in parts of PART. Equal texts are collapsed before all this.
+A hub's many partners are dealt out in parts of PART. Equal texts are collapsed before all this. Aggregates by a key are
+written before they are joined back to its rows, so that adaptive execution can split a key that very many texts have.
 
 Defined cases: rows with a null id are kept. A null text, and one without a word, is kept unless it is equal to
 another. Rows that share an id stay or go together, and each of their texts is compared; of rows with equal id and
@@ -25,6 +26,7 @@ text one stays.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -41,8 +43,8 @@ from loomwork.session import broadcast_if_small, drop, saved, scratch, tidy_shuf
 WIDTH, SIMILARITY = 5, 0.8
 #: Partners of a hub in a part.
 PART = 1_000
-#: Texts on which frequent shingles are found; those found in so many of them come last, the most frequent at most.
-SAMPLE, OFTEN, FREQUENT = 5_000, 3, 50_000
+#: Buckets of shingle hashes that texts are counted in, a power of two, and the stripes that they are added up in.
+BUCKETS, STRIPES = 1 << 21, 32
 #: Texts handled at once in a task.
 SLICE = 1_000
 #: Ids of repeats that are broadcast, at most: eight bytes each.
@@ -62,31 +64,47 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
     return len(a & b) / len(a | b) if a or b else 0.0
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, frequency) of the shingles that are frequent in a sample of texts (node, text), by hash."""
-    every = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text")
+def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts (node, text) have a shingle of each of BUCKETS buckets of hashes, counted over all texts.
+
+    Tasks send their counts in STRIPES, so that no task adds up all buckets of many others.
+    """
+    size = BUCKETS // STRIPES
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        found = np.zeros(BUCKETS, np.int64)
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text or "", width)).view("<i8"))], ["key"])
+                np.add.at(found, bucket(np.unique(shingle_hashes(text or "", width))), 1)
+        for i in range(STRIPES):
+            part = found[i * size : (i + 1) * size]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["stripe", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(batch.column("stripe").to_pylist(), batch.column("counts").to_pylist()):
+                found[i] = found.get(i, 0) + np.frombuffer(zlib.decompress(part), np.int64)
+        for i, part in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["stripe", "counts"])
+
+    schema, counts = "stripe int, counts binary", np.zeros(BUCKETS, np.int64)
+    for r in texts.select("text").mapInArrow(rows, schema).repartition(STRIPES, "stripe").mapInArrow(add_up, schema).collect():  # STRIPES rows
+        counts[r.stripe * size : (r.stripe + 1) * size] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
+    return counts
+
 
-    counted = some.mapInArrow(rows, "key long").groupBy("key").count().where(F.col("count") >= OFTEN)
-    found = counted.orderBy(F.desc("count"), "key").limit(FREQUENT).collect()
-    keys, counts = (np.array([r[c] for r in found], np.int64) for c in (0, 1))
-    order = np.argsort(keys.view(np.uint64))
-    return keys.view(np.uint64)[order], counts[order]
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def shingle_sets(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+def shingle_sets(texts: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
     """(node, n, print, keys) of texts (node, text) with a word: number of shingles, fingerprint, and prefix keys in order."""
-    often, counts = frequent
+    sent = texts.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
 
     def prefix(h: np.ndarray) -> np.ndarray:
-        if len(often):
-            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-            h = h[np.argsort(np.where(often[at] == h, counts[at], 0), kind="stable")]
+        h = h[np.argsort(sent.value[bucket(h)], kind="stable")]
         return h[: len(h) - ceil(similarity * len(h) - EPSILON) + 1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +126,9 @@ def shingle_sets(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], widt
     return texts.select("node", "text").mapInArrow(rows, "node long, n int, print long, keys array<long>")
 
 
-def print_links(sets: DataFrame) -> DataFrame:
+def print_links(sets: DataFrame, folder: str) -> DataFrame:
     """(a, b) of each text and one other of an equal fingerprint, or of the least one within 3 bits."""
-    prints = sets.groupBy("print").agg(F.min("node").alias("b"))
+    prints = saved(sets.groupBy("print").agg(F.min("node").alias("b")), f"{folder}/prints")
     same = sets.join(prints, "print").where("node != b").select(F.col("node").alias("a"), "b")
     least = near_prints(prints).groupBy(F.col("b").alias("print")).agg(F.min("a").alias("near"))
     near = least.join(prints, "print").withColumnRenamed("b", "a").join(prints.withColumnRenamed("print", "near"), "near")
@@ -127,10 +145,10 @@ def most_overlap(n: Column, place: Column, m: Column, other: Column) -> Column:
     return F.least(place, other) + F.least(n - place, m - other)
 
 
-def shared_keys(sets: DataFrame, similarity: float) -> DataFrame:
+def shared_keys(sets: DataFrame, folder: str) -> DataFrame:
     """(key, node, n, place, texts) of the prefix keys that several texts have."""
     keys = sets.select("node", "n", F.posexplode("keys").alias("place", "key"))
-    return keys.join(keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key")
+    return keys.join(saved(keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), f"{folder}/shared"), "key")
 
 
 def node_facts(keys: DataFrame, similarity: float) -> DataFrame:
@@ -139,18 +157,20 @@ def node_facts(keys: DataFrame, similarity: float) -> DataFrame:
     return keys.groupBy("node").agg((F.sum("texts") / F.max(length)).alias("score"))
 
 
-def open_keys(keys: DataFrame, links: DataFrame) -> DataFrame:
+def open_keys(keys: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     """keys (key, node, ...) with the text's group as root, only of those keys whose texts are in several groups."""
     groups = connected_components(links, "a", "b").withColumnRenamed("node", "linked")
     rooted = keys.join(groups, F.col("node") == F.col("linked"), "left").drop("linked").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rooted = saved(rooted, f"{folder}/rooted")
+    several = saved(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), f"{folder}/several")
     return rooted.join(several, "key", "left_semi")
 
 
-def hub_links(keys: DataFrame, similarity: float) -> DataFrame:
+def hub_links(keys: DataFrame, similarity: float, folder: str) -> DataFrame:
     """(a, b) of the texts of each key with its hub b in another group, if their overlap can be large enough."""
     hubs = keys.groupBy("key").agg(F.max(F.struct("score", "node", "n", "place", "root")).alias("hub"))
     hubs = hubs.select(F.col("key").alias("hub_key"), *(F.col(f"hub.{c}").alias(d) for c, d in (("node", "b"), ("n", "b_n"), ("place", "b_place"), ("root", "b_root"))))
+    hubs = saved(hubs, f"{folder}/hubs")
     enough = most_overlap(F.col("n"), F.col("place"), F.col("b_n"), F.col("b_place")) >= least_overlap(F.col("n"), F.col("b_n"), similarity)
     return keys.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("root") != F.col("b_root")) & enough).select(F.col("node").alias("a"), "b").distinct()
 
@@ -175,7 +195,7 @@ def verified_links(texts: DataFrame, links: DataFrame, folder: str, width: int,
     Each b is a hub: its text goes once to every part of its partners, which pass it one by one.
     """
     links = saved(links, f"{folder}/tried")
-    parts = links.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    parts = saved(links.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), f"{folder}/parts")
     needed = saved(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), f"{folder}/needed")
     held = texts.join(broadcast_if_small(needed, BROADCAST_IDS), F.col("node") == F.col("id"), "left_semi")
     hub = parts.join(held, F.col("b") == F.col("node")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
@@ -223,15 +243,16 @@ def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMI
     with tidy_shuffles(spark):
         docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("digest", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
         seen, classes, texts = _nodes(docs, folder)
-        sets = saved(shingle_sets(texts, frequent_shingles(texts, width), width, similarity), f"{folder}/sets")
-        first = verified_links(texts, print_links(sets), f"{folder}/1", width, similarity)
-        keys = saved(shared_keys(sets, similarity), f"{folder}/keys")
+        sets = saved(shingle_sets(texts, shingle_counts(texts, width), width, similarity), f"{folder}/sets")
+        first = verified_links(texts, print_links(sets, f"{folder}/1"), f"{folder}/1", width, similarity)
+        keys = saved(shared_keys(sets, f"{folder}/1"), f"{folder}/keys")
         drop(spark, f"{folder}/sets")
-        scored = saved(open_keys(keys.drop("texts"), first).join(node_facts(keys, similarity), "node"), f"{folder}/scored")
-        drop(spark, f"{folder}/keys")
-        second = first.union(verified_links(texts, hub_links(scored, similarity), f"{folder}/2", width, similarity))
-        rest = saved(open_keys(scored.drop("root", "score"), second), f"{folder}/rest")
-        drop(spark, f"{folder}/scored")
+        facts = saved(node_facts(keys, similarity), f"{folder}/facts")
+        scored = saved(open_keys(keys.drop("texts"), first, f"{folder}/open").join(facts, "node"), f"{folder}/scored")
+        drop(spark, f"{folder}/keys", f"{folder}/open", f"{folder}/facts")
+        second = first.union(verified_links(texts, hub_links(scored, similarity, f"{folder}/2"), f"{folder}/2", width, similarity))
+        rest = saved(open_keys(scored.drop("root", "score"), second, f"{folder}/open"), f"{folder}/rest")
+        drop(spark, f"{folder}/scored", f"{folder}/open")
         links = second.union(verified_links(texts, rest_links(rest, similarity), f"{folder}/3", width, similarity))
         # Texts of one id are one node of the groups, whether they are similar or not.
         named = seen.join(classes, "digest").select("doc_id", "node")
@@ -240,9 +261,9 @@ def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMI
         linked = connected_components(links.union(same), "a", "b").withColumnRenamed("node", "linked")
         rooted = classes.join(linked, F.col("node") == F.col("linked"), "left").select("digest", "first_id", F.coalesce("root", "node").alias("root"))
         rooted = saved(rooted, f"{folder}/rooted")
-        kept = rooted.groupBy("root").agg(F.min("first_id").alias("kept_id"))
+        kept = saved(rooted.groupBy("root").agg(F.min("first_id").alias("kept_id")), f"{folder}/kept")
         found = saved(seen.join(rooted.join(kept, "root").select("digest", "kept_id"), "digest"), f"{folder}/found")
-    drop(spark, *(f"{folder}/{part}" for part in ("rest", "1", "2", "3", "rooted", "seen", "classes", "shared_texts", "later")))
+    drop(spark, *(f"{folder}/{part}" for part in ("rest", "1", "2", "3", "rooted", "kept", "seen", "classes", "shared_texts", "later")))
     return found
 
 

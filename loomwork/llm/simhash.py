@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.components import connected_components
-from loomwork.session import shared_dir
+from loomwork.session import saved, scratch, tidy_shuffles
 
 SEED, DISTANCE = 42, 3
 #: Shingles whose bits are counted at once.
@@ -172,14 +172,16 @@ def near_prints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, width: int = 3, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, print, component_id) of every document; component_id is the smallest doc_id reachable by links."""
-    shared_dir(docs.sparkSession)
-    printed = docs.select("doc_id", fingerprint_column(F.col("text"), lambda t: fingerprint(t, width)).alias("print")).checkpoint()
-    prints = printed.groupBy("print").agg(F.min("doc_id").alias("first_id")).checkpoint()
-    linked = connected_components(near_prints(prints, distance), "a", "b")
-    rooted = prints.join(linked, prints["print"] == linked["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
-    rooted = rooted.checkpoint()
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.select("print", "root").join(smallest, "root").select("print", "component_id").checkpoint()
+    folder = scratch(docs.sparkSession, "simhash")
+    with tidy_shuffles(docs.sparkSession):
+        printed = docs.select("doc_id", fingerprint_column(F.col("text"), lambda t: fingerprint(t, width)).alias("print"))
+        printed = saved(printed, f"{folder}/printed")
+        prints = saved(printed.groupBy("print").agg(F.min("doc_id").alias("first_id")), f"{folder}/prints")
+        linked = connected_components(near_prints(prints, distance), "a", "b")
+        rooted = prints.join(linked, prints["print"] == linked["node"], "left").select("print", "first_id", F.coalesce("root", "print").alias("root"))
+        rooted = saved(rooted, f"{folder}/rooted")
+        smallest = saved(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), f"{folder}/smallest")
+        named = saved(rooted.select("print", "root").join(smallest, "root").select("print", "component_id"), f"{folder}/named")
     return printed.join(named, "print")
 
 

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomwork.llm import recompress, simhash
 from loomwork.llm.components import connected_components
@@ -135,3 +136,67 @@ def test_drop_repeats_keeps_columns_and_clean_texts(spark):
 @pytest.mark.parametrize("make", [simhash.fingerprint_report, recompress.repeat_report, recompress.drop_repeats])
 def test_empty_table(spark, make):
     assert make(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def final_plan(rows):
+    rows.collect()
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_on_a_hot_key_are_split(spark, tmp_path):
+    """Half of all rows have one key: adaptive execution must find a skewed join that it may split."""
+    from loomwork.llm import components, neardup
+    from loomwork.session import saved
+
+    low = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "16k",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(k, v)
+    try:
+        n = 40_000
+        links = spark.range(n).selectExpr("id AS v", "CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS u")
+        links = saved(links, str(tmp_path / "links"))
+        least = saved(links.groupBy("u").agg(F.min("v").alias("m")), str(tmp_path / "least"))
+        assert "skew=true" in final_plan(components.pointed(links, least))
+        sets = spark.range(n).selectExpr("id AS node", "10 AS n", "id % 7 AS print", "array(CASE WHEN id % 2 = 0 THEN -1L ELSE id END, id + 1000000) AS keys")
+        sets = saved(sets, str(tmp_path / "sets"))
+        keys = neardup.shared_keys(sets, str(tmp_path / "keys"))
+        assert "skew=true" in final_plan(keys)
+        keys = saved(keys.select("key", "node", "n", "place", F.lit(1.0).alias("score"), F.col("node").alias("root")), str(tmp_path / "rooted"))
+        hubs = neardup.hub_links(keys, 0.8, str(tmp_path / "hubs"))
+        assert "skew=true" in final_plan(hubs)
+        none = spark.createDataFrame([], "a long, b long")
+        assert "skew=true" in final_plan(neardup.open_keys(keys.drop("root"), none, str(tmp_path / "open")))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_frequent_passages_stay_out_of_the_prefixes(spark, tmp_path):
+    """A passage that a hundredth of all texts share makes no pairs to compare: candidates grow with the rows."""
+    from loomwork.llm import neardup
+
+    pairs = []
+    for n in (1_000, 2_000):
+        rng = np.random.default_rng(n)
+        passage = " ".join(f"p{i}" for i in range(50))
+        texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**9, 120)) + (f" {passage}" if i % 12 == 0 else "") for i in range(n)]
+        frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(4)
+        sets = neardup.shingle_sets(frame, neardup.shingle_counts(frame, 5), 5, 0.8).persist()
+        keys = neardup.shared_keys(sets, str(tmp_path / str(n)))
+        pairs.append(keys.select(F.sum(F.col("texts") - 1)).first()[0] or 0)
+    assert pairs[1] <= 2 * pairs[0] + 100 and pairs[1] < 2_000
+
+
+def test_shingle_counts_cover_all_texts(spark):
+    from loomwork.llm import neardup
+
+    texts = ["a b c d e f", "a b c d e", "x y", "", None, "a b c d e a b c d e"]
+    counts = neardup.shingle_counts(spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(3), 5)
+    want = np.zeros(neardup.BUCKETS, np.int64)
+    for t in texts:
+        np.add.at(want, neardup.bucket(np.unique(neardup.shingle_hashes(t or "", 5))), 1)
+    assert (counts == want).all() and counts.sum() > 0
