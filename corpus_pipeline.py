@@ -6,12 +6,10 @@ result as Parquet in the shared folder and reads it again for the next one.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwork.llm import bpe, mixing, neardup, quality, recompress
-from loomwork.session import shared_dir, table
+from loomwork.session import drop, saved, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for n, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
-        docs = spark.read.parquet(f"{folder}/{n}")
+        docs = saved(stage(spark, docs, sf_dir), f"{folder}/{n}")
+        drop(spark, f"{folder}/{n - 1}")
     return docs
