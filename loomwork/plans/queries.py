@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict
 from loomwork.operators import answers, chunking, retrieval
+from loomwork.operators.vectorindex import VectorIndex
 from loomwork.plans.engine import Engine
 from loomwork.session import scratch, table
 from loomwork.sources.pdf import pdf_pages, text_pages, write_pdfs
@@ -162,6 +163,24 @@ def knn_single(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest_to_one(rows, rows.where("id = 0").first()["vector"])
 
 
+def _indexed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _vectors(spark, sf)
+    index = VectorIndex.build(rows, f"{scratch(spark, 'index')}/vectors")
+    return index.search(rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"))
+
+
+def knn_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches of knn_batch through the approximate index."""
+    return _indexed(spark, sf)
+
+
+def knn_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many queries the index answers, and whether it finds 95 of 100 of their exact neighbours."""
+    exact = knn_batch(spark, sf).select("query_id", "id")
+    told = exact.join(_indexed(spark, sf).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    return told.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.95 * F.count("*")).alias("enough"))
+
+
 def context_assembly(spark: SparkSession, sf: str) -> DataFrame:
     return answers.contexts(_hits(spark, sf))
 
@@ -209,7 +228,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            text_top5, knn_single, knn_batch, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
+            text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
             ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
         )
@@ -273,6 +292,7 @@ def oracle_sql() -> dict[str, str]:
         "text_top5": f"WITH {_TOP5} SELECT * FROM top5",
         "knn_single": _KNN.format(q="", where="q.vec_id = 0"),
         "knn_batch": _KNN.format(q="query_id,", where="q.vec_id % 20 = 0"),
+        "knn_index_recall": f"SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough FROM ({_KNN.format(q='query_id,', where='q.vec_id % 20 = 0')})",
         "chunk_stride": f"WITH {_STRIDE} SELECT source, page, chunk, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n FROM chunks",
         "chunk_ids_runlength": """
             SELECT doc_id, key || ':' || (row_number() OVER (PARTITION BY island ORDER BY doc_id) - 1) AS id FROM (
