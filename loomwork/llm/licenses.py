@@ -1,7 +1,8 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license notices.
 
-A template is the whole notice of a public license, with the phrase that names its version or kind. It matches a
-block if the block has at least THRESHOLD of the template's distinct words, and the naming phrase. Blocks of a
+A template is the whole notice of a public license, with the phrases that name its kind and version: those are words that
+the notices of its relatives don't have in a row, so none of these is taken for it. It matches a block if the block has
+at least THRESHOLD of the template's distinct words, and all naming phrases. Blocks of a
 template of m words are BLOCK * m words long and start every (BLOCK - 1) * m words, so any m words in a row lie
 within one block; a text's last block may be shorter. The join on a template's n distinct words is exact by three
 filters:
@@ -37,22 +38,37 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Notices of public licenses, and the words in a row that a block must have to be of that license.
-_GPL = """
-    This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public
-    License as published by the Free Software Foundation; either {} of the License, or (at your option) any later
+# Notices of public licenses, and for each the words in a row that a block must have to be of that license.
+_GNU = """
+    This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} Public
+    License as published by the Free Software Foundation; either {version} of the License, or (at your option) any later
     version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for
-    more details. You should have received a copy of the GNU General Public License along with this program."""
+    implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} Public License for
+    more details. You should have received a copy of the GNU {name} Public License along with this program."""
 _NO_WARRANTY = """
     THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
     THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
     AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT,
     TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
     SOFTWARE."""
+_ISC_WARRANTY = """
+    THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+    IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+    INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN
+    AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+    PERFORMANCE OF THIS SOFTWARE."""
+_BSD = """
+    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+    of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+    with the distribution."""
 TEMPLATES = {
-    "gpl-2.0": (_GPL.format("version 2"), "version 2 of the license"),
-    "gpl-3.0": (_GPL.format("version 3"), "version 3 of the license"),
+    "gpl-2.0": (_GNU.format(name="General", version="version 2"), ("terms of the gnu general public license", "version 2 of the license")),
+    "gpl-3.0": (_GNU.format(name="General", version="version 3"), ("terms of the gnu general public license", "version 3 of the license")),
+    "lgpl-2.1": (_GNU.format(name="Lesser General", version="version 2.1"), ("terms of the gnu lesser general public license", "version 2 1 of the license")),
+    "lgpl-3.0": (_GNU.format(name="Lesser General", version="version 3"), ("terms of the gnu lesser general public license", "version 3 of the license")),
+    "agpl-3.0": (_GNU.format(name="Affero General", version="version 3"), ("terms of the gnu affero general public license", "version 3 of the license")),
     "apache-2.0": (
         """
     Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
@@ -60,7 +76,13 @@ TEMPLATES = {
     applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
     WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
     governing permissions and limitations under the License.""",
-        "apache license version 2",
+        ("apache license version 2",),
+    ),
+    "mpl-2.0": (
+        """
+    This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+        ("terms of the mozilla public license v 2 0",),
     ),
     "mit": (
         """
@@ -70,27 +92,43 @@ TEMPLATES = {
     permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
     notice and this permission notice shall be included in all copies or substantial portions of the Software."""
         + _NO_WARRANTY,
-        "permission is hereby granted free of charge",
+        ("permission is hereby granted free of charge to any person obtaining",),
+    ),
+    "bsl-1.0": (
+        """
+    Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+    accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute,
+    and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the
+    Software is furnished to do so, all subject to the following:""",
+        ("free of charge to any person or organization obtaining a copy of the software",),
     ),
     "isc": (
         """
     Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-    granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
-    PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-    WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT,
-    OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
-    OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-    THIS SOFTWARE.""",
-        "for any purpose with or without fee",
+    granted, provided that the above copyright notice and this permission notice appear in all copies."""
+        + _ISC_WARRANTY,
+        ("for any purpose with or without fee is hereby granted provided that the above copyright notice",),
     ),
-    "bsd-2-clause": (
+    "0bsd": (
         """
-    Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
-    of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
-    notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
-    with the distribution.""",
-        "redistribution and use in source and binary forms",
+    Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+    granted."""
+        + _ISC_WARRANTY,
+        ("for any purpose with or without fee is hereby granted the software is provided",),
+    ),
+    "bsd-2-clause": (_BSD, ("redistribution and use in source and binary forms", "with the distribution this software is provided by")),
+    "bsd-3-clause": (
+        _BSD
+        + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+    promote products derived from this software without specific prior written permission.""",
+        ("redistribution and use in source and binary forms", "may be used to endorse or promote products derived from this software"),
+    ),
+    "unlicense": (
+        """
+    This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+    use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+    purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software released into the public domain",),
     ),
 }
 
@@ -104,12 +142,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass(frozen=True)
 class Template:
-    """label, the distinct words, rarest first, how many words there are in all, and the naming phrase."""
+    """label, the distinct words, rarest first, how many words there are in all, and the naming phrases."""
 
     label: str
     words: tuple[bytes, ...]
     length: int
-    name: tuple[bytes, ...] = ()
+    names: tuple[tuple[bytes, ...], ...] = ()
 
     @property
     def need(self) -> int:
@@ -135,10 +173,10 @@ def document_frequencies(docs: DataFrame, wanted: frozenset[bytes]) -> dict[byte
     return {r["word"].encode(): r["n"] for r in counted.collect()}
 
 
-def ordered_templates(docs: DataFrame, templates: dict[str, tuple[str, str]] | None = None) -> list[Template]:
-    named = {label: (words_of(text), tuple(words_of(name))) for label, (text, name) in (templates or TEMPLATES).items()}
+def ordered_templates(docs: DataFrame, templates: dict[str, tuple[str, tuple[str, ...]]] | None = None) -> list[Template]:
+    named = {label: (words_of(text), tuple(tuple(words_of(x)) for x in names)) for label, (text, names) in (templates or TEMPLATES).items()}
     count = document_frequencies(docs, frozenset().union(*(words for words, _ in named.values())))
-    return [Template(label, tuple(sorted(set(words), key=lambda w: (count.get(w, 0), w))), len(words), name) for label, (words, name) in named.items() if words]
+    return [Template(label, tuple(sorted(set(words), key=lambda w: (count.get(w, 0), w))), len(words), names) for label, (words, names) in named.items() if words]
 
 
 def overlap(template: Template, block: frozenset[bytes]) -> int:
@@ -163,14 +201,14 @@ def matches(words: list[bytes], templates: list[Template]) -> dict[str, float]:
     there, found = frozenset(words), {}
     for t in templates:
         rare = there.intersection(t.prefix)
-        if not rare or len(there.intersection(t.words)) < t.need or not there.issuperset(t.name):
+        if not rare or len(there.intersection(t.words)) < t.need or not all(stands(words, name) for name in t.names):
             continue
         length, step = BLOCK * t.length, (BLOCK - 1) * t.length
         blocks = {b for i, w in enumerate(words) if w in rare for b in range(max(0, -(-(i - length + 1) // step)), i // step + 1)}
         best = 0
         for part in (words[b * step : b * step + length] for b in blocks):
             n = overlap(t, frozenset(part))
-            if n > best and stands(part, t.name):
+            if n > best and all(stands(part, name) for name in t.names):
                 best = n
         if best:
             found[t.label] = best / len(t.words)

@@ -56,8 +56,8 @@ def _license_sql() -> str:
     values = lambda rows: ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows)
     words = lambda text: [w.decode() for w in licenses.words_of(text)]
     phrases = [(label, len(words(p)), " ".join(words(p))) for p, label in licenses.PHRASES.items()]
-    notices = {label: (words(text), words(name)) for label, (text, name) in licenses.TEMPLATES.items()}
-    kinds = [(label, len(w), len(set(w)), licenses.Template(label, tuple(set(w)), len(w)).need, len(name), " ".join(name)) for label, (w, name) in notices.items()]
+    notices = {label: (words(text), [" ".join(words(x)) for x in names]) for label, (text, names) in licenses.TEMPLATES.items()}
+    kinds = [(label, len(w), len(set(w)), licenses.Template(label, tuple(set(w)), len(w)).need, names[0], names[-1]) for label, (w, names) in notices.items()]
     return rf"""
         WITH w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents),
@@ -65,14 +65,14 @@ def _license_sql() -> str:
         base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, list(DISTINCT label) AS labels FROM
           (SELECT doc_id, label, n, phrase, w, unnest(range(1, len(w) - n + 2)) AS i FROM w, phrases WHERE array_to_string(w, ' ') LIKE '%' || phrase || '%')
           WHERE array_to_string(list_slice(w, i, i + n - 1), ' ') = phrase GROUP BY doc_id),
-        kinds(label, m, n, need, named, name) AS (VALUES {values(kinds)}),
+        kinds(label, m, n, need, name, version) AS (VALUES {values(kinds)}),
         terms(label, word) AS (VALUES {values([(label, x) for label, (w, _) in notices.items() for x in sorted(set(w))])}),
-        near AS (SELECT doc_id, label, m, n, need, named, name, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / m) AS BIGINT)))) AS b FROM w, kinds
+        near AS (SELECT doc_id, label, m, n, need, name, version, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / m) AS BIGINT)))) AS b FROM w, kinds
           WHERE array_to_string(w, ' ') LIKE '%' || name || '%'),
-        block AS (SELECT doc_id, label, b, n, need, named, name, list_slice(w, b * m + 1, b * m + 2 * m) AS part FROM near),
+        block AS (SELECT doc_id, label, b, n, need, name, version, list_slice(w, b * m + 1, b * m + 2 * m) AS part FROM near),
         held AS (SELECT doc_id, label, b, n, need, count(*) AS found FROM
           (SELECT doc_id, label, b, n, need, unnest(list_distinct(part)) AS word FROM block
-           WHERE len(list_filter(range(1, len(part) + 1), lambda i: array_to_string(list_slice(part, i, i + named - 1), ' ') = name)) > 0)
+           WHERE ' ' || array_to_string(part, ' ') || ' ' LIKE '% ' || name || ' %' AND ' ' || array_to_string(part, ' ') || ' ' LIKE '% ' || version || ' %')
           JOIN terms USING (label, word) GROUP BY ALL HAVING count(*) >= need),
         best AS (SELECT doc_id, list(DISTINCT label) AS labels, max(found / CAST(n AS DOUBLE)) AS score FROM held GROUP BY doc_id)
         SELECT doc_id, len(w) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, base.b AS last_word,

@@ -61,12 +61,12 @@ def brute_words(text):
 def brute_labels(text):
     """Label to containment of the templates that any block holds enough of, by looking at every block."""
     words, found = brute_words(text), {}
-    for label, (template, name) in licenses.TEMPLATES.items():
-        wanted, name = set(brute_words(template)), brute_words(name)
+    for label, (template, names) in licenses.TEMPLATES.items():
+        wanted, names = set(brute_words(template)), [brute_words(name) for name in names]
         n, m = len(wanted), len(brute_words(template))
         for at in range(0, max(1, len(words)), m):
             block = words[at : at + 2 * m]
-            if len(wanted & set(block)) >= 0.8 * n - 1e-9 and any(block[i : i + len(name)] == name for i in range(len(block))):
+            if len(wanted & set(block)) >= 0.8 * n - 1e-9 and all(any(block[i : i + len(name)] == name for i in range(len(block))) for name in names):
                 found[label] = max(found.get(label, 0), len(wanted & set(block)) / n)
     return found
 
@@ -103,6 +103,66 @@ def test_notices_are_told_apart(spark):
     assert [set(r.labels.split(",")) for r in rows] == list(texts.values())
 
 
+# Notices as they stand in files, not made from the templates.
+_AGPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General
+ * Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any
+ * later version.
+ * This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+ * warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU Affero General Public License for more details.
+ * You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+_LGPL = _AGPL.replace("Affero General", "Lesser General").replace("This program", "This library").replace("this program", "this library")
+_BSD_CONDITIONS = """Copyright (c) 2020, Somebody. All rights reserved.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+* Redistributions of source code must retain the above copyright notice, this
+  list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice,
+  this list of conditions and the following disclaimer in the documentation
+  and/or other materials provided with the distribution.
+"""
+_BSD_3 = """* Neither the name of the project nor the names of its
+  contributors may be used to endorse or promote products derived from
+  this software without specific prior written permission.
+"""
+_BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+_ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+_MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        (_AGPL, "agpl-3.0"),
+        (_LGPL, "lgpl-3.0"),
+        (_LGPL.replace("version 3", "version 2.1"), "lgpl-2.1"),
+        (_AGPL.replace("Affero ", ""), "gpl,gpl-3.0"),
+        (_BSD_CONDITIONS + _BSD_3 + _BSD_END, "bsd-3-clause"),
+        (_BSD_CONDITIONS + _BSD_END, "bsd-2-clause"),
+        (_BSD_CONDITIONS, ""),  # as well the head of the one as of the other
+        (_ZERO_BSD, "0bsd"),
+        (_MPL, "mpl-2.0"),
+        ("SPDX: none. " + _ZERO_BSD.replace("granted.", "granted, provided that the above copyright notice and this permission notice appear in all copies."), "isc"),
+    ],
+)
+def test_relatives_of_a_license_are_told_apart(text, labels):
+    ordered = [licenses.Template(label, tuple(sorted(set(licenses.words_of(t)))), len(licenses.words_of(t)), tuple(tuple(licenses.words_of(n)) for n in names)) for label, (t, names) in licenses.TEMPLATES.items()]
+    assert licenses.scan_text("some code here\n" + text + "\nmore code", ordered)[5] == labels
+
+
 def test_license_scan_matches_brute_force(spark, sf):
     texts = [r.text for r in table(spark, sf, "documents").select("text").collect()]
     texts += [None, "", "...", "MIT License mit license", "CC BY-NC 4.0 CC, BY", "x " * 30_000 + "Apache License", "éß MIT\x00License",
