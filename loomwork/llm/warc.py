@@ -6,8 +6,8 @@ bytes or more are stored once: the smallest page id is the response, others are
 as streams, a record at a time, so neither a large page nor a large file has to fit in a row.
 
 The capture index has two levels. Captures are sorted by a key of reversed host and path, and packed into
-compressed blocks of BLOCK_LINES lines; a sparse directory holds the first and last key of each block. A lookup
-searches the directory in halves: its top, TOP entries at most, is sent to tasks, and if there are more blocks, each
+compressed blocks of BLOCK_LINES lines; a sparse directory holds the first and last key and page id of each block, so a
+url that has very many captures is still found in one block a capture. A lookup searches the directory in halves: its top, TOP entries at most, is sent to tasks, and if there are more blocks, each
 further step joins an entry with its FAN parts. Of the blocks, those that can hold a key are read, and searched in
 halves; what is found is the place (file, offset, length) of a record, which is then read as a range.
 
@@ -184,29 +184,53 @@ def _key(line: str) -> str:
     return line.split("\t", 1)[0]
 
 
+def _order(key: str, page_id: int | None) -> tuple:
+    """Captures sort by key and page id, null ids first."""
+    return key, page_id is not None, page_id or 0
+
+
+def _place(line: str) -> tuple:
+    key, page_id, _ = line.split("\t", 2)
+    return _order(key, int(page_id) if page_id else None)
+
+
+def _captures(lines: list[str]) -> list[dict]:
+    return [json.loads(x.split("\t", 2)[2]) for x in lines]
+
+
 def _in_block(lines: list[str], key: str) -> list[dict]:
     """The captures of a key, found in halves."""
-    a, b = bisect_left(lines, key, key=_key), bisect_right(lines, key, key=_key)
-    return [json.loads(x.split("\t", 1)[1]) for x in lines[a:b]]
+    return _captures(lines[bisect_left(lines, key, key=_key) : bisect_right(lines, key, key=_key)])
+
+
+def _one_in_block(lines: list[str], key: str, page_id: int | None) -> list[dict]:
+    """The captures of a key and page, found in halves."""
+    at = _order(key, page_id)
+    return _captures(lines[bisect_left(lines, at, key=_place) : bisect_right(lines, at, key=_place)])
 
 
 def _can_hold(key: Column) -> Column:
     return (F.col("first_key") <= key) & (key <= F.col("last_key"))
 
 
+BLOCKS = "first_key string, first_page long, last_key string, last_page long, lines long, packed binary"
+_ENTRY = ("first_key", "first_page", "last_key", "last_page")
+
+
 @dataclass
 class CaptureIndex:
-    """blocks: (block, first_key, last_key, lines, packed); block numbers follow the order of keys."""
+    """blocks: BLOCKS and block; block numbers follow the order of keys and page ids."""
 
     blocks: DataFrame
     size: int
 
     def directory(self) -> list[tuple[DataFrame, int]]:
         """(entries, divisor) by level, the blocks' own first; an entry of a level stands for FAN numbers of the one below."""
-        levels, n, divisor = [(self.blocks.select("block", "first_key", "last_key"), 1)], self.size, 1
+        levels, n, divisor = [(self.blocks.select("block", *_ENTRY), 1)], self.size, 1
         while n > TOP:
             divisor *= FAN
-            entries = self.blocks.groupBy(F.floor(F.col("block") / divisor).alias("block")).agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+            ends = F.min(F.struct("first_key", "first_page")).alias("a"), F.max(F.struct("last_key", "last_page")).alias("b")  # null ids count as least
+            entries = self.blocks.groupBy(F.floor(F.col("block") / divisor).alias("block")).agg(*ends).select("block", "a.*", "b.*")
             levels.append((entries, divisor))
             n = entries.count()
         return levels
@@ -214,19 +238,19 @@ class CaptureIndex:
     def blocks_of(self, wanted: DataFrame) -> DataFrame:
         """(block, key, page_id) of the blocks that can hold wanted(key, page_id): from the directory's top downward."""
         (top, _), *below = self.directory()[::-1]
-        entries = sorted((r.first_key, r.last_key, r.block) for r in top.collect())  # TOP at most
+        entries = sorted((_order(r.first_key, r.first_page), _order(r.last_key, r.last_page), r.block) for r in top.collect())  # TOP at most
         firsts, lasts = [e[0] for e in entries], [e[1] for e in entries]
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = [(entries[i][2], k, p) for k, p in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id"))) for i in range(bisect_left(lasts, k), bisect_right(firsts, k))]
+                rows = [(entries[i][2], k, p) for k, p in zip(*(batch.column(c).to_pylist() for c in ("key", "page_id"))) for i in range(bisect_left(lasts, _order(k, p)), bisect_right(firsts, _order(k, p)))]
                 blocks, keys, pages = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(keys, pa.string()), pa.array(pages, pa.int64())], ["block", "key", "page_id"])
 
         asked = wanted.select("key", "page_id").distinct().mapInArrow(search, "block long, key string, page_id long")
         for level, _ in below:
             parts = level.withColumn("above", F.floor(F.col("block") / FAN))
-            asked = asked.withColumnRenamed("block", "above").join(parts, "above").where(_can_hold(F.col("key"))).select("block", "key", "page_id")
+            asked = asked.withColumnRenamed("block", "above").join(parts, "above").where("struct(first_key, first_page) <= struct(key, page_id) and struct(key, page_id) <= struct(last_key, last_page)").select("block", "key", "page_id")
         return asked
 
     def locate(self, wanted: DataFrame) -> DataFrame:
@@ -240,7 +264,7 @@ class CaptureIndex:
                     if packed is not None:
                         lines = _lines(packed)
                     else:
-                        found += [x for x in _in_block(lines, key) if x["page_id"] == page_id]
+                        found += _one_in_block(lines, key, page_id)
                 if found:
                     yield _batch([[x[c.split()[0]] for x in found] for c in CAPTURE.split(", ")])
 
@@ -269,9 +293,9 @@ def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
         held: list[dict] = []
 
         def block(lines: list[dict]) -> pa.RecordBatch:
-            text = "\n".join(x["key"] + "\t" + json.dumps(x) for x in lines)
-            cols = [[lines[0]["key"]], [lines[-1]["key"]], [len(lines)], [zlib.compress(text.encode())]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["first_key", "last_key", "lines", "packed"])
+            text = "\n".join(f"{x['key']}\t{'' if x['page_id'] is None else x['page_id']}\t{json.dumps(x)}" for x in lines)
+            cols = [[lines[0]["key"]], [lines[0]["page_id"]], [lines[-1]["key"]], [lines[-1]["page_id"]], [len(lines)], [zlib.compress(text.encode())]]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i in (1, 3, 4) else None) for i, c in enumerate(cols)], [x.split()[0] for x in BLOCKS.split(", ")])
 
         for batch in batches:
             held += batch.to_pylist()
@@ -284,9 +308,9 @@ def build_index(captures: DataFrame, folder: str) -> CaptureIndex:
     spark = captures.sparkSession
     # Tabs and line breaks can't be in a key: urls are escaped when they are written.
     ordered = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    packed = ordered.mapInArrow(pack, "first_key string, last_key string, lines long, packed binary")
+    packed = ordered.mapInArrow(pack, BLOCKS)
     packed.withColumn("block", F.monotonically_increasing_id()).write.parquet(folder)
-    blocks = spark.read.schema("first_key string, last_key string, lines long, packed binary, block long").parquet(folder)
+    blocks = spark.read.schema(f"{BLOCKS}, block long").parquet(folder)
     return CaptureIndex(blocks, blocks.count())
 
 

@@ -189,3 +189,21 @@ def test_documents_without_words_stay_when_passes_round_down(spark):
         assert not any(0.99 < p < 1 for p in passes)
     rows = [(i, "" if i % 3 else "w " * 9, "large", 0) for i in range(900)] + [(1000 + i, "w " * 9, "small", 0) for i in range(30)]
     assert all(r.lw_copies >= 1 for r in mixture(spark, rows, block=16))
+
+
+def test_a_url_with_very_many_captures_is_found_in_one_block_each(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 50)
+    url = "http://hot.example/page"
+    rows = [(None if i == 0 else i, url if i % 4 else f"http://x.example/{i}", f"<p>{i}</p>") for i in range(4_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(pages, str(tmp_path / "archive"))
+    captures = warc.read_archives(spark, str(tmp_path / "archive")).persist()
+    key, asked = warc.url_key(url), [i for i in range(4_000) if i % 4 and i % 3 == 0]
+    for top in (10_000, 2):
+        monkeypatch.setattr(warc, "TOP", top)
+        monkeypatch.setattr(warc, "FAN", 4)
+        index = warc.build_index(captures, str(tmp_path / f"index-{top}"))
+        wanted = spark.createDataFrame([(key, i) for i in asked] + [("com,none)/", 5), (warc.url_key("http://x.example/0"), None)], "key string, page_id long")
+        assert index.blocks_of(wanted).count() <= len(asked) + 2 + index.size // 10
+        found = sorted((r.key, r.page_id or -1) for r in index.locate(wanted).collect())
+        assert found == sorted([(key, i) for i in asked] + [(warc.url_key("http://x.example/0"), -1)])
