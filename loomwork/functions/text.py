@@ -32,6 +32,14 @@ def verdict(text: Column) -> Column:
     return F.when(F.contains(said, F.lit("true")), True).when(F.contains(said, F.lit("false")), False).otherwise(bad)
 
 
+def verdict_or_error(text: Column) -> Column:
+    """struct(passed, error): as verdict, but what is neither is an error text and no verdict."""
+    said = F.lower(text)
+    passed = F.when(F.contains(said, F.lit("true")), True).when(F.contains(said, F.lit("false")), False)
+    error = F.when(passed.isNull(), F.concat(F.lit("neither true nor false: "), F.coalesce(text, F.lit("null"))))
+    return F.struct(passed.alias("passed"), error.alias("error"))
+
+
 def term_bucket(term: str) -> int:
     return int(hashlib.md5(term.encode()).hexdigest()[:6], 16) % BUCKETS
 

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwork.functions.judging import agreement_column
 from loomwork.functions.models import Embedder, ExtractiveGenerator, Generator, TermEmbedder, embed_column, generate_column
-from loomwork.functions.text import is_blank
+from loomwork.functions.text import is_blank, verdict, verdict_or_error
 from loomwork.operators.answers import NOTHING_FOUND, assembled
 from loomwork.operators.chunking import recursive_chunks, repeated_page_ids
 from loomwork.operators.retrieval import K, nearest, with_texts
@@ -68,6 +69,26 @@ class Engine:
 
         A file that can't be read, so that nothing was added, is a failure too.
         """
+
+        def write(fs, path) -> None:
+            stream = fs.create(path, True)
+            stream.write(content)
+            stream.close()
+
+        return self._land(name, write)
+
+    def upload_file(self, file: str) -> int:
+        """As upload, for a PDF file that is in a store already, as one that tasks have written: it is copied from there."""
+
+        def copy(fs, path) -> None:
+            source = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+            configuration = self.spark._jsc.hadoopConfiguration()
+            if not self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(configuration), source, fs, path, False, True, configuration):
+                raise OSError(f"{file} can't be copied")
+
+        return self._land(file.rpartition("/")[2], copy)
+
+    def _land(self, name: str, write: Callable) -> int:
         if not name.endswith(".pdf") or "/" in name or "\\" in name or name.startswith("."):
             raise NotAPdf(name)
         jvm = self.spark._jvm
@@ -78,9 +99,7 @@ class Engine:
         if replaced and not fs.rename(path, old):
             raise OSError(f"{name} can't be replaced")
         try:
-            stream = fs.create(path, True)
-            stream.write(content)
-            stream.close()
+            write(fs, path)
             added = self.ingest()
             if not added and self.parse is None and (bad := pdf_pages(self.spark, f"{self.data_path}/{name}").where("page is null").first()):
                 raise DamagedPdf(f"{name}: {bad.error}")
@@ -123,9 +142,13 @@ class Engine:
         self.store.reset()
 
 
-def judged(engine: Engine, cases: DataFrame, judge) -> DataFrame:
-    """(query_id, passed) of cases(query_id, question, expected): judge(expected, answer) columns give a verdict text."""
-    from loomwork.functions.text import verdict
+def judged(engine: Engine, cases: DataFrame, judge=agreement_column, *, strict: bool = True) -> DataFrame:
+    """(query_id, passed) of cases(query_id, question, expected): judge(expected, answer) columns give a verdict text.
 
+    A text that is no verdict is an error; if not strict, it is in a further column, error, and passed is null.
+    """
     told = cases.join(engine.answers(cases.select("query_id", "question")), "query_id")
-    return told.select("query_id", verdict(F.trim(judge(F.col("expected"), F.col("answer")))).alias("passed"))
+    said = F.trim(judge(F.col("expected"), F.col("answer")))
+    if strict:
+        return told.select("query_id", verdict(said).alias("passed"))
+    return told.select("query_id", verdict_or_error(said).alias("v")).select("query_id", "v.passed", "v.error")

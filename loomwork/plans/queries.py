@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
-from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict
+from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict, verdict_or_error
 from loomwork.operators import answers, chunking, retrieval
 from loomwork.operators.vectorindex import VectorIndex
-from loomwork.plans.engine import Engine
+from loomwork.plans.engine import Engine, judged
 from loomwork.session import scratch, table
 from loomwork.sources.pdf import pdf_pages, text_pages, write_pdfs
 from loomwork.sources.store import ChunkStore, insert_if_absent
@@ -96,14 +96,12 @@ def reset_store(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def upload_and_index(spark: SparkSession, sf: str) -> DataFrame:
-    """The benchmark's texts as pages of one uploaded file, uploaded again unchanged; the chunks that are then stored.
-
-    The file's pages are parsed by a form-feed splitter, as no PDF parser is at hand.
-    """
-    engine = _engine(spark, parse=lambda content: content.decode().split("\f"))
-    texts = [r.text or "" for r in table(spark, sf, "benchmark").orderBy("item_id").collect()]  # one file, as a user has it
+    """The benchmark's texts as pages of one PDF file that a task writes, uploaded, and uploaded again unchanged; the chunks
+    that are then stored."""
+    engine, folder = _engine(spark), scratch(spark, "upload")
+    write_pdfs(table(spark, sf, "benchmark").select(F.lit("benchmark.pdf").alias("name"), F.col("item_id").alias("page"), "text"), folder)
     for _ in range(2):
-        engine.upload("benchmark.pdf", "\f".join(texts).encode())
+        engine.upload_file(f"{folder}/benchmark.pdf")
     stored = engine.store.read()
     return stored.select(F.substring_index("source", "/", -1).alias("name"), F.col("page").cast("int").alias("page"), "chunk", F.md5("text").alias("text_md5"))
 
@@ -208,6 +206,62 @@ def answer_extractive(spark: SparkSession, sf: str) -> DataFrame:
     return ready.select("query_id", generate_column(F.coalesce("prompt", F.lit("")), F.col("texts"), ExtractiveGenerator()).alias("answer"), F.array_join("sources", ",").alias("sources"))
 
 
+def _stored(spark: SparkSession, sf: str) -> Engine:
+    """An engine whose store holds all documents."""
+    engine = _engine(spark)
+    engine.ingest(text_pages(table(spark, sf, "documents")))
+    return engine
+
+
+def _questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
+def engine_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers and sources of all benchmark texts by the engine, from its written store."""
+    return _stored(spark, sf).answers(_questions(spark, sf)).select("query_id", "answer", F.array_join("sources", ",").alias("sources"))
+
+
+def engine_query(spark: SparkSession, sf: str) -> DataFrame:
+    """One question, the first of the benchmark, as the command line and the API's route ask it."""
+    question = _questions(spark, sf).orderBy("query_id").first().question
+    told = _stored(spark, sf).query(question)
+    return spark.createDataFrame([(told.answer, ",".join(told.sources))], "answer string, sources string")
+
+
+def judged_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the engine's answer to each benchmark text has that text in it, as its judge says."""
+    cases = _questions(spark, sf).withColumn("expected", F.col("question"))
+    return judged(_stored(spark, sf), cases, strict=False).select("query_id", "passed", F.coalesce("error", F.lit("")).alias("error"))
+
+
+def _asked_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts that a user may send: of the benchmark, and of the conversations."""
+    asked = table(spark, sf, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    return asked.union(table(spark, sf, "conversations").select(F.lit("conversation"), "conv_id", F.col("turn").cast("long"), "text"))
+
+
+def blank_guard_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The guard on all texts, on what each has before its first letter, and on its white space alone."""
+    white = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^ \t\n\r\f]", "")
+    texts = _asked_texts(spark, sf).select("kind", "id", "turn", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("text").alias("t")), F.struct(F.lit(1).alias("part"), white.alias("t")))).alias("x"))
+    return texts.select("kind", "id", "turn", "x.part", (~is_blank(F.col("x.t"))).alias("accepted"))
+
+
+def file_guard_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The guard on file names made of all urls, with endings in both cases and without one."""
+    ending = F.element_at(F.array(*map(F.lit, (".pdf", ".PDF", "", ".pdf.txt"))), (F.pmod(F.col("page_id"), F.lit(4)) + 1).cast("int"))
+    names = table(spark, sf, "pages").select("page_id", F.concat(F.coalesce("url", F.lit("")), ending).alias("name"))
+    return names.select("page_id", is_pdf_name(F.col("name")).alias("accepted"))
+
+
+def judge_verdict_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The verdict that each text would be; what is neither is an error."""
+    said = F.when(F.col("id") % 3 == 0, F.concat("text", F.lit(" TRUE"))).when(F.col("id") % 3 == 1, F.concat("text", F.lit(" False."))).otherwise(F.col("text"))
+    told = _asked_texts(spark, sf).select("kind", "id", "turn", verdict_or_error(said).alias("v"))
+    return told.select("kind", "id", "turn", F.when(F.col("v.error").isNotNull(), "error").otherwise(F.col("v.passed").cast("string")).alias("verdict"))
+
+
 def _values(spark: SparkSession, texts: list[str], name: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(texts)), f"case_id int, {name} string")
 
@@ -231,6 +285,7 @@ def queries() -> dict[str, Query]:
             text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
             ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
+            engine_answers, engine_query, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
         )
     }
 
@@ -270,6 +325,23 @@ top5 AS (
   SELECT query_id, CAST(rank AS INTEGER) AS rank, id, dist FROM
     (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM dists) WHERE rank <= 5)"""
 
+# As _TOP5, by the vectors in the store: scaled to unit length, in 32 bits.
+_STORED5 = f"""{_STRIDE}, {_terms("ct", "chunks", "id")}, {_terms("qt", "benchmark", "item_id")},
+cw AS (SELECT k, b, CAST(CAST(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY k) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS w FROM ct),
+qw AS (SELECT k, b, CAST(CAST(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY k) AS DOUBLE)) AS FLOAT) AS DOUBLE) AS w FROM qt),
+cn AS (SELECT c.id, coalesce(sum(w * w), 0) AS s FROM chunks c LEFT JOIN cw ON c.id = cw.k GROUP BY c.id),
+qn AS (SELECT q.item_id, coalesce(sum(w * w), 0) AS s FROM benchmark q LEFT JOIN qw ON q.item_id = qw.k GROUP BY q.item_id),
+dots AS (SELECT qw.k AS item_id, cw.k AS id, sum(qw.w * cw.w) AS dot FROM qw JOIN cw ON qw.b = cw.b GROUP BY 1, 2),
+dists AS (SELECT qn.item_id AS query_id, cn.id, round(abs(qn.s + cn.s - 2 * coalesce(dot, 0)), 6) AS dist
+  FROM qn CROSS JOIN cn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.id = cn.id),
+top5 AS (
+  SELECT query_id, CAST(rank AS INTEGER) AS rank, id, dist FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM dists) WHERE rank <= 5),
+answered AS (SELECT query_id, max(CASE WHEN rank = 1 THEN text END) AS answer, string_agg(id, ',' ORDER BY rank) AS sources FROM top5 JOIN chunks USING (id) GROUP BY query_id)"""
+
+_ASKED = """asked AS (SELECT 'benchmark' AS kind, item_id AS id, CAST(0 AS BIGINT) AS turn, text FROM benchmark
+  UNION ALL SELECT 'conversation', conv_id, turn, text FROM conversations)"""
+
 _KNN = """SELECT {q} id, CAST(rank AS INTEGER) AS rank, dist FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM (
     SELECT q.vec_id AS query_id, r.vec_id AS id,
@@ -322,6 +394,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT query_id, '{before}' || {nl} || {nl} || context || {nl} || {nl} || '---' || {nl} || {nl} || '{after}' || text || {nl} AS prompt
             FROM c JOIN benchmark ON item_id = query_id""",
         "empty_result_answer": f"SELECT item_id AS query_id, '{answers.NOTHING_FOUND}' AS answer, CAST(0 AS INTEGER) AS n_sources FROM benchmark",
+        "engine_answers": f"WITH {_STORED5} SELECT * FROM answered",
+        "engine_query": f"WITH {_STORED5} SELECT answer, sources FROM answered WHERE query_id = (SELECT min(item_id) FROM benchmark)",
+        "blank_guard_texts": f"""WITH {_ASKED} SELECT kind, id, turn, part, part = 0 AND regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0b\\x1c-\\x1f]') AS accepted
+            FROM asked, (VALUES (0), (1)) v(part)""",
+        "file_guard_names": "SELECT page_id, suffix(coalesce(url, '') || CASE page_id % 4 WHEN 0 THEN '.pdf' WHEN 1 THEN '.PDF' WHEN 2 THEN '' ELSE '.pdf.txt' END, '.pdf') AS accepted FROM pages",
+        "judge_verdict_texts": f"""WITH {_ASKED}, said AS (SELECT kind, id, turn, lower(CASE id % 3 WHEN 0 THEN text || ' TRUE' WHEN 1 THEN text || ' False.' ELSE text END) AS s FROM asked)
+            SELECT kind, id, turn, CASE WHEN contains(s, 'true') THEN 'true' WHEN contains(s, 'false') THEN 'false' ELSE 'error' END AS verdict FROM said""",
         "blank_query_guard": f"SELECT CAST(case_id AS INTEGER) AS case_id, regexp_matches(t, '[^ \\t\\n\\r\\f\\x0b\\x1c-\\x1f]') AS accepted FROM {_sql_values(QUESTIONS)}",
         "file_type_guard": f"SELECT CAST(case_id AS INTEGER) AS case_id, suffix(t, '.pdf') AS accepted FROM {_sql_values(NAMES)}",
         "judge_verdict": f"SELECT CAST(case_id AS INTEGER) AS case_id, CASE WHEN contains(lower(t), 'true') THEN true WHEN contains(lower(t), 'false') THEN false END AS verdict FROM {_sql_values(VERDICTS)}",
