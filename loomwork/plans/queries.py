@@ -20,6 +20,7 @@ from loomwork.plans.engine import Engine, judged
 from loomwork.session import scratch, table
 from loomwork.sources.pdf import pdf_pages, text_pages, write_pdfs
 from loomwork.sources.store import ChunkStore, insert_if_absent
+from loomwork.streaming.incremental import ingest_pdf_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,11 +107,16 @@ def upload_and_index(spark: SparkSession, sf: str) -> DataFrame:
     return stored.select(F.substring_index("source", "/", -1).alias("name"), F.col("page").cast("int").alias("page"), "chunk", F.md5("text").alias("text_md5"))
 
 
-def _pdf_folder(spark: SparkSession, sf: str) -> str:
-    """A folder with all documents as pages of PDF files, written in tasks: a file for each source and 500 ids."""
+def _pdf_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as pages (name, page, text) of files, one for each source and 500 ids."""
     name = F.concat(F.regexp_replace(F.coalesce("source", F.lit("None")), "[^A-Za-z0-9]", "_"), F.lit("-"), F.floor(F.col("doc_id") / 500), F.lit(".pdf"))
+    return table(spark, sf, "documents").select(name.alias("name"), F.col("doc_id").alias("page"), "text")
+
+
+def _pdf_folder(spark: SparkSession, sf: str) -> str:
+    """A folder with these files, written in tasks."""
     folder = f"{scratch(spark, 'pdf')}/data"
-    write_pdfs(table(spark, sf, "documents").select(name.alias("name"), F.col("doc_id").alias("page"), "text"), folder)
+    write_pdfs(_pdf_rows(spark, sf), folder)
     return folder
 
 
@@ -128,6 +134,26 @@ def ingest_pdfs(spark: SparkSession, sf: str) -> DataFrame:
     return engine.store.read().select(F.substring_index("id", "/", -1).alias("id"), F.md5("text").alias("text_md5"))
 
 
+def ingest_pdf_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """PDF files ingested as they come: those of even blocks of ids, then all, then nothing new. How many files each run
+    parses, and the chunks that are stored after it."""
+    folder = scratch(spark, "changes")
+    engine, rows = Engine(spark, f"{folder}/store", f"{folder}/data", split=chunking.stride_chunks), _pdf_rows(spark, sf)
+    even = F.floor(F.col("page") / 500) % 2 == 0
+    told, files = [], [0]
+    for run, come in enumerate((even, ~even, None), 1):
+        if come is not None:
+            write_pdfs(rows.where(come), f"{folder}/data")
+        files[0] = 0
+
+        def seen(batch: DataFrame) -> None:
+            files[0] += batch.select("source").distinct().count()
+
+        ingest_pdf_stream(engine, f"{folder}/checkpoint", seen).awaitTermination()
+        told.append((run, files[0], engine.store.count()))
+    return spark.createDataFrame(told, "run int, files long, document_count long")
+
+
 def health(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(_engine(spark).health()["status"],)], "status string")
 
@@ -283,7 +309,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
-            ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, health,
+            ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, ingest_pdf_changes, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
             engine_answers, engine_query, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
         )
@@ -384,6 +410,10 @@ def oracle_sql() -> dict[str, str]:
         "ingest_pdfs": f"""WITH {_PDF}
             SELECT name || ':' || page || ':' || i AS id, md5(substr(text, i * 720 + 1, 800)) AS text_md5 FROM (
               SELECT name, page, text, unnest(range(0, greatest(0, CAST(ceil((length(text) - 800) / 720.0) AS BIGINT)) + 1)) AS i FROM pdf)""",
+        "ingest_pdf_changes": f"""WITH {_PDF},
+            file AS (SELECT name, floor(min(doc_id) / 500) % 2 AS odd, sum(greatest(0, CAST(ceil((length(text) - 800) / 720.0) AS BIGINT)) + 1) AS n FROM pdf GROUP BY name)
+            SELECT CAST(run AS INTEGER) AS run, CAST(count(*) FILTER (WHERE odd = run - 1) AS BIGINT) AS files, CAST(coalesce(sum(n) FILTER (WHERE odd < run), 0) AS BIGINT) AS document_count
+            FROM file, (VALUES (1), (2), (3)) v(run) GROUP BY run""",
         "health": "SELECT 'ok' AS status",
         "answer_extractive": f"""WITH {_TOP5}
             SELECT query_id, max(CASE WHEN rank = 1 THEN text END) AS answer, string_agg(id, ',' ORDER BY rank) AS sources FROM top5 JOIN chunks USING (id) GROUP BY query_id""",

@@ -5,6 +5,8 @@ case: source (the file), page (from 0), pos, text, error. Files are listed on th
 about PART_BYTES; a larger file is read by several, each for its share of the pages. A file or page that can't be read
 is a row with an error and no text, and the others are read all the same. What a task holds is one file.
 
+`spark.readStream.format("pdf_pages").option("state", folder).load(folder)` gives the pages of files as they come or change.
+
 `rows.write.format("pdf_pages").mode("append").save(folder)` writes rows (name, page, text), which must be sorted by
 name and page within partitions, as one file for each name, under its final name only when it is whole; so a task that
 is run again leaves the same files. A name that spans partitions would be written by each: deal rows by name.
@@ -15,8 +17,9 @@ one is an error; the path of one file reads it alone. Passing parse reads files
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +29,11 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from loomwork.sources.pdftext import texts
 
-FORMAT = "pdf_pages"
+FORMAT, VANISHED = "pdf_pages", "the file has vanished"
 PAGES = "source string, page int, pos long, text string, error string"
 #: Bytes of files for a partition; rows, and characters, of an Arrow batch; characters of a shown string; objects of an object stream.
 PART_BYTES, ROWS, CHARACTERS, SHOWN, PACKED = 32 << 20, 512, 4 << 20, 8_000, 100
@@ -54,14 +57,21 @@ class PdfReader(DataSourceReader):
     def __init__(self, folder: str, recursive: bool, part_bytes: int):
         self.folder, self.recursive, self.part_bytes = folder.rstrip("/"), recursive, part_bytes
 
-    def partitions(self) -> Sequence[FileRange]:
+    def listing(self) -> dict[str, tuple[int, int]]:
+        """The length and time, in nanoseconds, of each PDF file."""
         store, at = place(self.folder)
-        whole = store.get_file_info(at)
-        if whole.is_file:
-            return [FileRange([(self.folder, 0, 1)])]
-        found = store.get_file_info(fs.FileSelector(at, recursive=self.recursive))
+        if (whole := store.get_file_info(at)).is_file:
+            return {self.folder: (whole.size or 0, whole.mtime_ns or 0)}
         inner = lambda x: x.path[len(at) :].lstrip("/")
-        files = [(f"{self.folder}/{inner(x)}", x.size or 0) for x in found if x.is_file and x.base_name.endswith(".pdf") and not any(n.startswith((".", "_")) for n in inner(x).split("/"))]
+        found = store.get_file_info(fs.FileSelector(at, recursive=self.recursive))
+        sound = [x for x in found if x.is_file and x.base_name.endswith(".pdf") and not any(n.startswith((".", "_")) for n in inner(x).split("/"))]
+        return {f"{self.folder}/{inner(x)}": (x.size or 0, x.mtime_ns or 0) for x in sound}
+
+    def partitions(self) -> Sequence[FileRange]:
+        return self.ranges((path, size) for path, (size, _) in self.listing().items())
+
+    def ranges(self, files: Iterable[tuple[str, int]]) -> list[FileRange]:
+        """Files of these sizes in partitions of about part_bytes."""
         ranges, held, size = [], [], 0
         for path, n in sorted(files):
             parts = -(-n // self.part_bytes)
@@ -79,6 +89,9 @@ class PdfReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         for path, part, parts in partition.files:
+            if part < 0:
+                rows.append((path, None, None, VANISHED))
+                continue
             try:
                 store, at = place(path)
                 with store.open_input_file(at) as f:
@@ -102,6 +115,59 @@ class PdfReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(columns, ["source", "page", "pos", "text", "error"])
 
 
+class PdfChanges(DataSourceStreamReader):
+    """The pages of files that are new or were replaced since the last batch; unchanged files aren't opened.
+
+    The state is a numbered listing of paths, lengths and times in the state folder, an offset its number; so a batch
+    that is run again reads the same files. A file that has vanished is a row with the error VANISHED.
+    """
+
+    def __init__(self, reader: PdfReader, state: str):
+        self.reader, self.state = reader, state.rstrip("/")
+
+    def _listing(self, n: int) -> dict[str, list[int]]:
+        if not n:
+            return {}
+        store, at = place(f"{self.state}/{n:010d}.json")
+        with store.open_input_file(at) as f:
+            return json.loads(f.read())
+
+    def _numbers(self) -> list[int]:
+        store, at = place(self.state)
+        store.create_dir(at, recursive=True)
+        return sorted(int(x.base_name.removesuffix(".json")) for x in store.get_file_info(fs.FileSelector(at)) if x.base_name[:1] != "." and x.base_name.endswith(".json"))
+
+    def initialOffset(self) -> dict:
+        return {"listing": 0}
+
+    def latestOffset(self) -> dict:
+        last = max(self._numbers(), default=0)
+        now = {path: list(x) for path, x in self.reader.listing().items()}
+        if now == self._listing(last):
+            return {"listing": last}
+        store, at = place(f"{self.state}/{last + 1:010d}.json")
+        hidden = at.replace(f"{last + 1:010d}.json", f".{last + 1}")
+        with store.open_output_stream(hidden) as f:
+            f.write(json.dumps(now).encode())
+        store.move(hidden, at)
+        return {"listing": last + 1}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[FileRange]:
+        before, after = self._listing(start["listing"]), self._listing(end["listing"])
+        gone = [(path, -1, 0) for path in sorted(before.keys() - after.keys())]
+        return [*self.reader.ranges((path, x[0]) for path, x in after.items() if before.get(path) != x), *([FileRange(gone)] if gone else [])]
+
+    def read(self, partition: FileRange) -> Iterator[pa.RecordBatch]:
+        return self.reader.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Listings before the last two of a query that goes on aren't asked for any more."""
+        for n in self._numbers():
+            if n < end["listing"] - 1:
+                store, at = place(f"{self.state}/{n:010d}.json")
+                store.delete_file(at)
+
+
 class PdfFile:
     """Writes one file page by page. Characters get codes in the order of their first use; a ToUnicode map gives them back.
 
@@ -222,7 +288,7 @@ class PdfWriter(DataSourceArrowWriter):
 
 
 class PdfPages(DataSource):
-    """format("pdf_pages"). Options: path; recursive and partBytes to read, compact to write."""
+    """format("pdf_pages"). Options: path; recursive and partBytes to read, state to read as a stream, compact to write."""
 
     @classmethod
     def name(cls) -> str:
@@ -234,6 +300,9 @@ class PdfPages(DataSource):
     def reader(self, schema) -> PdfReader:
         return PdfReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("partBytes", PART_BYTES)))
 
+    def streamReader(self, schema) -> PdfChanges:
+        return PdfChanges(self.reader(schema), self.options["state"])
+
     def writer(self, schema, overwrite: bool) -> PdfWriter:
         return PdfWriter(self.options["path"], self.options.get("compact", "true").lower() == "true")
 

@@ -159,3 +159,51 @@ def test_engine_reads_pdf_files(spark, tmp_path):
     assert [r.source.split("/")[-1] for r in engine.damaged().collect()] == ["c.pdf"]
     told = engine.query("How many points does the longest train get?")
     assert "10 points" in told.answer and told.sources[0].endswith("a.pdf:0:0")
+
+
+def test_stream_reads_new_and_replaced_files_only(spark, tmp_path):
+    import os
+
+    from loomwork.streaming.incremental import ingest_pdf_stream
+
+    data, checkpoint = tmp_path / "data", str(tmp_path / "checkpoint")
+    data.mkdir()
+    engine, batches = Engine(spark, str(tmp_path / "store"), str(data)), []
+
+    def run():
+        batches.clear()
+        ingest_pdf_stream(engine, checkpoint, lambda rows: batches.append(rows.collect())).awaitTermination()
+        return {(r.source.split("/")[-1], r.page, r.error) for b in batches for r in b}
+
+    for name in ("a", "b", "c"):
+        (data / f"{name}.pdf").write_bytes(made([f"first page of {name}", f"second page of {name}"]))
+    assert run() == {(f"{n}.pdf", i, None) for n in "abc" for i in (0, 1)} and engine.store.count() == 6
+    assert run() == set()  # a restart with nothing new
+    (data / "b.pdf").write_bytes(made(["first page of b", "another second page", "third page"]))  # replaced
+    (data / "c.pdf").unlink()  # vanished
+    (data / "d.pdf").write_bytes(b"damaged")
+    got = run()
+    assert {x for x in got if not x[2]} == {("b.pdf", i, None) for i in range(3)}
+    assert {x[:2] for x in got if x[2]} == {("c.pdf", None), ("d.pdf", None)} and pdf.VANISHED in {x[2] for x in got}
+    texts = {r.id.split("/")[-1]: r.text for r in engine.store.read().collect()}
+    assert texts["b.pdf:1:0"] == "second page of b" and texts["b.pdf:2:0"] == "third page" and len(texts) == 7
+    stat = os.stat(data / "a.pdf")
+    os.utime(data / "a.pdf", ns=(stat.st_atime_ns, stat.st_mtime_ns + 10**9))  # the same length at another time
+    assert {x[:2] for x in run()} == {("a.pdf", 0), ("a.pdf", 1)} and engine.store.count() == 7
+
+
+def test_an_offset_names_the_same_files_again(tmp_path):
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "a.pdf").write_bytes(made(["x"]))
+    stream = pdf.PdfChanges(pdf.PdfReader(str(data), False, 1 << 20), str(tmp_path / "state"))
+    first = stream.latestOffset()
+    again = pdf.PdfChanges(stream.reader, stream.state)
+    assert again.latestOffset() == first == {"listing": 1}
+    (data / "b.pdf").write_bytes(made(["y"]))
+    second = again.latestOffset()
+    files = lambda a, b: [f for r in again.partitions(a, b) for f in r.files]
+    assert [f[0][-5:] for f in files(stream.initialOffset(), first)] == ["a.pdf"] and [f[0][-5:] for f in files(first, second)] == ["b.pdf"]
+    assert files(first, second) == files(first, second) and files(second, second) == []
+    again.commit(second)
+    assert [f[0][-5:] for f in files(first, second)] == ["b.pdf"]
