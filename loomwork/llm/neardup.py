@@ -35,14 +35,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomwork.llm.components import connected_components
 from loomwork.llm.simhash import SEED, majority, near_prints, shingles
 from loomwork.session import broadcast_if_small, drop, saved, scratch, tidy_shuffles
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Partners of a hub in a part.
-PART = 1_000
+#: Partners of a hub in a part; keys before one that tell whether two texts have met already.
+PART, BEFORE = 1_000, 8
 #: Buckets of shingle hashes that texts are counted in, a power of two, and the stripes that they are added up in.
 BUCKETS, STRIPES = 1 << 21, 32
 #: Texts handled at once in a task.
@@ -175,18 +176,26 @@ def hub_links(keys: DataFrame, similarity: float, folder: str) -> DataFrame:
     return keys.join(hubs, (F.col("key") == F.col("hub_key")) & (F.col("root") != F.col("b_root")) & enough).select(F.col("node").alias("a"), "b").distinct()
 
 
-def rest_links(keys: DataFrame, similarity: float) -> DataFrame:
+def rest_links(keys: DataFrame, similarity: float, folder: str) -> DataFrame:
     """(a, b) of all texts of a key in different groups, if their overlap can be large enough.
 
-    Past the key prefixes, two texts share no more than one of them has left, so the count of shared keys is a bound.
+    Two texts meet once, not once for each key that they share: not at a key if they share one of the BEFORE keys that
+    stand before it, which is never so at the first. There, what follows in both bounds the overlap. Past the key
+    prefixes, two texts share no more than one of them has left, so for the pairs that met the count of all shared keys
+    is a closer bound.
     """
-    right = keys.select(*(F.col(c).alias(f"b_{c}") for c in ("key", "node", "n", "place", "root")))
+    before = F.collect_list("key").over(Window.partitionBy("node").orderBy("place").rowsBetween(-BEFORE, -1))
+    keys = saved(keys.select("key", "node", "n", "place", "root", before.alias("before")), f"{folder}/before")
+    right = keys.select(*(F.col(c).alias(f"b_{c}") for c in ("key", "node", "n", "place", "root", "before")))
     need = least_overlap(F.col("n"), F.col("b_n"), similarity)
-    enough = most_overlap(F.col("n"), F.col("place"), F.col("b_n"), F.col("b_place")) >= need
-    pairs = keys.join(right, (F.col("key") == F.col("b_key")) & (F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & enough)
-    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("b_node").alias("b"), "n", "b_n").agg(F.count("*").alias("shared"))
+    reach = F.least(F.col("n") - F.col("place"), F.col("b_n") - F.col("b_place")) >= need
+    met = (F.col("key") == F.col("b_key")) & (F.col("node") < F.col("b_node")) & (F.col("root") != F.col("b_root")) & reach & ~F.arrays_overlap("before", "b_before")
+    pairs = saved(keys.join(right, met).select(F.col("node").alias("a"), F.col("b_node").alias("b"), "n", "b_n").distinct(), f"{folder}/met")
+    own = saved(keys.groupBy("node").agg(F.collect_list("key").alias("own")), f"{folder}/own")
     beyond = F.ceil(F.greatest("n", "b_n") * F.lit(similarity) - F.lit(EPSILON)) - 1
-    return pairs.where(F.col("shared") + beyond >= need).select("a", "b")
+    with_a = pairs.join(own.withColumnRenamed("node", "a"), "a")
+    close = (F.col("b") == F.col("node")) & (F.size(F.array_intersect("own", "b_own")) + beyond >= need)
+    return with_a.join(own.withColumnRenamed("own", "b_own"), close).select("a", "b")
 
 
 def verified_links(texts: DataFrame, links: DataFrame, folder: str, width: int, similarity: float) -> DataFrame:
@@ -253,7 +262,7 @@ def near_copies(docs: DataFrame, *, width: int = WIDTH, similarity: float = SIMI
         second = first.union(verified_links(texts, hub_links(scored, similarity, f"{folder}/2"), f"{folder}/2", width, similarity))
         rest = saved(open_keys(scored.drop("root", "score"), second, f"{folder}/open"), f"{folder}/rest")
         drop(spark, f"{folder}/scored", f"{folder}/open")
-        links = second.union(verified_links(texts, rest_links(rest, similarity), f"{folder}/3", width, similarity))
+        links = second.union(verified_links(texts, rest_links(rest, similarity, f"{folder}/3"), f"{folder}/3", width, similarity))
         # Texts of one id are one node of the groups, whether they are similar or not.
         named = seen.join(classes, "digest").select("doc_id", "node")
         several = named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b < last").select("doc_id", "b")
