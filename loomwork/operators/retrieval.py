@@ -51,15 +51,27 @@ def nearest(rows: DataFrame, queries: DataFrame, *, k: int = K, distance=squared
         found = rows.mapInPandas(_search(sent, k, distance, encode), schema)
     else:
         parts, blocks = (max(1, -(-n // size)) for n, size in ((rows.count(), ROW_PART), (asked.count(), QUERY_BLOCK)))
-        deal = lambda n: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+        if encode is not stacked:  # embedded once, not for each block that they meet
+            rows, asked = _embedded(rows, "id", encode), _embedded(asked, "query_id", encode)
+            encode = stacked
+        # Dealt by what is in a row, so a task that is run again deals alike.
+        deal = lambda n, key: F.pmod(F.xxhash64(key, "vector"), F.lit(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = rows.withColumn("part", deal(parts)).withColumn("block", each(blocks))
-        right = asked.withColumn("block", deal(blocks)).withColumn("part", each(parts))
+        left = rows.withColumn("part", deal(parts, "id")).withColumn("block", each(blocks))
+        right = asked.withColumn("block", deal(blocks, "query_id")).withColumn("part", each(parts))
         found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(_pair(k, distance, encode), schema)
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
 
+def _embedded(rows: DataFrame, key: str, encode) -> DataFrame:
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in (b for b in batches if len(b)):
+            yield pd.DataFrame({key: batch[key], "vector": list(encode(batch["vector"].to_numpy()))})
+
+    return rows.select(key, "vector").mapInPandas(vectors, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
+
+
 def _best(rows: pd.DataFrame, query_ids: np.ndarray, queries: np.ndarray, k: int, distance, encode) -> pd.DataFrame:
     """The k best rows of each query, ROW_BLOCK rows at a time."""
     best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": rows["id"].iloc[:0], "dist": pd.Series(dtype=float)})

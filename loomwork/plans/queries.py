@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict, verdict_or_error
-from loomwork.operators import answers, chunking, retrieval
+from loomwork.operators import answers, chunking, retrieval, summary
 from loomwork.operators.vectorindex import VectorIndex
 from loomwork.plans.engine import Engine, judged
 from loomwork.session import scratch, table
@@ -255,6 +255,13 @@ def engine_query(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(told.answer, ",".join(told.sources))], "answer string, sources string")
 
 
+def answer_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Each benchmark text answered by the sentences of its hits that a graph of them ranks best."""
+    engine, questions = _stored(spark, sf), _questions(spark, sf)
+    ready = answers.assembled(questions, engine.hits(questions))
+    return summary.summaries(ready, engine.store.read().select("text"))
+
+
 def judged_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the engine's answer to each benchmark text has that text in it, as its judge says."""
     cases = _questions(spark, sf).withColumn("expected", F.col("question"))
@@ -311,7 +318,7 @@ def queries() -> dict[str, Query]:
             text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
             ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, ingest_pdf_changes, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
-            engine_answers, engine_query, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
+            engine_answers, engine_query, answer_sentences, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
         )
     }
 
