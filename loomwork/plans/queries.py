@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict, verdict_or_error
-from loomwork.operators import answers, chunking, retrieval, summary
+from loomwork.operators import answers, chunking, embedding, retrieval, summary
 from loomwork.operators.vectorindex import VectorIndex
 from loomwork.plans.engine import Engine, judged
 from loomwork.session import scratch, table
@@ -163,6 +163,12 @@ def embed_terms(spark: SparkSession, sf: str) -> DataFrame:
     return counts.where("n > 0").select("id", "bucket", F.col("n").cast("long").alias("n"))
 
 
+def embed_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector of every document by term vectors that are fitted on all documents."""
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", embed_column(F.col("text"), embedding.fit(docs)).alias("vector"))
+
+
 def text_top5(spark: SparkSession, sf: str) -> DataFrame:
     rows = _chunks(spark, sf).select("id", F.col("text").alias("vector"))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("vector"))
@@ -315,7 +321,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
+            embed_vectors, text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
             ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, ingest_pdf_changes, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
             engine_answers, engine_query, answer_sentences, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
