@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Pre-tokens kept per Python worker with their ids; beyond it the cache starts anew.
-CACHE_ENTRIES = 250_000
+#: Pre-tokens kept per Python worker with their ids, and characters of one; beyond the first the cache starts anew, and
+#: longer ones, which hardly come again, aren't kept.
+CACHE_ENTRIES, CACHED = 250_000, 64
 #: Texts encoded at once by encode_rows.
 SLICE = 256
 #: Children of a node of the segment tree.
@@ -158,7 +159,9 @@ class _Packed(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         ids = self.voc.merge(piece.encode())
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= CACHED:
+            self[piece] = found
         return found
 
 
@@ -173,7 +176,9 @@ class _Counted(dict):
         if len(self) >= CACHE_ENTRIES:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        found = self[piece] = len(self.voc.merge(piece.encode()))
+        found = len(self.voc.merge(piece.encode()))
+        if len(piece) <= CACHED:
+            self[piece] = found
         return found
 
 

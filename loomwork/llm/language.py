@@ -27,8 +27,8 @@ WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, BATCH, RATE, SEED = 2_000, 16_000, 4, 32, 0.01, 11
 #: Hash values that the sample is cut from; languages whose counts are broadcast, at most.
 SPAN, BROADCAST_LANGUAGES = 1 << 40, 10_000
-#: Windows evaluated at once in a task.
-CHUNK = 2_048
+#: Windows evaluated at once in a task, and bytes of texts that are cut into windows at once (one text at least).
+CHUNK, SLICE_BYTES = 2_048, 4 << 20
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,6 +41,19 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8).reshape(-1, WINDOW), owner, size
 
 
+def slices(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """texts in order, in lists of about SLICE_BYTES."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > SLICE_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -168,7 +181,8 @@ def predict_column(spark, text: Column, net: ByteNet) -> Column:
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net = sent.value
         for texts in batches:
-            p = net.languages_of([(t or "").encode() for t in texts])
+            found = [net.languages_of(part) for part in slices([(t or "").encode() for t in texts])]
+            p = np.concatenate(found) if found else np.zeros((0, len(net.languages)))
             best = p.argmax(1)
             yield pd.DataFrame({"lang": [net.languages[i] for i in best], "score": np.minimum(1.0, p[np.arange(len(p)), best])})
 

@@ -1,0 +1,24 @@
+"""What workers hold stays bounded in bytes."""
+
+import numpy as np
+
+from loomwork.llm import bpe, language
+
+
+def test_long_pre_tokens_are_not_kept():
+    packed, counted = bpe._Packed(bpe.vocabulary(bpe.VOCABULARY)), bpe._Counted(bpe.vocabulary(bpe.VOCABULARY), frozenset({"a"}))
+    for piece in (" word", "x" * 64, "x" * 65, "日" * 5_000):
+        ids = np.frombuffer(packed[piece], "<u4").tolist()
+        assert ids == packed.voc.merge(piece.encode()) and counted[piece] == len(ids)
+        assert (piece in packed) == (piece in counted) == (len(piece) <= bpe.CACHED)
+
+
+def test_texts_are_cut_into_windows_by_slices(monkeypatch):
+    monkeypatch.setattr(language, "SLICE_BYTES", 1_000)
+    texts = [b"a" * n for n in (10, 990, 1, 5_000, 0, 400, 700)]
+    parts = list(language.slices(texts))
+    assert [t for p in parts for t in p] == texts and all(len(p) == 1 or sum(map(len, p)) <= 1_000 for p in parts)
+    net = language.ByteNet(["x", "y"])
+    whole = net.languages_of(texts)
+    assert np.allclose(np.concatenate([net.languages_of(p) for p in parts]), whole, atol=1e-6)
+    assert list(language.slices([])) == []

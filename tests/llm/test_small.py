@@ -257,3 +257,24 @@ def test_language_of_repeated_rows_long_texts_and_ties(spark):
     net.out[:] = 0  # equal probabilities: the first language by name
     told = docs.limit(2).select(language.predict_column(spark, F.col("text"), net).alias("p")).collect()
     assert {r.p.lang for r in told} == {"x"}
+
+
+def test_filter_gradients_equal_differences():
+    rng = np.random.default_rng(8)
+    net = language.ByteNet(["a", "b"], seed=5)
+    x, wanted = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8), np.array([0, 1, 1])
+
+    def loss():
+        net.__dict__.pop("tables", None)  # made of the filters
+        return -np.log(net.predict(x).astype(np.float64)[np.arange(3), wanted]).mean()
+
+    grads = net._gradients(x, wanted)
+    for p, g in zip(net.filters, grads):
+        assert np.abs(g).max() > 0
+        for at in zip(*np.unravel_index(np.argsort(-np.abs(g), axis=None)[:3], g.shape)):
+            old, ends = p[at], []
+            for step in (2e-3, -2e-3):  # small enough for the largest of a filter to stay where it is
+                p[at] = old + np.float32(step)
+                ends.append(loss())
+            p[at] = old
+            assert (ends[0] - ends[1]) / 4e-3 == pytest.approx(g[at], rel=0.1, abs=1e-3)
