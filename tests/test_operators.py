@@ -68,6 +68,14 @@ def test_recursive_chunks_equal_a_second_implementation(spark, sf):
         assert got.get(page, []) == plain_split(text, 800, 80)
 
 
+def test_long_texts_split_as_in_the_second_implementation():
+    rnd = random.Random(2)
+    words = ["".join(rnd.choices("abcdeé日", k=rnd.randint(1, 12))) for _ in range(400)]
+    long = "".join(rnd.choice(words) + rnd.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(20_000))
+    for text in (long, "x" * 21_000, "a b\n" * 10_000, ("y" * 900 + "\n") * 60, " " * 5_000, "\n\n".join(["z" * 799, "q" * 801] * 20)):
+        assert chunking.split_text(text) == plain_split(text, 800, 80)
+
+
 @pytest.mark.parametrize("kinds", [1, 2, 5])
 def test_run_length_ids_over_many_parts(spark, kinds):
     rnd = random.Random(kinds)
