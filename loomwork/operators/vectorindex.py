@@ -5,14 +5,14 @@ row is then indexed. The index has two tables: `codes` (cell, part, id, code), s
 one byte for each group of dimensions of the vector's difference from its cell's centre; and `vectors` (id, vector).
 
 A search sends each query to its nearest cells. How many these are is measured when the index is built: the neighbours of
-TRIED rows are searched exactly, and as many cells are probed as hold RECALL of them. Cells are split in parts of about PART rows, and the queries of a
-cell in blocks of about BLOCK, so what a task joins has a bounded size whatever the cell or the query set. Codes give
+TRIED rows are searched exactly, and as many cells are probed as hold RECALL of them. Cells are split in parts of about PART
+rows, and the queries of a cell in blocks of about BLOCK, so what a task joins has a bounded size whatever the cell or the query set. Codes give
 SHORTLIST candidates a query; their vectors are fetched and ranked by exact distance. Queries whose cells hold fewer
 than k rows are searched exactly, in all rows.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part; others must have one
-length. Repeated ids are rows of their own. Distances are rounded to 6 digits, ties go to the smaller id. An index of no rows gives no
-hits.
+length. Repeated ids are rows of their own. Distances are rounded to 6 digits, ties go to the smaller id. An index of no
+rows gives no hits.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from loomwork.session import broadcast_if_small, saved, scratch
 SAMPLE, CELLS, ROUNDS, GROUP, CODES = 20_000, 1_024, 12, 4, 256
 #: Rows whose neighbours tell how many cells to probe, and the share of these that must be there.
 TRIED, RECALL = 256, 0.98
-#: Rows of a part, queries of a block, candidates for each query.
-PART, BLOCK, SHORTLIST = 32_768, 1_024, 128
+#: Rows of a part, queries of a block, candidates for each query, cells that bound these.
+PART, BLOCK, SHORTLIST, FIRST = 32_768, 1_024, 128, 4
 
 
 def usable(vector: Column) -> Column:
@@ -183,20 +183,33 @@ class VectorIndex:
         return self.spark.read.schema(f"cell int, part int, id {self.id_type}, code binary").parquet(f"{self.folder}/codes")
 
     def probes(self, queries: DataFrame, n: int) -> DataFrame:
-        """(cell, query_id, vector): each query with its n nearest cells."""
+        """(cell, place, query_id, vector): each query with its n nearest cells, in their order."""
         sent = self.spark.sparkContext.broadcast(self.model)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in (b for b in batches if len(b) and len(sent.value.cells)):
                 vectors = np.stack([np.asarray(v, float) for v in batch["vector"]])
                 cells = sent.value.nearest_cells(vectors, n)
-                rows = np.repeat(np.arange(len(batch)), cells.shape[1])
-                yield pd.DataFrame({"cell": cells.ravel().astype(np.int32), "query_id": batch["query_id"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows]})
+                rows, place = np.repeat(np.arange(len(batch)), cells.shape[1]), np.tile(np.arange(cells.shape[1], dtype=np.int32), len(batch))
+                yield pd.DataFrame({"cell": cells.ravel().astype(np.int32), "place": place, "query_id": batch["query_id"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows]})
 
-        return queries.mapInPandas(near, "cell int, query_id long, vector array<double>")
+        return queries.mapInPandas(near, "cell int, place int, query_id long, vector array<double>")
 
-    def candidates(self, probes: DataFrame, shortlist: int) -> DataFrame:
-        """(query_id, id): the shortlist rows of the probed cells that their codes put nearest to each query."""
+    def candidates(self, probes: DataFrame, shortlist: int, folder: str) -> DataFrame:
+        """(query_id, id): the shortlist rows of the probed cells that their codes put nearest to each query.
+
+        A query's FIRST cells give the distance of its last candidate so far; the others then give only what is nearer.
+        """
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))
+        top = lambda rows: rows.withColumn("n", best).where(F.col("n") <= shortlist)
+        first = probes.where(F.col("place") < FIRST).withColumn("limit", F.lit(float("inf")))
+        first = saved(top(self._looked_up(first, shortlist)), f"{folder}/first")
+        limits = saved(first.where(F.col("n") == shortlist).select("query_id", F.col("near").alias("limit")), f"{folder}/limits")
+        more = probes.where(F.col("place") >= FIRST).join(broadcast_if_small(limits), "query_id", "left").fillna(float("inf"), ["limit"])
+        return top(first.drop("n").union(self._looked_up(more, shortlist))).select("query_id", "id")
+
+    def _looked_up(self, probes: DataFrame, shortlist: int) -> DataFrame:
+        """(query_id, id, near) of each probe's shortlist rows, within its limit, part by part of a cell."""
         sent, schema = self.spark.sparkContext.broadcast(self.model), f"query_id long, id {self.id_type}, near double"
         cells = self.spark.read.schema("cell int, parts int").parquet(f"{self.folder}/cells")
         asked = probes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -206,20 +219,21 @@ class VectorIndex:
         right = probes.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("query_id", "vector"), F.col("blocks")).cast("int")).withColumn("part", each("parts"))
 
         def look(key, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            queries, places, distances = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             if len(rows) and len(asked):
                 codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-                ids = rows["id"].to_numpy()
-                for query, vector in zip(asked["query_id"], asked["vector"]):
+                for query, vector, limit in zip(asked["query_id"], asked["vector"], asked["limit"]):
                     near = sent.value.distances(np.asarray(vector, float), key[0], codes)
-                    best = np.argpartition(near, shortlist)[:shortlist] if len(near) > shortlist else np.arange(len(near))
-                    out.append(pd.DataFrame({"query_id": query, "id": ids[best], "near": near[best]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": rows["id"].iloc[:0], "near": pd.Series(dtype=float)})
+                    at = np.flatnonzero(near <= limit)
+                    if len(at) > shortlist:
+                        at = at[np.argpartition(near[at], shortlist)[:shortlist]]
+                    queries.append(np.full(len(at), query))
+                    places.append(at)
+                    distances.append(near[at])
+            return pd.DataFrame({"query_id": np.concatenate(queries), "id": rows["id"].to_numpy()[np.concatenate(places)], "near": np.concatenate(distances)})
 
         keys = ("cell", "part", "block")
-        found = left.select(*keys, "id", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "vector").groupBy(*keys)).applyInPandas(look, schema)
-        best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "id"))
-        return found.withColumn("n", best).where(F.col("n") <= shortlist).select("query_id", "id")
+        return left.select(*keys, "id", "code").groupBy(*keys).cogroup(right.select(*keys, "query_id", "vector", "limit").groupBy(*keys)).applyInPandas(look, schema)
 
     def search(self, queries: DataFrame, k: int = K, probes: int | None = None, shortlist: int = SHORTLIST) -> DataFrame:
         """(query_id, rank, id, dist) of about the k nearest rows to each of queries(query_id, vector); query ids differ.
@@ -229,7 +243,8 @@ class VectorIndex:
         folder = scratch(self.spark, "search")
         asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")))
         asked = saved(asked, f"{folder}/asked")
-        found = saved(self.candidates(saved(self.probes(asked, probes or self.probed), f"{folder}/probes"), max(k, shortlist)).distinct(), f"{folder}/found")
+        probed = saved(self.probes(asked, probes or self.probed), f"{folder}/probes")
+        found = saved(self.candidates(probed, max(k, shortlist), folder).distinct(), f"{folder}/found")
         # Of the vectors, those of candidates are fetched: by a broadcast of (query_id, id) where these are few.
         with_vectors = self.vectors().join(broadcast_if_small(found), "id").join(broadcast_if_small(asked.withColumnRenamed("vector", "query")), "query_id")
         apart = F.zip_with("vector", "query", lambda x, y: (x - y) * (x - y))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from loomwork.functions.models import ExtractiveGenerator, TermEmbedder, embed_column, generate_column
 from loomwork.functions.text import is_blank, is_pdf_name, term_counts_column, term_matrix, verdict, verdict_or_error
 from loomwork.operators import answers, chunking, embedding, retrieval, summary
+from loomwork.operators.textindex import TextIndex
 from loomwork.operators.vectorindex import VectorIndex
 from loomwork.plans.engine import Engine, judged
 from loomwork.session import scratch, table
@@ -175,6 +176,12 @@ def text_top5(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.nearest(rows, asked, distance=retrieval.unit_distances, encode=term_matrix, id_type="string")
 
 
+def text_index_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of text_top5 from an index with block maxima, which looks at part of the blocks."""
+    index = TextIndex.build(_chunks(spark, sf), f"{scratch(spark, 'index')}/texts")
+    return index.search(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.with_texts(text_top5(spark, sf), _chunks(spark, sf), retrieval.K * table(spark, sf, "benchmark").count())
 
@@ -321,7 +328,7 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
-            embed_vectors, text_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
+            embed_vectors, text_top5, text_index_top5, knn_single, knn_batch, knn_index, knn_index_recall, chunk_stride, chunk_recursive, chunk_ids_runlength, ingest_new_chunks, existing_ids, store_count, embed_terms,
             ingest_twice, reset_store, upload_and_index, pdf_source, ingest_pdfs, ingest_pdf_changes, health,
             context_assembly, source_list, prompt_render, empty_result_answer, answer_extractive, blank_query_guard, file_type_guard, judge_verdict,
             engine_answers, engine_query, answer_sentences, judged_answers, blank_guard_texts, file_guard_names, judge_verdict_texts,
@@ -401,6 +408,7 @@ def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
     return {
         "text_top5": f"WITH {_TOP5} SELECT * FROM top5",
+        "text_index_top5": f"WITH {_TOP5} SELECT * FROM top5",
         "knn_single": _KNN.format(q="", where="q.vec_id = 0"),
         "knn_batch": _KNN.format(q="query_id,", where="q.vec_id % 20 = 0"),
         "knn_index_recall": f"SELECT count(DISTINCT query_id) AS queries, count(*) AS neighbours, true AS enough FROM ({_KNN.format(q='query_id,', where='q.vec_id % 20 = 0')})",
