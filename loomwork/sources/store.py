@@ -25,8 +25,8 @@ from loomwork.session import drop, saved, scratch
 
 SCHEMA = "id string, source string, page string, chunk int, pos long, text string, vector array<float>"
 FILTERS = "file string, low int, high int, bits binary"
-#: Rows of a data file, about; buckets of ids; ids that a task asks a filter for at once.
-FILE_ROWS, BUCKETS, PART = 100_000, 1_024, 200_000
+#: Rows of a data file, about, and twice that at most; buckets of ids; ids that a task asks a filter for at once.
+FILE_ROWS, BUCKETS, PART = 100_000, 16_384, 200_000
 #: Bits of a filter for each id, and how many of them an id sets: one in a hundred other ids is let through.
 BITS, HASHES = 10, 7
 #: Snapshots kept in the log.
@@ -164,7 +164,7 @@ class ChunkStore:
         """Writes a batch with its filters; returns its number of rows."""
         folder = f"{self.path}/batches/{batch}"
         share = F.floor(F.coalesce(bucket(F.col("id")), F.lit(0)) * files / BUCKETS).cast("int")
-        rows.repartitionById(files, share).write.parquet(f"{folder}/data")
+        rows.repartitionById(files, share).write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(f"{folder}/data")
         written = self.spark.read.schema(SCHEMA).parquet(f"{folder}/data")
         n = written.count()
         name = F.concat(F.lit(f"{batch}/data/"), F.substring_index(F.input_file_name(), "/", -1)).alias("file")
