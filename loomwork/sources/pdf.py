@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
+from loomwork.session import tidy_shuffles
 from loomwork.sources.pdftext import texts
 
 FORMAT, VANISHED = "pdf_pages", "the file has vanished"
@@ -331,7 +332,8 @@ def write_pdfs(pages: DataFrame, folder: str, *, compact: bool = True) -> None:
     """The pages(name, page, text) as PDF files, one for each name; pages of a file are in the order of page."""
     pages.sparkSession.dataSource.register(PdfPages)
     rows = pages.select("name", "page", "text").repartition("name").sortWithinPartitions("name", "page").select("name", "text")
-    rows.write.format(FORMAT).mode("append").option("compact", str(compact)).save(folder)
+    with tidy_shuffles(pages.sparkSession):
+        rows.write.format(FORMAT).mode("append").option("compact", str(compact)).save(folder)
 
 
 def text_pages(documents: DataFrame) -> DataFrame:

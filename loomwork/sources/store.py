@@ -21,7 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.session import drop, saved, scratch
+from loomwork.session import drop, saved, scratch, tidy_shuffles
 
 SCHEMA = "id string, source string, page string, chunk int, pos long, text string, vector array<float>"
 FILTERS = "file string, low int, high int, bits binary"
@@ -164,7 +164,7 @@ class ChunkStore:
         """Writes a batch with its filters; returns its number of rows."""
         folder = f"{self.path}/batches/{batch}"
         share = F.floor(F.coalesce(bucket(F.col("id")), F.lit(0)) * files / BUCKETS).cast("int")
-        rows.repartitionById(files, share).write.option("maxRecordsPerFile", 2 * FILE_ROWS).parquet(f"{folder}/data")
+        rows.repartitionById(files, share).write.option("maxRecordsPerFile", 2 * FILE_ROWS).option("compression", "zstd").parquet(f"{folder}/data")
         written = self.spark.read.schema(SCHEMA).parquet(f"{folder}/data")
         n = written.count()
         name = F.concat(F.lit(f"{batch}/data/"), F.substring_index(F.input_file_name(), "/", -1)).alias("file")
@@ -185,6 +185,10 @@ class ChunkStore:
 
         Vectors are computed by vector_of(text column) for new chunks only. Ids within the batch must differ.
         """
+        with tidy_shuffles(self.spark):
+            return self._add(chunks, vector_of)
+
+    def _add(self, chunks: DataFrame, vector_of) -> int:
         folder = scratch(self.spark, "batch")
         try:
             chunks = saved(chunks, f"{folder}/chunks")  # split and numbered once for all that follows
