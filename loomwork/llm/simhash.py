@@ -161,11 +161,14 @@ def keyed(prints: DataFrame, probe: bool) -> DataFrame:
 
 
 def near_prints(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Every pair (a, b), a < b, of the distinct fingerprints that differ in at most distance <= 3 bits."""
+    """Every pair (a, b), a < b, of the distinct fingerprints that differ in at most distance <= 3 bits.
+
+    The join is a merge join: Spark guesses the sizes of both sides from that of prints, without the keys of each.
+    """
     if distance > DISTANCE:
         raise ValueError(f"the keys find distances up to {DISTANCE}")
     left = keyed(prints, False).withColumnRenamed("print", "a")
-    right = keyed(prints, True).withColumnRenamed("print", "b")
+    right = keyed(prints, True).withColumnRenamed("print", "b").hint("merge")
     near = left.join(right, (left["key"] == right["key"]) & (left["a"] != right["b"]) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -200,3 +200,12 @@ def test_shingle_counts_cover_all_texts(spark):
     for t in texts:
         np.add.at(want, neardup.bucket(np.unique(neardup.shingle_hashes(t or "", 5))), 1)
     assert (counts == want).all() and counts.sum() > 0
+
+
+def test_fingerprint_keys_are_not_broadcast(spark, tmp_path):
+    """Some hundred thousand fingerprints are a few megabytes, but their keys a hundred times that."""
+    prints = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 2_000)
+    spark.createDataFrame([(int(p),) for p in prints], "print long").write.parquet(f"{tmp_path}/prints")
+    near = simhash.near_prints(spark.read.parquet(f"{tmp_path}/prints"))
+    made = final_plan(near)
+    assert "Broadcast" not in made and "SortMergeJoin" in made
