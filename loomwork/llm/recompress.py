@@ -45,7 +45,7 @@ WINDOW, ROUNDS = 13, 2
 #: Covered places of all texts that are broadcast to them, and ids of copies, at most; with more, texts are shuffled.
 BROADCAST_PLACES, BROADCAST_IDS = 2_000_000, 1_000_000
 #: Words parsed at once in a task; windows that a task holds before it sends them on.
-BLOCK_WORDS, BUFFER = 400_000, 1_000_000
+BLOCK_WORDS, BUFFER = 50_000, 200_000
 
 # Odd multipliers for mixing and for the two rolling hashes.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -1,8 +1,11 @@
 """What workers hold stays bounded in bytes."""
 
+import tracemalloc
+
 import numpy as np
+import xxhash
 
-from loomwork.llm import bpe, language
+from loomwork.llm import bpe, language, recompress
 
 
 def test_long_pre_tokens_are_not_kept():
@@ -22,3 +25,15 @@ def test_texts_are_cut_into_windows_by_slices(monkeypatch):
     whole = net.languages_of(texts)
     assert np.allclose(np.concatenate([net.languages_of(p) for p in parts]), whole, atol=1e-6)
     assert list(language.slices([])) == []
+
+
+def test_blocks_of_recompression_are_small():
+    """What a task holds of 500,000 words at once doesn't grow with them."""
+    texts = [" ".join(f"w{x}" for x in np.random.default_rng(i).integers(0, 9_999, 500)) for i in range(1_000)]
+    tracemalloc.start()
+    n = 0
+    for _, _, held in recompress._blocks(texts):
+        n += len(recompress.landmarks(*recompress._hashes(held, xxhash.xxh64_intdigest))[2])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_000 * 488 and peak < 50 << 20
