@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomwork.operators.retrieval import K, nearest
-from loomwork.session import broadcast_if_small, saved, scratch
+from loomwork.session import broadcast_if_small, saved, scratch, tidy_shuffles
 
 #: Vectors that the index is fitted on, cells, and k-means rounds, at most; dimensions of a group, and codes for it.
 SAMPLE, CELLS, ROUNDS, GROUP, CODES = 20_000, 1_024, 12, 4, 256
@@ -36,6 +36,8 @@ SAMPLE, CELLS, ROUNDS, GROUP, CODES = 20_000, 1_024, 12, 4, 256
 TRIED, RECALL = 256, 0.98
 #: Rows of a part, queries of a block, candidates for each query, cells that bound these.
 PART, BLOCK, SHORTLIST, FIRST = 32_768, 1_024, 128, 4
+#: Distances to centres, and probes, that a task makes at once, about.
+HELD = 1 << 18
 
 
 def usable(vector: Column) -> Column:
@@ -49,6 +51,16 @@ def squared(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * rows @ centres.T, 0)
 
 
+def nearest_centres(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the nearest centre, and its squared distance."""
+    own, dist, step = np.zeros(len(rows), np.int64), np.zeros(len(rows)), max(1, HELD // max(1, len(centres)))
+    for at in range(0, len(rows), step):
+        near = squared(rows[at : at + step], centres)
+        own[at : at + step] = near.argmin(1)
+        dist[at : at + step] = near.min(1)
+    return own, dist
+
+
 def kmeans(rows: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = 0) -> np.ndarray:
     """n centres of rows, or fewer where fewer rows differ; a centre that loses its rows takes the row that lies worst."""
     rows = np.unique(rows, axis=0)
@@ -56,12 +68,11 @@ def kmeans(rows: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = 0) -> np.
         return rows
     centres = rows[np.sort(np.random.default_rng(seed).choice(len(rows), n, replace=False))]
     for _ in range(rounds):
-        dist = squared(rows, centres)
-        own = dist.argmin(1)
+        own, dist = nearest_centres(rows, centres)
         sums, counts = np.zeros_like(centres), np.bincount(own, minlength=n)
         np.add.at(sums, own, rows)
         centres = sums / np.maximum(counts, 1)[:, None]
-        far = np.argsort(-dist[np.arange(len(rows)), own], kind="stable")
+        far = np.argsort(-dist, kind="stable")
         empty = np.flatnonzero(counts == 0)
         centres[empty] = rows[far[: len(empty)]]
     return centres
@@ -75,9 +86,11 @@ class Model:
     books: list[np.ndarray]
 
     @classmethod
-    def fit(cls, rows: np.ndarray, cells: int, seed: int = 0) -> Model:
+    def fit(cls, rows: np.ndarray, cells: int, seed: int = 0, coded: bool = True) -> Model:
         centres = kmeans(rows, cells, seed=seed)
-        rest = rows - centres[squared(rows, centres).argmin(1)]
+        if not coded:
+            return cls(centres, [])
+        rest = rows - centres[nearest_centres(rows, centres)[0]]
         return cls(centres, [kmeans(part, CODES, seed=seed) for part in cls.groups(rest)])
 
     @staticmethod
@@ -85,11 +98,13 @@ class Model:
         return np.array_split(rows, max(1, rows.shape[1] // GROUP), axis=1)
 
     def nearest_cells(self, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(squared(rows, self.cells), axis=1, kind="stable")[:, :n]
+        step = max(1, HELD // max(1, len(self.cells)))
+        found = [np.argsort(squared(rows[at : at + step], self.cells), axis=1, kind="stable")[:, :n].copy() for at in range(0, len(rows), step)]
+        return np.concatenate(found) if found else np.zeros((0, min(n, len(self.cells))), np.int64)
 
     def encode(self, rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """(rows, groups) codes of the rows' differences from their cells."""
-        return np.stack([squared(part, book).argmin(1) for part, book in zip(self.groups(rows - self.cells[cells]), self.books)], 1).astype(np.uint8)
+        return np.stack([nearest_centres(part, book)[0] for part, book in zip(self.groups(rows - self.cells[cells]), self.books)], 1).astype(np.uint8)
 
     def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Approximate squared distances of coded rows of a cell to a query: table look-ups."""
@@ -110,15 +125,16 @@ class Model:
         return cls(held["cells"], [held[k] for k in sorted(held.files) if k != "cells"])
 
 
-def fit(rows: DataFrame, n: int, cells: int | None = None) -> Model:
-    """A model from SAMPLE of the n usable rows, those of smallest hash; about the root of n cells, CELLS at most."""
+def fit(rows: DataFrame, n: int, cells: int | None = None, coded: bool = True) -> Model:
+    """A model from SAMPLE of the n usable rows, those of smallest hash; about the root of n cells, CELLS at most. If not
+    coded, of cells alone."""
     cells = cells or max(1, min(CELLS, round(n**0.5)))
     hashed = rows.select("vector", F.abs(F.xxhash64("id", "vector") / 2.0**63).alias("h")).where(F.col("h") <= min(1.0, 2 * SAMPLE / max(1, n)))
     sample = hashed.orderBy("h").limit(SAMPLE).coalesce(1)
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [np.stack([np.asarray(v, float) for v in b["vector"]]) for b in batches if len(b)]
-        yield pd.DataFrame({"model": [Model.fit(np.concatenate(held), cells).packed()] if held else []})
+        yield pd.DataFrame({"model": [Model.fit(np.concatenate(held), cells, coded=coded).packed()] if held else []})
 
     found = sample.select("vector").mapInPandas(train, "model binary").collect()  # one row, some megabytes at most
     return Model.unpacked(bytes(found[0].model)) if found else Model(np.zeros((0, 1)), [])
@@ -135,6 +151,11 @@ class VectorIndex:
     @classmethod
     def build(cls, rows: DataFrame, folder: str, cells: int | None = None) -> VectorIndex:
         """Indexes every usable row(id, vector) and writes the index to folder."""
+        with tidy_shuffles(rows.sparkSession):
+            return cls._build(rows, folder, cells)
+
+    @classmethod
+    def _build(cls, rows: DataFrame, folder: str, cells: int | None) -> VectorIndex:
         spark, id_type = rows.sparkSession, rows.schema["id"].dataType.simpleString()
         rows = saved(rows.select("id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector"))), f"{folder}/vectors")
         n = rows.count()
@@ -147,7 +168,7 @@ class VectorIndex:
         def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in (b for b in batches if len(b)):
                 vectors = np.stack([np.asarray(v, float) for v in batch["vector"]])
-                cell = sent.value.nearest_cells(vectors, 1)[:, 0]
+                cell = nearest_centres(vectors, sent.value.cells)[0]
                 yield pd.DataFrame({"cell": cell.astype(np.int32), "id": batch["id"], "code": [c.tobytes() for c in sent.value.encode(vectors, cell)]})
 
         coded = saved(rows.mapInPandas(assign, f"cell int, id {id_type}, code binary"), f"{folder}/assigned")
@@ -187,7 +208,9 @@ class VectorIndex:
         sent = self.spark.sparkContext.broadcast(self.model)
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in (b for b in batches if len(b) and len(sent.value.cells)):
+            step = max(1, HELD // 8 // max(1, min(n, len(sent.value.cells))))
+            parts = (whole.iloc[at : at + step] for whole in batches for at in range(0, len(whole), step))
+            for batch in (b for b in parts if len(sent.value.cells)):
                 vectors = np.stack([np.asarray(v, float) for v in batch["vector"]])
                 cells = sent.value.nearest_cells(vectors, n)
                 rows, place = np.repeat(np.arange(len(batch)), cells.shape[1]), np.tile(np.arange(cells.shape[1], dtype=np.int32), len(batch))
@@ -240,6 +263,10 @@ class VectorIndex:
 
         probes is the number of cells for each query, by default as many as were measured to do.
         """
+        with tidy_shuffles(self.spark):
+            return self._search(queries, k, probes, shortlist)
+
+    def _search(self, queries: DataFrame, k: int, probes: int | None, shortlist: int) -> DataFrame:
         folder = scratch(self.spark, "search")
         asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")))
         asked = saved(asked, f"{folder}/asked")
