@@ -27,15 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomwork.functions.text import BUCKETS, term_matrix
+from loomwork.functions.text import BUCKETS, SLICE, term_matrix
 from loomwork.operators import vectorindex
 from loomwork.operators.retrieval import K, unit_distances
-from loomwork.session import broadcast_if_small, saved, scratch
+from loomwork.session import broadcast_if_small, saved, scratch, tidy_shuffles
 
 #: Chunks of a block; blocks of a question that give its threshold; questions of a wave; blocks whose bounds are one row.
 BLOCK, SEEDS, WAVE, GROUP = 8, 4, 1_024, 256
 #: What distances may differ by through rounding.
 SLACK = 2e-6
+#: Distances that a task holds before it keeps the best of each question.
+HELD = 50_000
 POSTINGS = "block long, ids array<string>, counts binary"
 HITS = "query_id long, id string, dist double"
 
@@ -53,6 +55,13 @@ def unpacked_counts(data: bytes, rows: int) -> np.ndarray:
     return counts.reshape(rows, BUCKETS)
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches in parts of SLICE rows."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE].reset_index(drop=True)
+
+
 @dataclass
 class TextIndex:
     spark: SparkSession
@@ -64,27 +73,31 @@ class TextIndex:
     @classmethod
     def build(cls, chunks: DataFrame, folder: str) -> TextIndex:
         """Indexes all chunks(id, text)."""
+        with tidy_shuffles(chunks.sparkSession):
+            return cls._build(chunks, folder)
 
+    @classmethod
+    def _build(cls, chunks: DataFrame, folder: str) -> TextIndex:
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in (b for b in batches if len(b)):
+            for batch in slices(batches):
                 counts = term_matrix(batch["text"])
                 norm = np.sqrt((counts**2).sum(1, keepdims=True))
                 yield pd.DataFrame({"id": batch["id"], "vector": list(counts / np.where(norm > 0, norm, 1)), "counts": [packed_counts(c) for c in counts]})
 
         spark = chunks.sparkSession
         counted = saved(chunks.select(F.col("id").cast("string"), "text").mapInPandas(count, "id string, vector array<double>, counts binary"), f"{folder}/counted")
-        sent = spark.sparkContext.broadcast(vectorindex.fit(counted, counted.count()))
+        sent = spark.sparkContext.broadcast(vectorindex.fit(counted, counted.count(), coded=False))
 
         def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in (b for b in batches if len(b)):
-                near = vectorindex.squared(np.stack(batch["vector"]), sent.value.cells)
-                yield pd.DataFrame({"cell": near.argmin(1).astype(np.int32), "far": np.round(near.min(1), 6), "id": batch["id"], "counts": batch["counts"]})
+            for batch in slices(batches):
+                own, far = vectorindex.nearest_centres(np.stack(batch["vector"]), sent.value.cells)
+                yield pd.DataFrame({"cell": own.astype(np.int32), "far": np.round(far, 6), "id": batch["id"], "counts": batch["counts"]})
 
         placed = saved(counted.mapInPandas(place, "cell int, far double, id string, counts binary"), f"{folder}/placed")
 
         def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = pd.DataFrame()
-            for batch in batches:
+            for batch in slices(batches):
                 held = pd.concat([held, batch])
                 whole = len(held) // BLOCK * BLOCK
                 yield blocks(held.iloc[:whole])
@@ -136,6 +149,10 @@ class TextIndex:
         return hits.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "id", "dist")
 
     def _wave(self, asked: DataFrame, folder: str, k: int) -> DataFrame:
+        with tidy_shuffles(self.spark):
+            return self._searched(asked, folder, k)
+
+    def _searched(self, asked: DataFrame, folder: str, k: int) -> DataFrame:
         rows = asked.select("query_id", "text").collect()  # about WAVE
         ids, counts = np.array([r.query_id for r in rows], np.int64), term_matrix([r.text for r in rows])
         sent = self.spark.sparkContext.broadcast((ids, counts))
@@ -175,20 +192,32 @@ class TextIndex:
         wanted = saved(self._bounds().mapInPandas(needed, "block long, queries array<int>"), f"{folder}/needed")
         self.looked_at += wanted.agg(F.sum(F.size("queries"))).first()[0] or 0
         self.of += self._postings().count() * len(ids)
-        return saved(self._scored(wanted, sent, k), f"{folder}/hits")
+        return saved(self._scored(wanted, sent, k, limits), f"{folder}/hits")
+
+    def _scored(self, wanted: DataFrame, sent, k: int, limits=None) -> DataFrame:
+        """HITS of the chunks of wanted(block, queries): for each task, the k best of each question, no farther than its limit."""
 
-    def _scored(self, wanted: DataFrame, sent, k: int) -> DataFrame:
-        """HITS of the chunks of wanted(block, queries): for each task, the k best of each question."""
+        def best(found: list[pd.DataFrame]) -> pd.DataFrame:
+            return pd.concat(found).sort_values(["query", "dist", "id"], kind="stable").groupby("query").head(k)
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype=object), "dist": pd.Series(dtype=float)})
+            least = np.full(len(sent.value[0]), np.inf) if limits is None else limits.value.copy()
+            none = pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype=object), "dist": pd.Series(dtype=float)})
+            found, n = [none], 0
             for batch in batches:
-                found = [best]
                 for ids, data, queries in zip(batch["ids"], batch["counts"], batch["queries"]):
                     queries = np.asarray(queries, np.int64)
                     near = np.round(unit_distances(unpacked_counts(data, len(ids)), sent.value[1][queries]), 6)
-                    found.append(pd.DataFrame({"query_id": np.tile(sent.value[0][queries], len(ids)), "id": np.repeat(np.asarray(ids, object), len(queries)), "dist": near.ravel()}))
-                best = pd.concat(found).sort_values(["query_id", "dist", "id"], kind="stable").groupby("query_id").head(k)
-            yield best
+                    row, col = np.nonzero(near <= least[queries])
+                    found.append(pd.DataFrame({"query": queries[col], "id": np.asarray(ids, object)[row], "dist": near[row, col]}))
+                    n += len(row)
+                    if n >= HELD:
+                        found = [best(found)]
+                        full = found[0].groupby("query")["dist"].agg(["size", "max"])
+                        full = full[full["size"] == k]
+                        least[full.index] = np.minimum(least[full.index], full["max"])
+                        n = 0
+            kept = best(found)
+            yield pd.DataFrame({"query_id": sent.value[0][kept["query"].to_numpy(np.int64)], "id": kept["id"], "dist": kept["dist"]})
 
         return self._postings().join(broadcast_if_small(wanted), "block").select("ids", "counts", "queries").mapInPandas(score, HITS)
