@@ -35,7 +35,9 @@ VOCABULARY, LEAST_TEXTS, DIMENSIONS, EXTRA, POWER, WINDOW, SEED = 50_000, 3, 128
 #: The weight of a term of share p is SMOOTH / (SMOOTH + p).
 SMOOTH, OTHER = 1e-3, 1.5
 #: Pairs that a task holds before it passes them on; texts taken at once; directions of terms that a worker keeps.
-HELD, SLICE, KEPT = 2_000_000, 256, 200_000
+HELD, SLICE, KEPT = 2_000_000, 256, 100_000
+#: Texts whose terms are added up together.
+TOGETHER = 64
 _TERM = re.compile(r"[^\W_]+")
 
 
@@ -113,8 +115,8 @@ def ppmi(pairs: DataFrame, size: int, folder: str) -> DataFrame:
     return saved(weighed.repartition("i").sortWithinPartitions("i"), f"{folder}/matrix")
 
 
-def product(matrix: DataFrame, factor: np.ndarray) -> np.ndarray:
-    """matrix (i, j, w) times a dense factor: each task multiplies its rows."""
+def product(matrix: DataFrame, factor: np.ndarray, folder: str) -> np.ndarray:
+    """matrix (i, j, w) times a dense factor: all tasks multiply their rows, and the driver reads what they wrote."""
     sent = matrix.sparkSession.sparkContext.broadcast(factor)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +129,8 @@ def product(matrix: DataFrame, factor: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array([r.tobytes() for r in rows], pa.binary())], ["i", "row"])
 
     out = np.zeros_like(factor)
-    for part in matrix.mapInArrow(multiply, "i int, row binary").toLocalIterator():  # rows of the vocabulary, and a few cut by batches
+    # Rows of the vocabulary, and a few cut by batches. Taken from the tasks one by one, they would be made one task at a time.
+    for part in saved(matrix.mapInArrow(multiply, "i int, row binary"), folder).toLocalIterator():
         out[part.i] += np.frombuffer(part.row)
     return out
 
@@ -156,12 +159,19 @@ class TermVectors:
             found = self.drawn[term] = found / np.linalg.norm(found)
         return found
 
+    def whole(self, term: str) -> np.ndarray:
+        """What a term adds to a text."""
+        i = self.places.get(term)
+        return OTHER * self.own(term) if i is None else self.weights[i] * (self.units[i] + self.own(term))
+
     def embed(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.vectors.shape[1]))
-        for row, text in enumerate(texts):
-            for t in terms(text):
-                i = self.places.get(t)
-                out[row] += OTHER * self.own(t) if i is None else self.weights[i] * (self.units[i] + self.own(t))
+        for at in range(0, len(texts), TOGETHER):
+            names: dict[str, int] = {}
+            ids = [np.array([names.setdefault(t, len(names)) for t in terms(text)], np.int64) for text in texts[at : at + TOGETHER]]
+            if names:  # each term of these texts once, times how often each text has it
+                counts = np.stack([np.bincount(i, minlength=len(names)) for i in ids]).astype(float)
+                out[at : at + TOGETHER] = counts @ np.stack([self.whole(t) for t in names])
         out -= (out @ self.common)[:, None] * self.common
         norm = np.sqrt((out**2).sum(1, keepdims=True))
         return np.where(norm > 1e-9, out / np.where(norm > 1e-9, norm, 1), 0)
@@ -176,9 +186,9 @@ def fit(texts: DataFrame, *, dimensions: int = DIMENSIONS, size: int = VOCABULAR
         matrix = ppmi(saved(pair_counts(texts, names, window), f"{folder}/pairs"), max(1, len(names)), folder)
         k = min(dimensions + EXTRA, len(names))
         basis = np.random.default_rng(SEED).normal(size=(len(names), k))
-        for _ in range(power):
-            basis = np.linalg.qr(product(matrix, basis))[0] if k else basis
-        small = basis.T @ product(matrix, basis)
+        for n in range(power):
+            basis = np.linalg.qr(product(matrix, basis, f"{folder}/product{n}"))[0] if k else basis
+        small = basis.T @ product(matrix, basis, f"{folder}/product")
     values, turns = np.linalg.eigh((small + small.T) / 2)
     best = [i for i in np.argsort(-values, kind="stable")[:dimensions] if values[i] > 1e-9]
     vectors = basis @ turns[:, best] * np.sqrt(values[best])
