@@ -126,3 +126,28 @@ def test_old_snapshots_go(spark, store, monkeypatch):
     for i in range(4):
         store.add(chunks(spark, "a", 1, start=i), vector)
     assert store._log() == [3, 4] and store.count() == 4
+
+
+def test_only_new_texts_move(spark, store, monkeypatch):
+    """A batch that is all new, or all there, isn't joined with the store: its texts would be shuffled for it."""
+    joined, write = [], ChunkStore._write
+
+    def seen(self, rows, *args):
+        joined.append("Join" in rows._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, rows, *args)
+
+    monkeypatch.setattr(ChunkStore, "_write", seen)
+    assert store.add(chunks(spark, "a", 30), vector) == 30 and joined == [False]
+    assert store.add(chunks(spark, "a", 30), vector) == 0 and joined == [False]  # nothing is written
+    assert store.add(chunks(spark, "b", 30), vector) == 30
+    assert store.add(chunks(spark, "b", 40), vector) == 10 and joined[-1] and store.count() == 70
+
+
+def test_a_large_batch_is_written_in_rounds(spark, store, monkeypatch):
+    dealt, deal = [], type(spark.range(1)).repartitionById
+    monkeypatch.setattr(stores, "FILE_ROWS", 10)
+    monkeypatch.setattr(type(spark.range(1)), "repartitionById", lambda self, n, by: dealt.append((n, self.count())) or deal(self, n, by))
+    assert store.add(chunks(spark, "a", 300), vector) == 300
+    assert [n for n, _ in dealt] == [10, 10, 10] and sum(rows for _, rows in dealt) == 300 and max(rows for _, rows in dealt) < 200
+    assert {r.id for r in store.ids().collect()} == {f"a:{i}:0" for i in range(300)}
+    assert store.add(chunks(spark, "a", 300), vector) == 0 and len(dealt) == 3
