@@ -148,6 +148,16 @@ def inside(ends: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.isin(ends, others, assume_unique=True, kind="table") if len(ends) and len(others) else np.zeros(len(ends), bool)
 
 
+def last_common(a: np.ndarray, b: np.ndarray) -> int | None:
+    """The last end that both have; None if there is none."""
+    if not len(a) or not len(b):
+        return None
+    if a[-1] == b[-1]:  # so at the end of a text
+        return int(a[-1])
+    common = a[inside(a, b)]
+    return int(common[-1]) if len(common) else None
+
+
 class Sweep:
     """The state of one document: counts so far, and the group that is open."""
 
@@ -162,12 +172,12 @@ class Sweep:
 
     def take(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
         """The tokens (ids, ends) of both sides that end within the next window; the last common end closes groups."""
-        common = a[1][inside(a[1], b[1])]
+        last = last_common(a[1], b[1])
         closed = []
         for k, (ids, ends) in enumerate((a, b)):
             self.n[k] += len(ids)
-            cut = int(np.searchsorted(ends, common[-1], "right")) if len(common) else 0
-            if len(common):
+            cut = 0 if last is None else int(np.searchsorted(ends, last, "right"))
+            if last is not None:
                 parts = [*self.open[k], (ids[:cut], ends[:cut])]
                 closed.append(tuple(np.concatenate(x) for x in zip(*parts)) if len(parts) > 1 else parts[0])
                 self.open[k].clear()
@@ -176,30 +186,42 @@ class Sweep:
         if not closed:
             return
         (a_ids, a_ends), (b_ids, b_ends) = closed
-        both = [inside(a_ends, b_ends), inside(b_ends, a_ends)]
-        group = [np.cumsum(x) - x for x in both]  # common ends before a token's own
-        first = [np.diff(g, prepend=-1) > 0 for g in group]
-        size = [np.bincount(g, minlength=len(common)) for g in group]
+        base = min(a_ends[0], b_ends[0])
+        table = np.zeros(last - base + 1, np.uint8)  # which sides end at each byte: 1 for A, 2 for B
+        table[a_ends - base] = 1
+        table[b_ends - base] |= 2
+        kinds = table[np.flatnonzero(table)]  # of each offset where a token ends, in order
+        of_a, of_b, common = kinds != 2, kinds != 1, kinds == 3
+        so_far = [np.cumsum(x) for x in (of_a, of_b)]  # tokens that ended, this offset included
+        groups = np.cumsum(common)
+        n_groups = int(groups[-1])
+        groups -= common  # common ends before an offset's own
+        group = [groups[of_a], groups[of_b]]
+        through = [x[common] for x in so_far]  # tokens of a group and of those before it
+        before_b = np.concatenate([[0], through[1][:-1]])
         # In text, the A tokens of a group stand after the B tokens of the groups before it, its B tokens after its A tokens.
-        a_place = np.arange(len(a_ids)) + (np.cumsum(size[1]) - size[1])[group[0]]
-        b_place = np.arange(len(b_ids)) + np.cumsum(size[0])[group[1]]
+        a_place = np.arange(len(a_ids)) + before_b[group[0]]
+        b_place = np.arange(len(b_ids)) + through[0][group[1]]
+        first = [np.ones(len(g), np.int64) for g in group]
+        for f, g in zip(first, group):
+            f[1:] = g[1:] != g[:-1]
         marked = np.empty(len(a_ids) + len(b_ids), np.int64)
         marked[a_place] = 3 * a_ids + 2 * first[0]
         marked[b_place] = 3 * b_ids + first[1]
         text = "".join(map(self.spelt, marked.tolist()))
         self.sha.update((text if self.groups else text[1:]).encode())
-        self.groups += len(common)
-        ends = np.concatenate([a_ends, b_ends])
-        ends.sort(kind="stable")  # a merge of two runs
-        ends = ends[np.diff(ends, prepend=-1) > 0]
-        self.links += len(ends)
-        ended = [inside(ends, x) for x in (a_ends, b_ends)]
-        over = [np.cumsum(x) - x for x in ended]  # tokens that ended before
-        self.held.append(a_ids[over[0]] << 32 | b_ids[over[1]])
+        self.groups += n_groups
+        self.links += len(kinds)
+        self.held.append(a_ids[so_far[0] - of_a] << 32 | b_ids[so_far[1] - of_b])
         if sum(map(len, self.held)) > HELD:
             self.settle()
 
     def settle(self) -> None:
+        if not len(self.pairs) and self.held:
+            held = np.sort(np.concatenate(self.held))
+            starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+            self.pairs, self.times, self.held = held[starts], np.diff(starts, append=len(held)), []
+            return
         held = np.concatenate([self.pairs, *self.held])
         self.pairs, self.times = summed(held, np.concatenate([self.times, np.ones(len(held) - len(self.pairs), np.int64)]))
         self.held = []
@@ -215,10 +237,15 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[starts], np.add.reduceat(counts[order], starts)
 
 
+@lru_cache(maxsize=1)
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
 def packed(pairs: np.ndarray, times: np.ndarray) -> bytes:
     """Ascending pairs and their counts: byte planes of A's steps, B's ids and the counts, compressed."""
     columns = np.stack([np.diff(pairs >> 32, prepend=0), pairs & 0xFFFFFFFF, times]).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(columns.view("u1").reshape(-1, 4).T.tobytes())
+    return _compressor().compress(columns.view("u1").reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -234,3 +234,28 @@ def test_shares_beyond_64_bits():
     want = [1 + 10**9 * (c + 1) // (m + 12) for c, m in zip(counts[0].tolist(), n)]
     assert divergence.shares(counts, n, 12)[0].tolist() == want
     assert divergence.shares(counts[:, :1], np.array([10**11]), 12)[0, 0] == want[0]
+
+
+def test_a_sweep_finds_ends_by_one_table(monkeypatch):
+    """Both sides' ends are marked in one table of a window's bytes; membership tests of sorted ends took a third of the sweep."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 6, 50)
+    spelt = alignment._numbers(50).__getitem__
+    for _ in range(40):
+        size = int(rng.integers(1, 60))
+        ends = [np.unique([*rng.integers(1, size + 1, int(rng.integers(0, size + 1))), size]).astype(np.int64) for _ in range(2)]
+        ids = [rng.integers(0, len(lengths), len(e)) for e in ends]
+        common = sorted(set(ends[0].tolist()) & set(ends[1].tolist()))
+        links = [(int(ids[0][np.searchsorted(ends[0], e)]), int(ids[1][np.searchsorted(ends[1], e)])) for e in sorted(set(ends[0].tolist()) | set(ends[1].tolist()))]
+        groups = ";".join("|".join(",".join(str(i) for i, e in zip(x, y) if low < e <= high) for x, y in zip(ids, ends)) for low, high in zip([0, *common], common))
+        for window in (size, 3):
+            state = alignment.Sweep(spelt)
+            with monkeypatch.context() as m:
+                if window == size:
+                    m.setattr(alignment, "inside", None)
+                for at in range(0, size, window):
+                    state.take(*((x[(e > at) & (e <= at + window)], e[(e > at) & (e <= at + window)]) for x, e in zip(ids, ends)))
+            state.settle()
+            assert (state.groups, state.links, state.sha.hexdigest()) == (len(common), len(links), hashlib.sha256(groups.encode()).hexdigest())
+            want = sorted(Counter(a << 32 | b for a, b in links).items())
+            assert list(zip(state.pairs.tolist(), state.times.tolist())) == want
