@@ -1,6 +1,7 @@
 """Answers from sentences, against a plain computation."""
 
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,25 @@ def test_cases(spark):
 def test_rows_of_the_question_only(spark):
     ready = spark.createDataFrame([(i, "the game", ["The game is over."]) for i in range(3)], "query_id long, question string, texts array<string>")
     assert summary.summaries(ready, spark.createDataFrame([("The game is over.",)], "text string")).select(F.count_distinct("answer")).first()[0] == 1
+
+
+def test_all_sentences_of_the_hits_are_in_the_graph(monkeypatch):
+    """Those beyond the first 200 were left out."""
+    filler = " ".join(f"Word{i % 17} and word{i % 23} number {i}." for i in range(260))
+    texts = [filler, "The longest train gets ten points."]
+    asked = "How many points does the longest train get?"
+    assert summary.summary(asked, texts, {}, 1) == "The longest train gets ten points."
+    monkeypatch.setattr(summary, "STEPS", 400)
+    rng = np.random.default_rng(1)
+    weight = {t: rng.uniform(0.5, 3) for t in summary.terms(" ".join(texts))}  # no two sentences alike
+    for q in (asked, "word3 and number 259", ""):
+        assert summary.summary(q, texts, weight, 4) == brute(q, texts, weight, 4)
+
+
+def test_many_sentences_take_memory_for_their_terms_only():
+    texts = [f"Word{i % 97} and word{i % 89} number {i}." for i in range(20_000)]
+    tracemalloc.start()
+    assert summary.summary("number 19999", texts, {}, 1) == texts[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
